@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -29,10 +31,47 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` in the shared checkpoint folder, so that a lost executor costs no recomputation."""
-    checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+_SCRATCH: dict = {}
+
+
+def scratch(spark: SparkSession) -> str:
+    """This application's own folder in the shared checkpoint folder; it is removed when the program ends."""
+    app = spark.sparkContext.applicationId
+    if app not in _SCRATCH:
+        _SCRATCH[app] = f"{checkpoint_dir(spark)}/talaan-{uuid.uuid4().hex}"
+        atexit.register(_remove, spark, _SCRATCH[app])
+    return _SCRATCH[app]
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    try:
+        hadoop = spark._jvm.org.apache.hadoop.fs.Path(path)
+        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    except Exception:  # the session has ended already
+        pass
+
+
+def cut(df: DataFrame, after: list[DataFrame] | None = None) -> DataFrame:
+    """Write ``df`` to a table in the shared folder and read it back.
+
+    A lost executor then costs no recomputation, and later plans see the table's true size: a plain
+    checkpoint keeps the estimates of its plan, which multiply from join to join in iterative work.
+    Tables in ``after`` are removed once this one is written.
+    """
+    spark = df.sparkSession
+    path = f"{scratch(spark)}/{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    for old in after or []:
+        drop(old)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._talaan_path = path
+    return out
+
+
+def drop(df: DataFrame) -> None:
+    """Remove the table behind a result of ``cut`` that nothing will read again."""
+    if path := getattr(df, "_talaan_path", None):
+        _remove(df.sparkSession, path)
 
 
 def parallelism(spark: SparkSession) -> int:
