@@ -10,8 +10,8 @@ A round over the undirected edges between components:
 4. Edges are renamed to roots, loops dropped and repeats removed.
 
 Every component with an edge joins another, so their number at least halves and the rounds are at most
-log2 of the largest group. Nothing is collected but counts. Each round's state is checkpointed in the
-shared folder. The smallest member names the group.
+log2 of the largest group. Nothing is collected but counts. Each round's state is a table in the shared
+folder. The smallest member names the group.
 """
 
 from __future__ import annotations
@@ -46,7 +46,7 @@ def _collapse(tree: DataFrame) -> DataFrame:
         nxt = tree
         for _ in range(DOUBLINGS):
             nxt = _double(nxt)
-        nxt = cut(nxt)
+        nxt = cut(nxt, after=[tree])
         up = nxt.select(F.col("c").alias("uc"), F.col("p").alias("up"))
         open_ = nxt.where("c != p").join(up, F.col("p") == F.col("uc")).where("up != p")
         if open_.isEmpty():
@@ -70,7 +70,7 @@ def components(edges: DataFrame, a: str, b: str) -> DataFrame:
         ru = tree.select(F.col("c").alias("u"), F.col("p").alias("ru"))
         rv = tree.select(F.col("c").alias("v"), F.col("p").alias("rv"))
         moved = e.join(ru, "u").join(rv, "v").where("ru != rv")
-        e = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct())
+        e = cut(moved.select(F.least("ru", "rv").alias("u"), F.greatest("ru", "rv").alias("v")).distinct(), after=[e])
     if not trees:
         return e.select(F.col("u").alias("node"), F.col("u").alias("group_id"))
     roots = trees[-1]
