@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talaan.llm import groups, survivors
-from talaan.runtime import table
+from talaan.llm import groups, packing, residue, survivors, tokenizer
+from talaan.runtime import parallelism, table
 
 
 def p1_found(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -28,5 +28,50 @@ def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.golden(table(spark, sf_dir, "merge_candidates"), table(spark, sf_dir, "source_trust"))
 
 
-QUERIES = {"p1_found": p1_found, "p1_sizes": p1_sizes, "p2_found": p2_found, "p2_golden": p2_golden}
+def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return tokenizer.encode(docs.repartition(parallelism(spark)))
+
+
+def p8_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per language: texts, tokens, and texts that decode to something else than they were (none)."""
+    docs = table(spark, sf_dir, "documents").select("lang", F.coalesce("text", F.lit("")).alias("text")).repartition(parallelism(spark))
+    ids = docs.withColumn("ids", tokenizer.encode_column(F.col("text")))
+    back = ids.withColumn("back", tokenizer.decode_column(F.col("ids")))
+    return back.groupBy("lang").agg(
+        F.count("*").alias("n_docs"), F.sum(F.size("ids")).alias("n_tokens"), F.count_if(F.col("back") != F.col("text")).alias("n_changed")
+    )
+
+
+def p9_containers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return packing.pack_documents(docs.repartition(parallelism(spark)))
+
+
+def p9_fill(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One row: containers, the tokens in them, and the share of their space that is used."""
+    boxes = p9_containers(spark, sf_dir).groupBy("container_id").agg(F.sum("n_tokens").alias("n"))
+    return boxes.agg(
+        F.count("*").alias("n_containers"), F.sum("n").alias("n_tokens"), F.max("n").alias("fullest"),
+        F.round(F.sum("n") / (F.count("*") * packing.CAPACITY), 4).alias("used_share"),
+    )
+
+
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text")
+    return residue.residue(docs.repartition(parallelism(spark))).where("excluded").select("doc_id").distinct()
+
+
+def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per kind of page: how many texts are excluded, and for which reason (a text may have several)."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "page_kind").repartition(parallelism(spark))
+    j = docs.select("page_kind", residue.judge_column(F.col("text")).alias("j")).select("page_kind", "j.*")
+    error = F.col("coverage") >= residue.COVERED
+    return j.groupBy("page_kind").agg(
+        F.count("*").alias("n_docs"), F.count_if("slot").alias("n_slot"), F.count_if("filler").alias("n_filler"), F.count_if(error).alias("n_error"),
+        F.count_if(F.col("slot") | F.col("filler") | error).alias("n_excluded"),
+    )
+
+
+QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
 SQL: dict[str, str] = {}
