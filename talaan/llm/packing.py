@@ -32,12 +32,11 @@ def place(sizes: list[int], capacity: int) -> list[int]:
     open_: dict[int, list[int]] = defaultdict(list)
     out, used = [], 0
     for s in sizes:
-        # growth of the sum of squares when a container of fill h becomes one of h + s, halved and without constants
+        # growth of the sum of squares when a container of fill h becomes one of h + s
         top = capacity - s
-        grow = counts[s:].copy()
+        grow = 2 * counts[s:] + 1
         grow[top] = 0  # a full container leaves the array
-        grow[:top] += 1
-        grow[1:] -= counts[1 : top + 1]
+        grow[1:] += 1 - 2 * counts[1 : top + 1]
         allowed = counts[: top + 1] > 0
         allowed[0] = True
         grow = np.where(allowed, grow, np.iinfo(np.int64).max)
