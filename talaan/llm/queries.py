@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talaan.llm import groups, packing, residue, survivors, tokenizer
+from talaan.llm import canon, groups, packing, residue, survivors, tokenizer
 from talaan.runtime import parallelism, table
 
 
@@ -28,6 +28,21 @@ def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.golden(table(spark, sf_dir, "merge_candidates"), table(spark, sf_dir, "source_trust"))
 
 
+def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
+    raw = table(spark, sf_dir, "raw_records").select("record_id", "city", "province")
+    leads = table(spark, sf_dir, "leads").select("lead_id", "city_key", "province")
+    return canon.map_cities(raw, leads, table(spark, sf_dir, "canonical_cities"))
+
+
+def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _cities(spark, sf_dir).select("row_key", F.col("entry").alias("city_id")).distinct()
+
+
+def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The values for which no entry is meant, and how many rows hold each."""
+    return _cities(spark, sf_dir).where("entry = 'none'").groupBy("value").agg(F.countDistinct("row_key").alias("n_rows"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenizer.encode(docs.repartition(parallelism(spark)))
