@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talaan.llm import canon, groups, packing, residue, survivors, tokenizer
+from talaan.llm import addresses, canon, groups, packing, residue, survivors, tokenizer
 from talaan.runtime import parallelism, table
 
 
@@ -43,6 +43,21 @@ def p4_unmatched(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _cities(spark, sf_dir).where("entry = 'none'").groupBy("value").agg(F.countDistinct("row_key").alias("n_rows"))
 
 
+def _addresses(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, DataFrame]:
+    records = table(spark, sf_dir, "lead_addresses").repartition(parallelism(spark))
+    return records, table(spark, sf_dir, "canonical_cities")
+
+
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return addresses.same_addresses(*_addresses(spark, sf_dir))
+
+
+def p5_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The city, street identifier, number and confidence of each address record that can be read."""
+    r = addresses.resolved(*_addresses(spark, sf_dir))
+    return r.select("address_id", "city_id", "street_id", "kind", "ext", "number", F.round("score", 3).alias("score"))
+
+
 def p8_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     return tokenizer.encode(docs.repartition(parallelism(spark)))
