@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talaan.llm import addresses, canon, groups, packing, residue, survivors, tokenizer
+from talaan.llm import addresses, canon, groups, linkage, packing, residue, survivors, tokenizer
 from talaan.runtime import parallelism, table
 
 
@@ -28,6 +28,16 @@ def p2_golden(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.golden(table(spark, sf_dir, "merge_candidates"), table(spark, sf_dir, "source_trust"))
 
 
+def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return linkage.same_business(table(spark, sf_dir, "raw_records"))
+
+
+def p3_confidence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every candidate pair with its votes, confidence and whether it is accepted."""
+    out = linkage.links(table(spark, sf_dir, "raw_records"))
+    return out.select("ref_a", "ref_b", *linkage.VOTES, F.round("confidence", 6).alias("confidence"), "accepted")
+
+
 def _cities(spark: SparkSession, sf_dir: str) -> DataFrame:
     raw = table(spark, sf_dir, "raw_records").select("record_id", "city", "province")
     leads = table(spark, sf_dir, "leads").select("lead_id", "city_key", "province")
