@@ -11,12 +11,17 @@ PLAIN = "aaaaaaaaeeeeeeiiiiioooooouuuuunnccyysz"
 MISREAD = [("ã±", "n"), ("ã©", "e"), ("ã¡", "a"), ("ã³", "o"), ("ãº", "u"), ("ã­", "i")]
 
 
+# Combining marks and invisible characters: translate() drops what has no counterpart.
+DROPPED = "".join(map(chr, (*range(0x300, 0x370), 0xAD, *range(0x200B, 0x2010), *range(0x202A, 0x202F), 0x2060, 0xFEFF)))
+
+
 def fold(c: Column) -> Column:
     """Lower case without accents; invisible characters go."""
     x = F.lower(c)
+    read = x
     for a, b in MISREAD:
-        x = F.replace(x, F.lit(a), F.lit(b))
-    return F.regexp_replace(F.translate(x, ACCENTED, PLAIN), r"[\p{M}\p{Cf}]", "")
+        read = F.replace(read, F.lit(a), F.lit(b))
+    return F.translate(F.when(F.contains(x, F.lit("ã")), read).otherwise(x), ACCENTED + DROPPED, PLAIN)
 
 
 def tokens(c: Column) -> Column:

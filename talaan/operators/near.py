@@ -32,16 +32,19 @@ def usable(lat: Column, lon: Column) -> Column:
 
 
 def _row_width(row: Column, height: float, radius_deg: float) -> Column:
-    """Degrees of longitude of a cell in this row: twice the radius at the row's highest latitude, or 360."""
+    """Degrees of longitude of a cell in this row: as wide as high at the row's highest latitude, or 360."""
     top = F.least(F.greatest(F.abs(row * height), F.abs((row + 1) * height)) + radius_deg, F.lit(90.0))
     cos = F.cos(F.radians(top))
-    return F.when(cos < 1e-3, F.lit(360.0)).otherwise(F.least(F.lit(360.0), 2 * radius_deg / cos))
+    return F.when(cos < 1e-3, F.lit(360.0)).otherwise(F.least(F.lit(360.0), height / cos))
 
 
-def cells(df: DataFrame, lat: str, lon: str, radius_m: float, reach: bool, name: str = "cell") -> DataFrame:
-    """``df`` with the cell of each point, or (``reach``) once per cell within ``radius_m`` of it."""
+def cells(df: DataFrame, lat: str, lon: str, radius_m: float, reach: bool, name: str = "cell", cell_m: float | None = None) -> DataFrame:
+    """``df`` with the cell of each point, or (``reach``) once per cell within ``radius_m`` of it.
+
+    Cells are ``cell_m`` high, twice the radius if not given; larger ones repeat fewer points.
+    """
     r = math.degrees(radius_m / EARTH_M) * 1.0001
-    height = 2 * r
+    height = max(2 * r, math.degrees((cell_m or 0) / EARTH_M))
     y, x = F.col(lat).cast("double"), F.col(lon).cast("double")
 
     def key(row: Column, col: Column) -> Column:
