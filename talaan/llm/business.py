@@ -96,17 +96,13 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def from_raw(raw: DataFrame) -> DataFrame:
-    """One row per source_ref, its first record. Rows without source_ref or name aren't listings."""
+    """Listings by ``id``, a 64-bit hash of source_ref; a repeated listing has repeated rows. Rows without source_ref or name aren't listings."""
     number, name = street_parts(F.col("street"))
-    cols = ["source", "name", "phones_raw", "website_raw", "emails_raw", "housenumber", "street", "city", "facebook", "lat", "lon"]
-    first = raw.where("source_ref is not null and trim(name) <> ''").select("record_id", "source_ref", *cols)
-    keep = first.groupBy("source_ref").agg(F.min("record_id").alias("record_id"))
-    first = first.join(keep.select("record_id"), "record_id", "left_semi")
     return _finish(
-        first.select(
-            F.col("record_id").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"), core_tokens(F.col("name")).alias("toks"), kind(F.col("name")).alias("kind"),
+        raw.where("source_ref is not null and trim(name) <> ''").select(
+            F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"), core_tokens(F.col("name")).alias("toks"), kind(F.col("name")).alias("kind"),
             phones(F.array_join("phones_raw", ";")).alias("phones"), host(F.col("website_raw")).alias("web"), emails(F.array_join("emails_raw", ";")).alias("mails"),
-            handle(F.col("facebook")).alias("fb"), F.coalesce(F.nullif(F.regexp_extract(fold(F.coalesce("housenumber", F.lit(""))), r"(\d+[a-z]?)", 1), F.lit("")), number).alias("num"),
+            handle(F.col("facebook")).alias("fb"), F.coalesce(F.nullif(F.regexp_extract(F.lower(F.coalesce("housenumber", F.lit(""))), r"(\d+[a-z]?)", 1), F.lit("")), number).alias("num"),
             name.alias("street"), city_text(F.col("city")).alias("city"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
         )
     )

@@ -27,6 +27,7 @@ from talaan.llm.groups import components
 from talaan.operators.near import cells
 from talaan.runtime import cut
 
+CELL_M = 1_000.0
 ACCEPT = 0.5
 VOTES = ["name", "kind", "phone", "web", "mail", "fb", "place", "street", "num", "city"]
 
@@ -97,45 +98,43 @@ def _ends(core: Column) -> Column:
 def _loose() -> Column:
     """Keys of a listing that needn't have a position: composite of a name part and another attribute."""
     core, none = F.col("core"), F.array().cast("array<string>")
-
-    def key(kind: str, value: Column, part: Column) -> Column:
-        return F.transform(part, lambda p: F.concat_ws("|", F.lit(kind), p, value))
-
-    def one(kind: str, c: str, part: Column) -> Column:
-        return F.when(F.col(c).isNotNull(), key(kind, F.col(c), part)).otherwise(none)
-
-    phone = F.flatten(F.transform("phones", lambda t: F.transform(_ends(core), lambda p: F.concat_ws("|", F.lit("t"), p, t))))
-    mail = F.flatten(F.transform("mails", lambda t: F.transform(F.array(F.substring(core, 1, 3)), lambda p: F.concat_ws("|", F.lit("m"), p, t))))
-    street = F.when(F.col("street").isNotNull(), F.transform(_ends(core), lambda p: F.concat_ws("|", F.lit("s"), p, F.substring("street", 1, 4), F.coalesce("num", F.lit(""))))).otherwise(none)
-    return F.array_distinct(F.concat(phone, mail, street, one("c", "city", F.array(core)), F.when(F.col("web").isNotNull(), one("w", "city", F.array("web"))).otherwise(none), one("a", "street", F.array(core))))
+    phone = F.flatten(F.transform("phones", lambda t: F.transform(_ends(core), lambda p: F.concat(p, t))))
+    street = F.when(F.col("street").isNotNull(), F.array(F.concat_ws("|", F.lit("s"), F.substring(core, 1, 3), F.substring("street", 1, 4), F.coalesce("num", F.lit(""))))).otherwise(none)
+    city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", F.lit("c"), core, "city"))).otherwise(none)
+    return F.array_distinct(F.concat(phone, street, city))
 
 
 def candidates(listings: DataFrame) -> DataFrame:
-    """``id_a``, ``id_b``: pairs of listings worth a look, each once, ``key_a`` before ``key_b``."""
-    slim = listings.select("id", "key", "src", "core", "phones", "mails", "web", "street", "num", "city", "lat", "lon")
-    placed = slim.where("lat is not null").select("id", "key", "src", "lat", "lon", F.explode(_ends(F.col("core"))).alias("end"))
-    own = cells(placed, "lat", "lon", business.NEAR_M, reach=False)
-    around = cells(placed, "lat", "lon", business.NEAR_M, reach=True)
-    a = own.select(F.xxhash64("cell", "end").alias("k"), F.col("id").alias("id_a"), F.col("src").alias("sa"), F.col("key").alias("ka"))
-    b = around.select(F.xxhash64("cell", "end").alias("k"), F.col("id").alias("id_b"), F.col("src").alias("sb"), F.col("key").alias("kb"))
-    differ = F.col("sa") != F.col("sb")
-    near = a.join(b, "k").where((F.col("ka") < F.col("kb")) & differ).select("id_a", "id_b")
-    keyed = slim.select("id", "key", "src", F.col("lat").isNull().alias("lost"), F.explode(_loose()).alias("k")).withColumn("k", F.xxhash64("k"))
-    c = keyed.where("lost").select("k", F.col("id").alias("i1"), F.col("src").alias("sa"), F.col("key").alias("ka"))
-    d = keyed.select("k", F.col("id").alias("i2"), F.col("src").alias("sb"), F.col("key").alias("kb"), F.col("lost").alias("lost_b"))
-    loose = c.join(d, "k").where(differ & (F.col("ka") != F.col("kb")) & (~F.col("lost_b") | (F.col("ka") < F.col("kb"))))
-    first = F.col("ka") < F.col("kb")
-    loose = loose.select(F.when(first, F.col("i1")).otherwise(F.col("i2")).alias("id_a"), F.when(first, F.col("i2")).otherwise(F.col("i1")).alias("id_b"))
+    """``id_a``, ``id_b``: pairs of listings of different sources worth a look, each once, smaller id first.
+
+    Key rows hold two numbers and the source's checksum. They are partitioned by key once: repeats are dropped
+    and pairs are joined in place.
+    """
+    slim = listings.select("id", F.crc32("src").alias("s"), "core", "phones", "street", "num", "city", "lat", "lon")
+    placed = slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_ends(F.col("core"))).alias("end"))
+
+    def rows(df: DataFrame, k: Column) -> DataFrame:
+        return df.select(k.alias("k"), "id", "s").repartition("k").dropDuplicates(["k", "id", "s"])
+
+    reach = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
+    key = F.xxhash64("cell", "end")
+    a = rows(cells(placed, "lat", "lon", reach=False, **reach), key).toDF("k", "i", "sa")
+    b = rows(cells(placed, "lat", "lon", reach=True, **reach), key).toDF("k", "j", "sb")
+    near = a.join(b, "k").where("i < j and sa <> sb").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
+    keyed = slim.select("id", "s", F.col("lat").isNull().alias("lost"), F.explode(_loose()).alias("w"))
+    c = rows(keyed.where("lost"), F.xxhash64("w")).toDF("k", "i", "sa")
+    d = rows(keyed, F.xxhash64("w")).toDF("k", "j", "sb")
+    loose = c.join(d, "k").where("sa <> sb").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     return near.unionByName(loose).distinct()
 
 
 def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
-    """``pairs`` with both listings' keys and the votes."""
-    packed = listings.select("id", F.struct("key", "core", "kind", "toks", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
-    x = pairs.join(packed.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(packed.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
+    """``pairs`` with the votes. Both joins read one exchange of the listings."""
+    one = listings.select("id", F.struct("core", "toks", "kind", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
+    one = one.repartition("id").dropDuplicates(["id"])
+    x = pairs.join(one.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
     v = business.votes("a", "b")
-    v["mail"] = F.when((F.size("a.mails") > 0) & (F.size("b.mails") > 0), F.when(F.arrays_overlap("a.mails", "b.mails"), 1).otherwise(-1)).otherwise(0).cast("int")
-    return x.select(F.col("a.key").alias("ref_a"), F.col("b.key").alias("ref_b"), *(v[c].alias(c) for c in VOTES))
+    return x.select("id_a", "id_b", *(v[c].cast("tinyint").alias(c) for c in VOTES))
 
 
 def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
@@ -155,24 +154,30 @@ def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
     return pairs.join(F.broadcast(table), "pattern").drop("pattern"), model
 
 
+def judged(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """The listings, and all candidate pairs by id with votes, confidence and decision."""
+    listings = cut(business.from_raw(raw))
+    scored, _ = confident(cut(voted(listings, candidates(listings))))
+    return listings, scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
+
+
 def links(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``, votes, ``confidence`` and ``accepted`` of every candidate pair of two sources.
 
     Rows without source_ref or name are no listings; repeated listings count once; missing attributes
     abstain. An empty table gives an empty result.
     """
-    listings = cut(business.from_raw(raw))
-    pairs = cut(voted(listings, candidates(listings)))
-    scored, _ = confident(pairs)
-    return scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
+    listings, pairs = judged(raw)
+    names = listings.select("id", "key").distinct()
+    x = pairs.join(names.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("key").alias("kb")), "id_b")
+    return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted")
 
 
 def same_business(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``: each two listings of different sources that are one business at one place."""
-    ok = cut(links(raw).where("accepted").select("ref_a", "ref_b"))
-    member = cut(components(ok, "ref_a", "ref_b"))
-    src = raw.select(F.col("source_ref").alias("node"), "source").distinct()
-    m = cut(member.join(src, "node"))
-    a = m.select("group_id", F.col("node").alias("ref_a"), F.col("source").alias("sa"))
-    b = m.select("group_id", F.col("node").alias("ref_b"), F.col("source").alias("sb"))
-    return a.join(b, "group_id").where("ref_a < ref_b and sa <> sb").select("ref_a", "ref_b").distinct()
+    listings, pairs = judged(raw)
+    member = components(pairs.where("accepted").select("id_a", "id_b"), "id_a", "id_b")
+    m = member.withColumnRenamed("node", "id").join(listings.select("id", "key", "src").distinct(), "id").select("group_id", "key", "src").repartition("group_id")
+    a = m.select("group_id", F.col("key").alias("ref_a"), F.col("src").alias("sa"))
+    b = m.select("group_id", F.col("key").alias("ref_b"), F.col("src").alias("sb"))
+    return a.join(b, "group_id").where("ref_a < ref_b and sa <> sb").select("ref_a", "ref_b")
