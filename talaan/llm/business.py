@@ -109,16 +109,16 @@ def from_raw(raw: DataFrame) -> DataFrame:
 
 
 def from_leads(leads: DataFrame) -> DataFrame:
-    """One row per lead_id; ``address`` gives the number, ``street_key`` the street."""
+    """Leads by ``id``, a 64-bit hash of lead_id; a repeated lead has repeated rows. ``address`` gives the number, ``street_key`` the street."""
     number, _ = street_parts(F.col("address"))
     _, name = street_parts(F.col("street_key"))
     x = leads.where("lead_id is not null").select(
-        F.col("lead_id").alias("key"), core_tokens(F.coalesce("business_name", F.lit(""))).alias("toks"), kind(F.col("business_name")).alias("kind"),
+        F.xxhash64("lead_id").alias("id"), F.col("lead_id").alias("key"), core_tokens(F.coalesce("business_name", F.lit(""))).alias("toks"), kind(F.col("business_name")).alias("kind"),
         phones(F.concat_ws(";", "phone", F.array_join("phones_extra", ";"))).alias("phones"), F.coalesce(F.lower("domain"), host(F.col("website"))).alias("web"),
         emails(F.concat_ws(";", "email", F.array_join("emails_extra", ";"))).alias("mails"), handle(F.col("facebook")).alias("fb"), number.alias("num"), name.alias("street"),
         city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
     )
-    return _finish(x.dropDuplicates(["key"]))
+    return _finish(x)
 
 
 def alike(a: Column, b: Column, longest: int = 2) -> Column:

@@ -6,9 +6,9 @@
 2. The persistent chunk-to-record table holds every accepted lead's chunks, each under the grid cell of the lead's
    position. A new batch reads only the entries that its own chunks meet.
 3. Two leads are candidates when the chunks they share cover at least ``COVER`` of the bytes of the smaller one.
-   Such a pair must share one of the smaller one's rarest chunks, those that make up 1 - ``COVER`` of its bytes, so only
-   these look entries up. That loses no pair, and a chunk that a third of all leads hold is looked up only
-   by leads that have nothing rarer.
+   Chunks that make up more than 1 - ``COVER`` of the smaller one's bytes then hold one that is shared, whichever are
+   chosen, so only these look entries up: those that are rare among the rows at hand. That loses no pair, and a chunk
+   that a third of all leads hold, as the end of a host's name, is looked up only by leads that have little else.
 4. Shared byte totals decide on the candidates, an exact check of name, kind and place follows, and each lead that
    repeats a business is paired with the first accepted lead of it. Then the batch's chunks are appended.
 
@@ -17,6 +17,7 @@ Leads without a position are looked up without the cell. Repeated rows of a lead
 
 from __future__ import annotations
 
+from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,7 +28,7 @@ from pyspark.sql import functions as F
 from talaan.llm import business
 from talaan.llm.groups import components
 from talaan.operators.near import cells
-from talaan.runtime import cut, drop
+from talaan.runtime import cut
 
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
@@ -73,19 +74,33 @@ def chunks(text: str) -> list[int]:
     return list(out)
 
 
-def lines(l: DataFrame) -> Column:
-    """The bytes of a lead, a line per attribute."""
-    parts = ["core", F.array_join("phones", "\n"), "web", F.array_join("mails", "\n"), F.concat(F.col("fb"), F.lit("@")), F.concat_ws(" ", "street", "num"), "city"]
+def lines() -> Column:
+    """The bytes of a lead, a line per attribute, the most telling first."""
+    parts = [F.array_join("phones", "\n"), F.array_join("mails", "\n"), F.col("web"), F.concat(F.col("fb"), F.lit("@")), F.col("core"), F.concat_ws(" ", "street", "num"), F.col("city")]
     return F.concat_ws("\n", *parts)
 
 
+def to_look_up(ids: list[int], cover: float = COVER) -> list[int]:
+    """The first chunks that make up more than 1 - ``cover`` of the bytes."""
+    total = sum(c & 255 for c in ids)
+    out, seen = [], 0
+    for c in ids:
+        if out and seen > total * (1 - cover):
+            break
+        out.append(c)
+        seen += c & 255
+    return out
+
+
 def chunked(leads: DataFrame) -> DataFrame:
-    @F.pandas_udf("array<bigint>")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
+    @F.pandas_udf("chunks array<bigint>, probe array<bigint>")
+    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            yield pd.Series([chunks(x or "") for x in s], dtype=object)
+            found = [chunks(x or "") for x in s]
+            seen = Counter(c for cs in found for c in cs)
+            yield pd.DataFrame({"chunks": found, "probe": [to_look_up(sorted(cs, key=seen.__getitem__)) for cs in found]})
 
-    return leads.withColumn("chunks", ids(lines(leads)))
+    return leads.withColumn("c_", ids(lines())).select("*", "c_.chunks", "c_.probe").drop("c_")
 
 
 def size_of(ids: Column) -> Column:
@@ -93,57 +108,40 @@ def size_of(ids: Column) -> Column:
     return F.aggregate(ids, F.lit(0), lambda a, x: a + x.bitwiseAND(F.lit(255).cast("bigint")).cast("int"))
 
 
+REACH = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
+
+
 def entries(records: DataFrame) -> DataFrame:
-    """The chunk-to-record table: ``c``, ``cell``, ``id``; 'any' place as cell 0, no position as cell -1."""
-    placed = cells(records.where("lat is not null").select("id", "chunks", "lat", "lon"), "lat", "lon", CELL_M, reach=False)
-    at = placed.select("id", F.explode("chunks").alias("c"), "cell")
-    lost = records.where("lat is null").select("id", F.explode("chunks").alias("c"), F.lit(-1).cast("bigint").alias("cell"))
+    """The chunk-to-record table: ``c``, ``cell``, ``id``; the cell of a lead without position is null."""
+    placed = cells(records.where("lat is not null").select("id", "chunks", "lat", "lon"), "lat", "lon", reach=False, **REACH)
+    at = placed.select(F.explode("chunks").alias("c"), "cell", "id")
+    lost = records.where("lat is null").select(F.explode("chunks").alias("c"), F.lit(None).cast("bigint").alias("cell"), "id")
     return at.unionByName(lost)
 
 
-def lookups(records: DataFrame, counts: DataFrame) -> DataFrame:
-    """``c``, ``cell``, ``id``, ``lost``: the rarest chunks of each record, for each cell in reach and for leads without position."""
-    each = records.select("id", F.explode("chunks").alias("c")).join(counts, "c", "left")
-    order = F.array_sort(F.collect_list(F.struct(F.coalesce("n", F.lit(0)).alias("n"), F.col("c"))))
-    rare = each.groupBy("id").agg(order.alias("o"))
-    total = size_of(F.transform("o", lambda x: x["c"]))
-    need = total - F.ceil(total * COVER) + 1  # bytes that must be looked up so that COVER can't be shared in the rest
-    state = F.aggregate(
-        "o", F.struct(F.lit(0).alias("sum"), F.array().cast("array<bigint>").alias("keep")),
-        lambda a, x: F.struct(
-            (a["sum"] + x["c"].bitwiseAND(F.lit(255).cast("bigint")).cast("int")).alias("sum"),
-            F.when(a["sum"] < need, F.concat(a["keep"], F.array(x["c"]))).otherwise(a["keep"]).alias("keep"),
-        ),
-    )
-    rare = rare.select("id", state["keep"].alias("keep"))
-    where = records.select("id", "lat", "lon")
-    around = cells(where.where("lat is not null"), "lat", "lon", CELL_M, reach=True).groupBy("id").agg(F.collect_set("cell").alias("cells"))
-    at = rare.join(around, "id", "left").withColumn("cells", F.coalesce("cells", F.array().cast("array<bigint>")))
-    return at.select("id", F.explode("keep").alias("c"), "cells")
-
-
-def candidates(new: DataFrame, table: DataFrame, counts: DataFrame, old: DataFrame | None) -> DataFrame:
-    """``a``, ``b``: record ids that share a rare chunk in reach, smaller first; at least one of them is new."""
+def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
+    """``a``, ``b``: record ids of which one looks up a chunk of the other, smaller first; at least one of them is new."""
 
     def meet(probe: DataFrame, target: DataFrame) -> DataFrame:
-        p = lookups(probe, counts)
-        t = target.select("c", "cell", F.col("id").alias("other"))
-        near = p.where(F.size("cells") > 0).select("id", "c", F.explode(F.array_union("cells", F.array(F.lit(-1).cast("bigint")))).alias("cell")).join(t, ["c", "cell"])
-        far = p.where(F.size("cells") == 0).select("id", "c").join(t, "c")
-        return near.select("id", "other").unionByName(far.select("id", "other")).where("id <> other")
+        t = target.withColumnRenamed("id", "other")
+        placed = probe.where("lat is not null").select("id", "probe", "lat", "lon")
+        at = cells(placed, "lat", "lon", reach=True, **REACH).select("id", "cell", F.explode("probe").alias("c"))
+        near = at.join(t.where("cell is not null"), ["c", "cell"])
+        lost = placed.select("id", F.explode("probe").alias("c")).join(t.where("cell is null").select("c", "other"), "c")
+        far = probe.where("lat is null").select("id", F.explode("probe").alias("c")).join(t.select("c", "other"), "c")
+        return near.select("id", "other").unionByName(lost.select("id", "other")).unionByName(far.select("id", "other")).where("id <> other")
 
-    fresh = table if old is None else table.join(new.select("id"), "id", "left_semi")
     found = meet(new, table)
     if old is not None:
-        found = found.unionByName(meet(old, fresh))
+        found = found.unionByName(meet(old, table.join(new.select("id"), "id", "left_semi")))
     return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
-def repeats(new: DataFrame, table: DataFrame, counts: DataFrame, old: DataFrame | None) -> DataFrame:
+def repeats(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
     """``ka``, ``kb``: keys of candidates that cover enough shared bytes and are one business at one place."""
     everything = new if old is None else new.unionByName(old)
-    packed = everything.select("id", F.struct("chunks", *ATTRIBUTES).alias("l"))
-    pairs = candidates(new, table, counts, old)
+    packed = everything.select("id", F.struct("chunks", *ATTRIBUTES).alias("l")).repartition("id").dropDuplicates(["id"])
+    pairs = candidates(new, table, old)
     x = pairs.join(packed.select(F.col("id").alias("a"), F.col("l").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("l").alias("y")), "b")
     shared = size_of(F.array_intersect("x.chunks", "y.chunks"))
     x = x.where(shared >= COVER * F.least(size_of(F.col("x.chunks")), size_of(F.col("y.chunks"))))
@@ -157,11 +155,16 @@ class History:
     def __init__(self, spark: SparkSession, path: str):
         self.spark, self.path = spark, path
 
-    def _read(self, name: str) -> DataFrame | None:
-        jvm = self.spark._jvm
-        p = jvm.org.apache.hadoop.fs.Path(f"{self.path}/{name}")
-        there = p.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(p)
-        return self.spark.read.parquet(f"{self.path}/{name}") if there else None
+    def _batches(self) -> list[str]:
+        fs, root = self._fs()
+        return [str(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
+
+    def _fs(self):
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/records")
+        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
+
+    def _read(self, name: str, batches: list[str]) -> DataFrame | None:
+        return self.spark.read.parquet(*(f"{self.path}/{name}/{b}" for b in batches)) if batches else None
 
     def add(self, leads: DataFrame, runs: DataFrame) -> DataFrame:
         """Check a batch (of one run or many) and accept it; ``lead_id_a``, ``lead_id_b`` of its repeats and the firsts.
@@ -169,30 +172,24 @@ class History:
         The order of acceptance is the run's created_at, then lead_id; a lead without a known run comes last.
         A batch is to be later than what is accepted already.
         """
-        spark = self.spark
         order = runs.select(F.col("run_id").alias("run"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).groupBy("run").agg(F.min("at").alias("at"))
-        new = chunked(business.from_leads(leads)).join(order, "run", "left").withColumn("id", F.xxhash64("key", F.lit(7)))
-        new = cut(new.select("id", "chunks", "at", *ATTRIBUTES))
-        old, table = self._read("records"), self._read("chunks")
-        fresh = cut(entries(new))
-        table = fresh if table is None else table.unionByName(fresh)
-        counts = cut(table.groupBy("c").agg(F.count("*").alias("n")))
+        before = self._batches()
+        batch = f"{len(before):06d}"
+        fresh = chunked(business.from_leads(leads)).join(order, "run", "left").select("id", "chunks", "probe", F.coalesce("at", F.lit(2**62)).alias("at"), *ATTRIBUTES)
+        fresh.write.parquet(f"{self.path}/records/{batch}")
+        new = self._read("records", [batch])
+        entries(new).write.parquet(f"{self.path}/chunks/{batch}")
+        table, old = self._read("chunks", [*before, batch]), self._read("records", before)
         touched = None
         if old is not None:  # of the history, only what shares a chunk with the batch is read further
-            ids = table.join(fresh.select("c").distinct(), "c", "left_semi").select("id").distinct()
+            mine = self._read("chunks", [batch]).select("c").distinct()
+            ids = table.join(mine, "c", "left_semi").select("id").distinct()
             touched = cut(old.join(ids, "id", "left_semi").join(new.select("id"), "id", "left_anti"))
-        same = cut(repeats(new, table, counts, touched))
+        same = cut(repeats(new, table, touched))
         whole = new.select("key", "at") if touched is None else new.select("key", "at").unionByName(touched.select("key", "at"))
-        group = components(same, "ka", "kb")
-        member = cut(group.join(whole, F.col("node") == F.col("key")).select("group_id", "key", F.coalesce("at", F.lit(2**62)).alias("at")))
+        member = cut(components(same, "ka", "kb").join(whole, F.col("node") == F.col("key")).select("group_id", "key", "at").distinct())
         first = member.groupBy("group_id").agg(F.min(F.struct("at", "key"))["key"].alias("first"))
         pairs = member.join(first, "group_id").where("key <> first")
         if touched is not None:
-            pairs = pairs.join(new.select("key"), "key", "left_semi")
-        out = cut(pairs.select(F.least("key", "first").alias("lead_id_a"), F.greatest("key", "first").alias("lead_id_b")))
-        new.write.mode("append").parquet(f"{self.path}/records")
-        fresh.write.mode("append").parquet(f"{self.path}/chunks")
-        for done in (new, fresh, counts, same, member, touched):
-            if done is not None:
-                drop(done)
-        return out
+            pairs = pairs.join(new.select("key").distinct(), "key", "left_semi")
+        return pairs.select(F.least("key", "first").alias("lead_id_a"), F.greatest("key", "first").alias("lead_id_b"))
