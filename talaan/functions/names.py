@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from talaan.functions import dims
-from talaan.functions.text import fold, tokens
+from talaan.functions.text import fold, strip, tokens
 
 _UNIT = (
     r"\b(?:unit|rm|room|suite|ste|flr|floor|level|lvl|bldg|building|stall|space)\s*[#.]?\s*[\w-]*|\b\d+(?:st|nd|rd|th)\s+(?:floor|flr|level)\b|\b\d+/f\b|#\s*[\w-]+"
@@ -54,7 +54,7 @@ def close(a: Column, b: Column) -> Column:
 
 def address_line(*parts: Column) -> Column:
     """The distinct non-blank parts in order, joined by commas; null if there is none."""
-    kept = F.array_distinct(F.filter(F.transform(F.array(*parts), F.trim), lambda p: p.isNotNull() & (p != "")))
+    kept = F.array_distinct(F.filter(F.transform(F.array(*parts), strip), lambda p: p.isNotNull() & (p != "")))
     return F.nullif(F.array_join(kept, ", "), F.lit(""))
 
 
@@ -71,7 +71,7 @@ def house_street(line: Column) -> Column:
 
 def first_present(*values: Column) -> Column:
     """The first value that isn't blank, trimmed."""
-    return F.coalesce(*(F.nullif(F.trim(v), F.lit("")) for v in values))
+    return F.coalesce(*(F.nullif(strip(v), F.lit("")) for v in values))
 
 
 def slug(text: Column, longest: int = 60) -> Column:

@@ -30,6 +30,11 @@ def tokens(c: Column) -> Column:
     return F.filter(F.split(F.trim(x), " "), lambda t: t != "")
 
 
+def strip(c: Column) -> Column:
+    """Without white space of any kind at the ends."""
+    return F.regexp_replace(c, r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")
+
+
 def squeeze(c: Column) -> Column:
     """White space of any kind as single spaces, none at the ends."""
     return F.trim(F.regexp_replace(c, r"[\s\p{Z}]+", " "))

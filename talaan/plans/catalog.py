@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talaan.plans import spatial
+from talaan.plans import leads, matching, runs, spatial, store
 
-MODULES = [spatial]
+MODULES = [runs, leads, matching, store, spatial]
 
 
 def queries() -> dict:
