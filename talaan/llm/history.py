@@ -32,11 +32,11 @@ from talaan.runtime import cut
 
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
-MIN = 3
-COVER = 0.35
-CELL_M = 500.0
+MIN = 5
+COVER = 0.45
+CELL_M = 1_000.0
 GEAR = np.random.default_rng(20_240_601).integers(0, 2**32, 256, dtype=np.uint64)
-ATTRIBUTES = ["key", "core", "toks", "kind", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"]
+ATTRIBUTES = ["key", "name", "kind", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"]
 
 
 def boundaries(data: bytes) -> np.ndarray:
@@ -76,7 +76,7 @@ def chunks(text: str) -> list[int]:
 
 def lines() -> Column:
     """The bytes of a lead, a line per attribute, the most telling first."""
-    parts = [F.array_join("phones", "\n"), F.array_join("mails", "\n"), F.col("web"), F.concat(F.col("fb"), F.lit("@")), F.col("core"), F.concat_ws(" ", "street", "num"), F.col("city")]
+    parts = [F.array_join("phones", "\n"), F.array_join("mails", "\n"), F.col("web"), F.concat(F.col("fb"), F.lit("@")), business.core(), F.concat_ws(" ", "street", "num"), F.col("city")]
     return F.concat_ws("\n", *parts)
 
 
