@@ -1,6 +1,6 @@
 """What listings and leads are compared by, as JVM expressions: one schema for both.
 
-``core`` is the name without words for kinds of business, legal forms and what follows a dash, comma or
+``name`` is the name without words for kinds of business, legal forms and what follows a dash, comma or
 bracket. Phones are national digits, websites are hosts, streets are names without number, unit and type.
 """
 
@@ -89,9 +89,13 @@ def city_text(city: Column) -> Column:
     return F.nullif(F.array_join(_without(x, CITY_NOISE), " "), F.lit(""))
 
 
+def core(name: str = "name") -> Column:
+    """The core as one word."""
+    return F.replace(F.col(name), F.lit(" "), F.lit(""))
+
+
 def _finish(df: DataFrame) -> DataFrame:
     ok = usable(F.col("lat"), F.col("lon"))
-    df = df.withColumn("core", F.array_join("toks", ""))
     return df.withColumn("lat", F.when(ok, F.col("lat"))).withColumn("lon", F.when(ok, F.col("lon")))
 
 
@@ -100,7 +104,7 @@ def from_raw(raw: DataFrame) -> DataFrame:
     number, name = street_parts(F.col("street"))
     return _finish(
         raw.where("source_ref is not null and trim(name) <> ''").select(
-            F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"), core_tokens(F.col("name")).alias("toks"), kind(F.col("name")).alias("kind"),
+            F.xxhash64("source_ref").alias("id"), F.crc32("source").alias("src"), F.array_join(core_tokens(F.col("name")), " ").alias("name"), kind(F.col("name")).alias("kind"),
             phones(F.array_join("phones_raw", ";")).alias("phones"), host(F.col("website_raw")).alias("web"), emails(F.array_join("emails_raw", ";")).alias("mails"),
             handle(F.col("facebook")).alias("fb"), F.coalesce(F.nullif(F.regexp_extract(F.lower(F.coalesce("housenumber", F.lit(""))), r"(\d+[a-z]?)", 1), F.lit("")), number).alias("num"),
             name.alias("street"), city_text(F.col("city")).alias("city"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
@@ -113,7 +117,7 @@ def from_leads(leads: DataFrame) -> DataFrame:
     number, _ = street_parts(F.col("address"))
     _, name = street_parts(F.col("street_key"))
     x = leads.where("lead_id is not null").select(
-        F.xxhash64("lead_id").alias("id"), F.col("lead_id").alias("key"), core_tokens(F.coalesce("business_name", F.lit(""))).alias("toks"), kind(F.col("business_name")).alias("kind"),
+        F.xxhash64("lead_id").alias("id"), F.col("lead_id").alias("key"), F.array_join(core_tokens(F.coalesce("business_name", F.lit(""))), " ").alias("name"), kind(F.col("business_name")).alias("kind"),
         phones(F.concat_ws(";", "phone", F.array_join("phones_extra", ";"))).alias("phones"), F.coalesce(F.lower("domain"), host(F.col("website"))).alias("web"),
         emails(F.concat_ws(";", "email", F.array_join("emails_extra", ";"))).alias("mails"), handle(F.col("facebook")).alias("fb"), number.alias("num"), name.alias("street"),
         city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
@@ -129,7 +133,8 @@ def alike(a: Column, b: Column, longest: int = 2) -> Column:
 
 def same_name(a: str, b: str) -> Column:
     """The names' cores agree: alike, one within the other, or an initial for the first word."""
-    ca, cb, ta, tb = (F.col(f"{x}.{c}") for c in ("core", "toks") for x in (a, b))
+    ca, cb = core(f"{a}.name"), core(f"{b}.name")
+    ta, tb = F.split(F.col(f"{a}.name"), " "), F.split(F.col(f"{b}.name"), " ")
     inside = (F.least(F.length(ca), F.length(cb)) >= 7) & (F.contains(ca, cb) | F.contains(cb, ca))
     two = (F.size(ta) == 2) & (F.size(tb) == 2)
     initial = (F.length(F.get(ta, F.lit(0))) == 1) | (F.length(F.get(tb, F.lit(0))) == 1)
@@ -140,7 +145,7 @@ def same_name(a: str, b: str) -> Column:
 
 def near_name(a: str, b: str) -> Column:
     """The shorter core is nearly the head or the tail of the longer: slips in words for the kind, or in both names."""
-    ca, cb = F.col(f"{a}.core"), F.col(f"{b}.core")
+    ca, cb = core(f"{a}.name"), core(f"{b}.name")
     n = F.least(F.length(ca), F.length(cb))
     slips = F.when(n >= 8, 2).otherwise(1)
     head = F.levenshtein(F.substring(ca, F.lit(1), n), F.substring(cb, F.lit(1), n), 2)

@@ -98,10 +98,14 @@ def _ends(core: Column) -> Column:
 def _loose() -> Column:
     """Keys of a listing that needn't have a position: composite of a name part and another attribute."""
     core, none = F.col("core"), F.array().cast("array<string>")
-    phone = F.flatten(F.transform("phones", lambda t: F.transform(_ends(core), lambda p: F.concat(p, t))))
-    street = F.when(F.col("street").isNotNull(), F.array(F.concat_ws("|", F.lit("s"), F.substring(core, 1, 3), F.substring("street", 1, 4), F.coalesce("num", F.lit(""))))).otherwise(none)
-    city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", F.lit("c"), core, "city"))).otherwise(none)
-    return F.array_distinct(F.concat(phone, street, city))
+    head = F.substring(core, 1, 3)
+
+    def each(c: str, parts: Column) -> Column:
+        return F.flatten(F.transform(c, lambda v: F.transform(parts, lambda p: F.concat(p, v))))
+
+    street = F.when(F.col("street").isNotNull(), F.transform(_ends(core), lambda p: F.concat_ws("|", p, F.substring("street", 1, 4), F.coalesce("num", F.lit(""))))).otherwise(none)
+    city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", core, "city"), F.concat_ws("|", "web", "city"))).otherwise(none)
+    return F.array_distinct(F.concat(each("phones", _ends(core)), each("mails", F.array(head)), street, F.filter(city, lambda k: F.contains(k, F.lit("|")))))
 
 
 def candidates(listings: DataFrame) -> DataFrame:
@@ -110,7 +114,7 @@ def candidates(listings: DataFrame) -> DataFrame:
     Key rows hold two numbers and the source's checksum. They are partitioned by key once: repeats are dropped
     and pairs are joined in place.
     """
-    slim = listings.select("id", F.crc32("src").alias("s"), "core", "phones", "street", "num", "city", "lat", "lon")
+    slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "phones", "mails", "web", "street", "num", "city", "lat", "lon")
     placed = slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_ends(F.col("core"))).alias("end"))
 
     def rows(df: DataFrame, k: Column) -> DataFrame:
@@ -130,7 +134,7 @@ def candidates(listings: DataFrame) -> DataFrame:
 
 def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with the votes. Both joins read one exchange of the listings."""
-    one = listings.select("id", F.struct("core", "toks", "kind", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
+    one = listings.select("id", F.struct("name", "kind", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
     one = one.repartition("id").dropDuplicates(["id"])
     x = pairs.join(one.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
     v = business.votes("a", "b")
@@ -161,23 +165,27 @@ def judged(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     return listings, scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
 
 
+def _names(raw: DataFrame) -> DataFrame:
+    return raw.where("source_ref is not null").select(F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src")).distinct()
+
+
 def links(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``, votes, ``confidence`` and ``accepted`` of every candidate pair of two sources.
 
     Rows without source_ref or name are no listings; repeated listings count once; missing attributes
     abstain. An empty table gives an empty result.
     """
-    listings, pairs = judged(raw)
-    names = listings.select("id", "key").distinct()
+    _, pairs = judged(raw)
+    names = _names(raw)
     x = pairs.join(names.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("key").alias("kb")), "id_b")
     return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted")
 
 
 def same_business(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``: each two listings of different sources that are one business at one place."""
-    listings, pairs = judged(raw)
+    _, pairs = judged(raw)
     member = components(pairs.where("accepted").select("id_a", "id_b"), "id_a", "id_b")
-    m = member.withColumnRenamed("node", "id").join(listings.select("id", "key", "src").distinct(), "id").select("group_id", "key", "src").repartition("group_id")
+    m = member.withColumnRenamed("node", "id").join(_names(raw), "id").select("group_id", "key", "src").repartition("group_id")
     a = m.select("group_id", F.col("key").alias("ref_a"), F.col("src").alias("sa"))
     b = m.select("group_id", F.col("key").alias("ref_b"), F.col("src").alias("sb"))
     return a.join(b, "group_id").where("ref_a < ref_b and sa <> sb").select("ref_a", "ref_b")
