@@ -21,7 +21,8 @@ def fold(c: Column) -> Column:
     read = x
     for a, b in MISREAD:
         read = F.replace(read, F.lit(a), F.lit(b))
-    return F.translate(F.when(F.contains(x, F.lit("ã")), read).otherwise(x), ACCENTED + DROPPED, PLAIN)
+    plain = F.octet_length(c) == F.char_length(c)  # ASCII needs no more
+    return F.when(plain, x).otherwise(F.translate(F.when(F.contains(x, F.lit("ã")), read).otherwise(x), ACCENTED + DROPPED, PLAIN))
 
 
 def tokens(c: Column) -> Column:
