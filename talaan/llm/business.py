@@ -99,6 +99,13 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumn("lat", F.when(ok, F.col("lat"))).withColumn("lon", F.when(ok, F.col("lon")))
 
 
+def hashed(df: DataFrame) -> DataFrame:
+    """Phones, e-mails, hosts and pages as 64-bit hashes: they are only compared for equality."""
+    many = {c: F.transform(c, lambda v: F.xxhash64(v)) for c in ("phones", "mails")}
+    one = {c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("web", "fb")}
+    return df.withColumns(many | one)
+
+
 def from_raw(raw: DataFrame) -> DataFrame:
     """Listings by ``id``, a 64-bit hash of source_ref; a repeated listing has repeated rows. Rows without source_ref or name aren't listings."""
     number, name = street_parts(F.col("street"))

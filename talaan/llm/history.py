@@ -58,20 +58,39 @@ def boundaries(data: bytes) -> np.ndarray:
     return np.union1d(np.union1d(ends, np.flatnonzero(newline) + 1), [len(b)])
 
 
-def chunks(text: str) -> list[int]:
-    """Distinct chunk ids of a text: 55 bits of hash above 8 bits of length (255 stands for more)."""
-    import xxhash
+def batch_chunks(texts: list[str]) -> list[list[int]]:
+    """Distinct chunk ids of each text: 55 bits of hash above 8 bits of length (255 stands for more).
+
+    The boundaries of all texts are found at once: a text is lines, so it starts afresh.
+    """
+    from xxhash import xxh64_intdigest
+
+    data = [t.encode("utf-8", "replace") for t in texts]
+    whole = b"\n".join(data) + b"\n"
+    ends = boundaries(whole).tolist()
+    out, k, start = [], 0, 0
+    for d in data:
+        stop = start + len(d) + 1
+        found: dict[int, None] = {}
+        at = start
+        while k < len(ends) and ends[k] <= stop:
+            end = ends[k]
+            k += 1
+            if end - at < MIN and whole[end - 1] != 10:
+                continue
+            piece = whole[at:end]
+            if piece[-1] == 10:
+                piece = piece[:-1]
+            at = end
+            if piece:
+                found[(xxh64_intdigest(piece) >> 9) << 8 | min(len(piece), 255)] = None
+        out.append(list(found))
+        start = stop
+    return out
+
 
-    data = text.encode("utf-8", "replace")
-    out, start = {}, 0
-    for end in boundaries(data).tolist():
-        if end - start < MIN and end < len(data) and data[end - 1] != 10:
-            continue
-        piece = data[start:end].rstrip(b"\n")
-        start = end
-        if piece:
-            out[(xxhash.xxh64_intdigest(piece) >> 9) << 8 | min(len(piece), 255)] = None
-    return list(out)
+def chunks(text: str) -> list[int]:
+    return batch_chunks([text])[0]
 
 
 def lines() -> Column:
@@ -96,7 +115,7 @@ def chunked(leads: DataFrame) -> DataFrame:
     @F.pandas_udf("chunks array<bigint>, probe array<bigint>")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
-            found = [chunks(x or "") for x in s]
+            found = batch_chunks([x or "" for x in s])
             seen = Counter(c for cs in found for c in cs)
             yield pd.DataFrame({"chunks": found, "probe": [to_look_up(sorted(cs, key=seen.__getitem__)) for cs in found]})
 
@@ -108,14 +127,20 @@ def size_of(ids: Column) -> Column:
     return F.aggregate(ids, F.lit(0), lambda a, x: a + x.bitwiseAND(F.lit(255).cast("bigint")).cast("int"))
 
 
+def _kind() -> Column:
+    """The kind of business as a number; 0 if the name doesn't say."""
+    return sum((F.when(F.col("kind") == k, i + 1).otherwise(0) for i, k in enumerate(business.KIND_OF)), F.lit(0)).cast("tinyint")
+
+
 REACH = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
 
 
 def entries(records: DataFrame) -> DataFrame:
-    """The chunk-to-record table: ``c``, ``cell``, ``id``; the cell of a lead without position is null."""
-    placed = cells(records.where("lat is not null").select("id", "chunks", "lat", "lon"), "lat", "lon", reach=False, **REACH)
-    at = placed.select(F.explode("chunks").alias("c"), "cell", "id")
-    lost = records.where("lat is null").select(F.explode("chunks").alias("c"), F.lit(None).cast("bigint").alias("cell"), "id")
+    """The chunk-to-record table: ``c``, ``cell``, ``id``, ``k``; the cell of a lead without position is null, k is the kind."""
+    r = records.withColumn("k", _kind())
+    placed = cells(r.where("lat is not null").select("id", "k", "chunks", "lat", "lon"), "lat", "lon", reach=False, **REACH)
+    at = placed.select(F.explode("chunks").alias("c"), "cell", "id", "k")
+    lost = r.where("lat is null").select(F.explode("chunks").alias("c"), F.lit(None).cast("bigint").alias("cell"), "id", "k")
     return at.unionByName(lost)
 
 
@@ -123,13 +148,15 @@ def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataF
     """``a``, ``b``: record ids of which one looks up a chunk of the other, smaller first; at least one of them is new."""
 
     def meet(probe: DataFrame, target: DataFrame) -> DataFrame:
+        p = probe.withColumn("pk", _kind())
         t = target.withColumnRenamed("id", "other")
-        placed = probe.where("lat is not null").select("id", "probe", "lat", "lon")
-        at = cells(placed, "lat", "lon", reach=True, **REACH).select("id", "cell", F.explode("probe").alias("c"))
+        placed = p.where("lat is not null").select("id", "pk", "probe", "lat", "lon")
+        at = cells(placed, "lat", "lon", reach=True, **REACH).select("id", "pk", "cell", F.explode("probe").alias("c"))
         near = at.join(t.where("cell is not null"), ["c", "cell"])
-        lost = placed.select("id", F.explode("probe").alias("c")).join(t.where("cell is null").select("c", "other"), "c")
-        far = probe.where("lat is null").select("id", F.explode("probe").alias("c")).join(t.select("c", "other"), "c")
-        return near.select("id", "other").unionByName(lost.select("id", "other")).unionByName(far.select("id", "other")).where("id <> other")
+        lost = placed.select("id", "pk", F.explode("probe").alias("c")).join(t.where("cell is null").select("c", "other", "k"), "c")
+        far = p.where("lat is null").select("id", "pk", F.explode("probe").alias("c")).join(t.select("c", "other", "k"), "c")
+        same = "id <> other and (pk = k or pk = 0 or k = 0)"  # of different kinds the exact check takes none
+        return near.where(same).select("id", "other").unionByName(lost.where(same).select("id", "other")).unionByName(far.where(same).select("id", "other"))
 
     found = meet(new, table)
     if old is not None:
@@ -175,7 +202,7 @@ class History:
         order = runs.select(F.col("run_id").alias("run"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).groupBy("run").agg(F.min("at").alias("at"))
         before = self._batches()
         batch = f"{len(before):06d}"
-        fresh = chunked(business.from_leads(leads)).join(order, "run", "left").select("id", "chunks", "probe", F.coalesce("at", F.lit(2**62)).alias("at"), *ATTRIBUTES)
+        fresh = business.hashed(chunked(business.from_leads(leads))).join(order, "run", "left").select("id", "chunks", "probe", F.coalesce("at", F.lit(2**62)).alias("at"), *ATTRIBUTES)
         fresh.write.parquet(f"{self.path}/records/{batch}")
         new = self._read("records", [batch])
         entries(new).write.parquet(f"{self.path}/chunks/{batch}")
