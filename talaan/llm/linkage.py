@@ -101,10 +101,10 @@ def _loose() -> Column:
     head = F.substring(core, 1, 3)
 
     def each(c: str, parts: Column) -> Column:
-        return F.flatten(F.transform(c, lambda v: F.transform(parts, lambda p: F.concat(p, v))))
+        return F.flatten(F.transform(c, lambda v: F.transform(parts, lambda p: F.concat(p, v.cast("string")))))
 
     street = F.when(F.col("street").isNotNull(), F.transform(_ends(core), lambda p: F.concat_ws("|", p, F.substring("street", 1, 4), F.coalesce("num", F.lit(""))))).otherwise(none)
-    city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", core, "city"), F.concat_ws("|", "web", "city"))).otherwise(none)
+    city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", core, "city"), F.concat_ws("|", F.col("web").cast("string"), "city"))).otherwise(none)
     return F.array_distinct(F.concat(each("phones", _ends(core)), each("mails", F.array(head)), street, F.filter(city, lambda k: F.contains(k, F.lit("|")))))
 
 
@@ -160,7 +160,7 @@ def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
 
 def judged(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
     """The listings, and all candidate pairs by id with votes, confidence and decision."""
-    listings = cut(business.from_raw(raw))
+    listings = cut(business.hashed(business.from_raw(raw)))
     scored, _ = confident(cut(voted(listings, candidates(listings))))
     return listings, scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
 
