@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from talaan.plans import connectors, leads, matching, runs, spatial, store
+from talaan.plans import connectors, leads, matching, pipeline, runs, spatial, store
 
-MODULES = [runs, leads, matching, store, connectors, spatial]
+MODULES = [runs, leads, matching, store, connectors, pipeline, spatial]
 
 
 def queries() -> dict:

@@ -74,6 +74,14 @@ def drop(df: DataFrame) -> None:
         _remove(df.sparkSession, path)
 
 
+BROADCAST_ROWS = 1_000_000
+
+
+def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
+    """``df`` with a broadcast hint if it has at most ``rows`` rows (of a few numbers each); beyond that Spark joins by a shuffle."""
+    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
 def parallelism(spark: SparkSession) -> int:
     """Partitions for CPU-bound Python stages: the session's shuffle partitions, at least its cores."""
     return max(int(spark.conf.get("spark.sql.shuffle.partitions")), spark.sparkContext.defaultParallelism)
