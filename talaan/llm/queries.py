@@ -139,4 +139,30 @@ def p10_reasons(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {name: f for name, f in list(globals().items()) if name[0] == "p" and name[1].isdigit()}
-SQL: dict[str, str] = {}
+_ID = """CASE WHEN lower({c}) LIKE 'l-%' THEN 'L-' || lower(substr({c}, 3)) ELSE lower({c}) END"""
+_SIDE = "nullif(regexp_replace(lead_id_{s}, '^[\\s]+|[\\s]+$', '', 'g'), '')"
+_EDGES = f"(SELECT {_ID.format(c='a')} AS a, {_ID.format(c='b')} AS b FROM (SELECT {_SIDE.format(s='a')} AS a, {_SIDE.format(s='b')} AS b FROM possible_duplicates) WHERE a IS NOT NULL AND b IS NOT NULL AND lower(a) <> lower(b))"
+_GROUPS = f"""WITH RECURSIVE e AS (SELECT a, b FROM {_EDGES} UNION SELECT b, a FROM {_EDGES}), r AS (SELECT a AS node, a AS other FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.other = e.a)
+SELECT node AS lead_id, min(other) AS group_id FROM r GROUP BY 1"""
+_AT = """CASE WHEN regexp_matches(updated_at, '^\\d{4}-\\d{2}-\\d{2}([T ].*)?$') THEN epoch_us(TRY_CAST(CASE WHEN regexp_matches(updated_at, '(Z|[+-]\\d{2}:\\d{2})$') AND length(updated_at) > 10 THEN updated_at
+WHEN length(updated_at) > 10 THEN updated_at || '+00:00' ELSE updated_at || ' 00:00:00+00:00' END AS TIMESTAMPTZ)) END"""
+_USABLE = {
+    "phone": "regexp_matches(trim(phone), '^\\+639\\d{9}$') AND len(list_distinct(string_split(substr(trim(phone), 5), ''))) > 1",
+    "website": "regexp_matches(trim(website), '(?i)^https?://([A-Za-z0-9_-]+\\.)+[A-Za-z0-9_-]+([/?#:].*)?$')",
+    "email": "regexp_matches(trim(email), '^[^@\\s]+@([A-Za-z0-9_-]+\\.)+[A-Za-z0-9_-]+$')",
+}
+_BEST = " UNION ALL ".join(
+    f"""SELECT group_no, '{f}' AS field_name, lead_id, value FROM (SELECT *, row_number() OVER (PARTITION BY group_no ORDER BY trust DESC, seen DESC NULLS LAST, lead_id, value) AS n
+FROM (SELECT m.group_no, m.lead_id, trim(m.{f}) AS value, CASE WHEN {_AT} < epoch_us(TIMESTAMPTZ '2031-01-01 00:00:00+00:00') THEN {_AT} END AS seen,
+(SELECT coalesce(max(t.trust), 0) FROM source_trust t WHERE list_contains(list_transform(coalesce(m.sources, []), lambda s: lower(trim(s))), lower(trim(t.source)))) AS trust
+FROM merge_candidates m WHERE {ok})) WHERE n = 1"""
+    for f, ok in _USABLE.items()
+)
+
+SQL: dict[str, str] = {
+    "p1_found": _GROUPS,
+    "p1_sizes": f"SELECT n_leads, count(*) AS n_groups FROM (SELECT group_id, count(*) AS n_leads FROM ({_GROUPS}) GROUP BY 1) GROUP BY 1",
+    "p2_found": f"SELECT group_no, field_name, lead_id FROM ({_BEST})",
+    "p2_golden": "SELECT g.group_no, g.n_records, " + ", ".join(f"max(CASE WHEN field_name = '{f}' THEN value END) AS {f}" for f in _USABLE)
+    + f" FROM (SELECT group_no, count(*) AS n_records FROM merge_candidates GROUP BY 1) g LEFT JOIN ({_BEST}) b USING (group_no) GROUP BY 1, 2",
+}
