@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 from talaan.llm import business
 from talaan.llm.groups import components
 from talaan.operators.near import cells
-from talaan.runtime import cut
+from talaan.runtime import broadcast_if_small, cut
 
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
@@ -151,10 +151,13 @@ def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataF
         p = probe.withColumn("pk", _kind())
         t = target.withColumnRenamed("id", "other")
         placed = p.where("lat is not null").select("id", "pk", "probe", "lat", "lon")
-        at = cells(placed, "lat", "lon", reach=True, **REACH).select("id", "pk", "cell", F.explode("probe").alias("c"))
-        near = at.join(t.where("cell is not null"), ["c", "cell"])
-        lost = placed.select("id", "pk", F.explode("probe").alias("c")).join(t.where("cell is null").select("c", "other", "k"), "c")
-        far = p.where("lat is null").select("id", "pk", F.explode("probe").alias("c")).join(t.select("c", "other", "k"), "c")
+        where = F.xxhash64("c", "cell").alias("h")
+        at = cells(placed, "lat", "lon", reach=True, **REACH).select("id", "pk", "cell", F.explode("probe").alias("c")).select(where, "id", "pk")
+        near = at.join(t.where("cell is not null").select(where, "other", "k"), "h")
+        # leads without position are few: their side is sent whole if it is small, so the other isn't shuffled
+        rare = broadcast_if_small(t.where("cell is null").select("c", "other", "k"))
+        lost = placed.select("id", "pk", F.explode("probe").alias("c")).join(rare, "c")
+        far = broadcast_if_small(p.where("lat is null").select("id", "pk", F.explode("probe").alias("c"))).join(t.select("c", "other", "k"), "c")
         same = "id <> other and (pk = k or pk = 0 or k = 0)"  # of different kinds the exact check takes none
         return near.where(same).select("id", "other").unionByName(lost.where(same).select("id", "other")).unionByName(far.where(same).select("id", "other"))
 
