@@ -224,7 +224,7 @@ def triangles(areas: DataFrame, area: str, rings: str) -> DataFrame:
                     (x0, y0), (x1, y1) = pts.min(axis=0), pts.max(axis=0)
                     rows.append((key, [x0, y0, x1, y0, x1, y1], [[[float(v) for v in p] for p in r] for r in rr if r is not None]))
                     rows.append((key, [x0, y0, x1, y1, x0, y1], rows[-1][2]))
-            yield pd.DataFrame(rows, columns=["area", "tri", "rings"])
+            yield pd.DataFrame(rows, columns=["area", "tri", "rings"], dtype=object)
 
     src = areas.select(F.col(area).cast("string").alias("area"), F.col(rings).alias("rings")).where("area is not null and rings is not null")
     return src.mapInPandas(cut_batches, TRIANGLES)
@@ -275,7 +275,7 @@ def regions_of_points(
             index = _index(shared.value)
             for pdf in batches:
                 at, names = _probe(index, pdf["x"].to_numpy(), pdf["y"].to_numpy())
-                yield pd.DataFrame({"area": names, "key": pdf["key"].to_numpy(dtype=object)[at].tolist()})
+                yield pd.DataFrame({"area": names, "key": pdf["key"].to_numpy(dtype=object)[at].tolist()}, dtype=object)
 
         return pts.mapInPandas(probe, "area string, key string").distinct()
 
@@ -298,10 +298,10 @@ def regions_of_points(
 
     def cell(left: pd.DataFrame, right: pd.DataFrame) -> pd.DataFrame:
         if not len(left) or not len(right):
-            return pd.DataFrame({"area": pd.Series(dtype=str), "key": pd.Series(dtype=str)})
+            return pd.DataFrame({"area": [], "key": []}, dtype=object)
         index = _index(zip(right["area"], right["tri"], right["rings"]))
         at, names = _probe(index, left["x"].to_numpy(), left["y"].to_numpy())
-        return pd.DataFrame({"area": names, "key": left["key"].to_numpy(dtype=object)[at].tolist()})
+        return pd.DataFrame({"area": names, "key": left["key"].to_numpy(dtype=object)[at].tolist()}, dtype=object)
 
     by = ("cx", "cy", "salt")
     return p.groupBy(*by).cogroup(t.groupBy(*by)).applyInPandas(cell, "area string, key string").distinct()

@@ -80,7 +80,7 @@ def read_listings(pages: DataFrame, a: Adapter, html: str = "html", url: str = "
     def go(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for pdf in batches:
             rows = [{**r, "page": u, "pos": i} for u, h in zip(pdf["url"], pdf["html"]) for i, r in enumerate(rows_of(h, u, a))]
-            yield pd.DataFrame(rows, columns=[*FIELDS, "source_ref", "page", "pos"])
+            yield pd.DataFrame(rows, columns=[*FIELDS, "source_ref", "page", "pos"], dtype=object)
 
     schema = ", ".join(f"{c} string" for c in [*FIELDS, "source_ref", "page"]) + ", pos int"
     rows = pages.select(F.col(url).alias("url"), F.col(html).alias("html")).mapInPandas(go, schema)
