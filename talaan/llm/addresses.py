@@ -224,7 +224,7 @@ def readings(records: DataFrame, cities: DataFrame) -> DataFrame:
             for row in pdf.itertuples(index=False):
                 found = reader.read(*(x if isinstance(x, str) else None for x in row[1:]))
                 out += [(row[0], *r) for r in found]
-            yield pd.DataFrame(out, columns=["address_id", "score", "city_id", "number", "spelling", "kind", "ext"])
+            yield pd.DataFrame(out, columns=["address_id", "score", "city_id", "number", "spelling", "kind", "ext"], dtype=object)
 
     return records.select(F.col("address_id").cast("bigint").alias("address_id"), *PARTS).where("address_id is not null").mapInPandas(go, READING)
 

@@ -117,7 +117,7 @@ def chunked(leads: DataFrame) -> DataFrame:
         for s in parts:
             found = batch_chunks([x or "" for x in s])
             seen = Counter(c for cs in found for c in cs)
-            yield pd.DataFrame({"chunks": found, "probe": [to_look_up(sorted(cs, key=seen.__getitem__)) for cs in found]})
+            yield pd.DataFrame({"chunks": found, "probe": [to_look_up(sorted(cs, key=seen.__getitem__)) for cs in found]}, dtype=object)
 
     return leads.withColumn("c_", ids(lines())).select("*", "c_.chunks", "c_.probe").drop("c_")
 

@@ -78,7 +78,7 @@ def pack(sizes: DataFrame, key: str, size: str, capacity: int = CAPACITY, block:
             rest.append((k, whole, whole * capacity, n - whole * capacity))
         for (k, i, first, m), box in zip(rest, place([r[3] for r in rest], capacity)):
             rows.append((k, i, first, m, f"{b}-{box}"))
-        return pd.DataFrame(rows, columns=["key_", "piece_no", "first_token", "n_tokens", "container_id"])
+        return pd.DataFrame(rows, columns=["key_", "piece_no", "first_token", "n_tokens", "container_id"], dtype=object)
 
     return s.groupBy("block_").applyInPandas(fill, schema).withColumnRenamed("key_", key)
 
