@@ -40,18 +40,16 @@ def _double(tree: DataFrame) -> DataFrame:
 
 
 def _collapse(tree: DataFrame) -> DataFrame:
-    """Pointer doubling until nothing moves."""
+    """Pointer doubling until every component points to its root; trees that are flat from the start need none."""
     tree = cut(tree)
     while True:
+        up = tree.select(F.col("c").alias("uc"), F.col("p").alias("up"))
+        if tree.where("c != p").join(up, F.col("p") == F.col("uc")).where("up != p").isEmpty():
+            return tree
         nxt = tree
         for _ in range(DOUBLINGS):
             nxt = _double(nxt)
-        nxt = cut(nxt, after=[tree])
-        up = nxt.select(F.col("c").alias("uc"), F.col("p").alias("up"))
-        open_ = nxt.where("c != p").join(up, F.col("p") == F.col("uc")).where("up != p")
-        if open_.isEmpty():
-            return nxt
-        tree = nxt
+        tree = cut(nxt, after=[tree])
 
 
 def components(edges: DataFrame, a: str, b: str) -> DataFrame:

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from talaan.llm import business
 from talaan.llm.groups import components
 from talaan.operators.near import cells
-from talaan.runtime import cut
+from talaan.runtime import broadcast_if_small, cut
 
 CELL_M = 1_000.0
 ACCEPT = 0.5
@@ -111,23 +111,23 @@ def _loose() -> Column:
 def candidates(listings: DataFrame) -> DataFrame:
     """``id_a``, ``id_b``: pairs of listings of different sources worth a look, each once, smaller id first.
 
-    Key rows hold two numbers and the source's checksum. They are partitioned by key once: repeats are dropped
-    and pairs are joined in place.
+    Key rows hold two numbers and the source's checksum. They are partitioned by key once and joined in place.
     """
     slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "phones", "mails", "web", "street", "num", "city", "lat", "lon")
     placed = slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_ends(F.col("core"))).alias("end"))
 
     def rows(df: DataFrame, k: Column) -> DataFrame:
-        return df.select(k.alias("k"), "id", "s").repartition("k").dropDuplicates(["k", "id", "s"])
+        return df.select(k.alias("k"), "id", "s")
 
     reach = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
     key = F.xxhash64("cell", "end")
     a = rows(cells(placed, "lat", "lon", reach=False, **reach), key).toDF("k", "i", "sa")
     b = rows(cells(placed, "lat", "lon", reach=True, **reach), key).toDF("k", "j", "sb")
     near = a.join(b, "k").where("i < j and sa <> sb").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
-    keyed = slim.select("id", "s", F.col("lat").isNull().alias("lost"), F.explode(_loose()).alias("w"))
-    c = rows(keyed.where("lost"), F.xxhash64("w")).toDF("k", "i", "sa")
-    d = rows(keyed, F.xxhash64("w")).toDF("k", "j", "sb")
+    keyed = slim.select("id", "s", F.col("lat").isNull().alias("lost"), F.explode(_loose()).alias("w")).select(F.xxhash64("w").alias("k"), "id", "s", "lost")
+    # listings without position are few: their keys are sent whole if they are, so the others aren't shuffled
+    c = broadcast_if_small(keyed.where("lost").select("k", "id", "s").toDF("k", "i", "sa"))
+    d = keyed.select("k", "id", "s").toDF("k", "j", "sb")
     loose = c.join(d, "k").where("sa <> sb").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
     return near.unionByName(loose).distinct()
 
@@ -135,7 +135,6 @@ def candidates(listings: DataFrame) -> DataFrame:
 def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with the votes. Both joins read one exchange of the listings."""
     one = listings.select("id", F.struct("name", "kind", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
-    one = one.repartition("id").dropDuplicates(["id"])
     x = pairs.join(one.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
     v = business.votes("a", "b")
     return x.select("id_a", "id_b", *(v[c].cast("tinyint").alias(c) for c in VOTES))
@@ -158,15 +157,23 @@ def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
     return pairs.join(F.broadcast(table), "pattern").drop("pattern"), model
 
 
-def judged(raw: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """The listings, and all candidate pairs by id with votes, confidence and decision."""
-    listings = cut(business.hashed(business.from_raw(raw)))
+def judged(rows: DataFrame) -> DataFrame:
+    """All candidate pairs of listings by id, with votes, confidence and decision."""
+    listings = cut(business.hashed(business.from_raw(rows)))
     scored, _ = confident(cut(voted(listings, candidates(listings))))
-    return listings, scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
+    return scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
 
 
-def _names(raw: DataFrame) -> DataFrame:
-    return raw.where("source_ref is not null").select(F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src")).distinct()
+def first_rows(raw: DataFrame) -> DataFrame:
+    """The first record of each listing. Only numbers are shuffled, and the records to leave out are sent whole if they are few."""
+    ids = raw.where("source_ref is not null").select("record_id", F.xxhash64("source_ref").alias("id"))
+    first = ids.groupBy("id").agg(F.min("record_id").alias("first"))
+    again = cut(ids.join(first, "id").where("record_id <> first").select("record_id"))
+    return raw.join(broadcast_if_small(again), "record_id", "left_anti")
+
+
+def _names(rows: DataFrame) -> DataFrame:
+    return rows.where("source_ref is not null").select(F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"))
 
 
 def links(raw: DataFrame) -> DataFrame:
@@ -175,17 +182,18 @@ def links(raw: DataFrame) -> DataFrame:
     Rows without source_ref or name are no listings; repeated listings count once; missing attributes
     abstain. An empty table gives an empty result.
     """
-    _, pairs = judged(raw)
-    names = _names(raw)
+    rows = first_rows(raw)
+    pairs, names = judged(rows), _names(rows)
     x = pairs.join(names.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("key").alias("kb")), "id_b")
-    return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted")
+    return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted").distinct()
 
 
 def same_business(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``: each two listings of different sources that are one business at one place."""
-    _, pairs = judged(raw)
+    rows = first_rows(raw)
+    pairs = judged(rows)
     member = components(pairs.where("accepted").select("id_a", "id_b"), "id_a", "id_b")
-    m = member.withColumnRenamed("node", "id").join(_names(raw), "id").select("group_id", "key", "src").repartition("group_id")
+    m = member.withColumnRenamed("node", "id").join(_names(rows), "id").select("group_id", "key", "src").repartition("group_id").dropDuplicates(["group_id", "key"])
     a = m.select("group_id", F.col("key").alias("ref_a"), F.col("src").alias("sa"))
     b = m.select("group_id", F.col("key").alias("ref_b"), F.col("src").alias("sb"))
     return a.join(b, "group_id").where("ref_a < ref_b and sa <> sb").select("ref_a", "ref_b")
