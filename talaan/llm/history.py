@@ -112,14 +112,17 @@ def to_look_up(ids: list[int], cover: float = COVER) -> list[int]:
 
 
 def chunked(leads: DataFrame) -> DataFrame:
-    @F.pandas_udf("chunks array<bigint>, probe array<bigint>")
+    """``leads`` with their ``chunks``, rarest in the batch first, and how many of them are looked up."""
+
+    @F.pandas_udf("chunks array<bigint>, n_probe int")
     def ids(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
         for s in parts:
             found = batch_chunks([x or "" for x in s])
             seen = Counter(c for cs in found for c in cs)
-            yield pd.DataFrame({"chunks": found, "probe": [to_look_up(sorted(cs, key=seen.__getitem__)) for cs in found]}, dtype=object)
+            found = [sorted(cs, key=seen.__getitem__) for cs in found]
+            yield pd.DataFrame({"chunks": found, "n_probe": [len(to_look_up(cs)) for cs in found]}, dtype=object)
 
-    return leads.withColumn("c_", ids(lines())).select("*", "c_.chunks", "c_.probe").drop("c_")
+    return leads.withColumn("c_", ids(lines())).select("*", "c_.chunks", "c_.n_probe").drop("c_")
 
 
 def size_of(ids: Column) -> Column:
@@ -148,7 +151,7 @@ def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataF
     """``a``, ``b``: record ids of which one looks up a chunk of the other, smaller first; at least one of them is new."""
 
     def meet(probe: DataFrame, target: DataFrame) -> DataFrame:
-        p = probe.withColumn("pk", _kind())
+        p = probe.withColumn("pk", _kind()).withColumn("probe", F.slice("chunks", 1, F.col("n_probe")))
         t = target.withColumnRenamed("id", "other")
         placed = p.where("lat is not null").select("id", "pk", "probe", "lat", "lon")
         where = F.xxhash64("c", "cell").alias("h")
@@ -168,15 +171,15 @@ def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataF
 
 
 def repeats(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
-    """``ka``, ``kb``: keys of candidates that cover enough shared bytes and are one business at one place."""
+    """``a``, ``b``: ids of candidates that cover enough shared bytes and are one business at one place."""
     everything = new if old is None else new.unionByName(old)
-    packed = everything.select("id", F.struct("chunks", *ATTRIBUTES).alias("l")).repartition("id").dropDuplicates(["id"])
-    pairs = candidates(new, table, old)
+    pairs = cut(candidates(new, table, old))
+    met = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
+    packed = everything.join(met, "id", "left_semi").select("id", F.struct("chunks", *(c for c in ATTRIBUTES if c != "key")).alias("l")).repartition("id").dropDuplicates(["id"])
     x = pairs.join(packed.select(F.col("id").alias("a"), F.col("l").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("l").alias("y")), "b")
     shared = size_of(F.array_intersect("x.chunks", "y.chunks"))
     x = x.where(shared >= COVER * F.least(size_of(F.col("x.chunks")), size_of(F.col("y.chunks"))))
-    v = business.votes("x", "y")
-    return x.select(F.col("x.key").alias("ka"), F.col("y.key").alias("kb"), *(c.alias(n) for n, c in v.items())).where(business.one_business()).select("ka", "kb")
+    return x.select("a", "b", *(c.alias(n) for n, c in business.votes("x", "y").items())).where(business.one_business()).select("a", "b")
 
 
 class History:
@@ -205,7 +208,7 @@ class History:
         order = runs.select(F.col("run_id").alias("run"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).groupBy("run").agg(F.min("at").alias("at"))
         before = self._batches()
         batch = f"{len(before):06d}"
-        fresh = business.hashed(chunked(business.from_leads(leads))).join(order, "run", "left").select("id", "chunks", "probe", F.coalesce("at", F.lit(2**62)).alias("at"), *ATTRIBUTES)
+        fresh = business.hashed(chunked(business.from_leads(leads))).join(order, "run", "left").select("id", "chunks", "n_probe", F.coalesce("at", F.lit(2**62)).alias("at"), *ATTRIBUTES)
         fresh.write.parquet(f"{self.path}/records/{batch}")
         new = self._read("records", [batch])
         entries(new).write.parquet(f"{self.path}/chunks/{batch}")
@@ -216,8 +219,8 @@ class History:
             ids = table.join(mine, "c", "left_semi").select("id").distinct()
             touched = cut(old.join(ids, "id", "left_semi").join(new.select("id"), "id", "left_anti"))
         same = cut(repeats(new, table, touched))
-        whole = new.select("key", "at") if touched is None else new.select("key", "at").unionByName(touched.select("key", "at"))
-        member = cut(components(same, "ka", "kb").join(whole, F.col("node") == F.col("key")).select("group_id", "key", "at").distinct())
+        whole = new.select("id", "key", "at") if touched is None else new.select("id", "key", "at").unionByName(touched.select("id", "key", "at"))
+        member = cut(components(same, "a", "b").join(whole, F.col("node") == F.col("id")).select("group_id", "key", "at").distinct())
         first = member.groupBy("group_id").agg(F.min(F.struct("at", "key"))["key"].alias("first"))
         pairs = member.join(first, "group_id").where("key <> first")
         if touched is not None:
