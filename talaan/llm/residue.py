@@ -12,7 +12,7 @@ automaton over the raw text finds where slots may open, and each such place is c
   that real content which mentions an error, or adds a notice, stays.
 
 Long phrases are matched by any three words in a row, so that a misspelt word hides only its
-neighbourhood. Whole texts are read. Null, empty and blank texts show no residue.
+neighbourhood; short texts are read again with slips of one letter mended. Whole texts are read. Null, empty and blank texts show no residue.
 """
 
 from __future__ import annotations
@@ -27,6 +27,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COVERED = 0.5
+SHORT = 24  # texts of so many words are read again with their spelling mended
 NAME_WORDS = 4  # so many words and no more beside an error are the name of the business
 NGRAM = 3
 
@@ -173,6 +174,25 @@ def automata():
     return a, s
 
 
+@lru_cache(maxsize=1)
+def _spellings() -> tuple[set[str], dict[str, str]]:
+    """The words of error phrases, and their forms with one letter left out."""
+    vocabulary = {w for block in (ERRORS, demands()) for w in re.split(r"[|\s]+", block) if len(w) >= 5}
+    return vocabulary, {w[:i] + w[i + 1 :]: w for w in sorted(vocabulary) for i in range(len(w))}
+
+
+def respelt(w: list[str]) -> list[str]:
+    """The words with slips of one letter in words of error phrases mended."""
+    vocabulary, cut = _spellings()
+    out = []
+    for x in w:
+        if x not in vocabulary and 4 <= len(x) <= 20:
+            forms = [x] + [x[:i] + x[i + 1 :] for i in range(len(x))]
+            x = next((f for f in forms[1:] if f in vocabulary), None) or next((cut[f] for f in forms if f in cut), x)
+        out.append(x)
+    return out
+
+
 def has_slot(text: str) -> bool:
     _, slots = automata()
     for end, (n, form) in slots.iter(text):
@@ -184,12 +204,8 @@ def has_slot(text: str) -> bool:
     return False
 
 
-def judge(text: str | None) -> tuple[bool, bool, float]:
-    """(an unfilled slot, filler, share of words that are error text) of one text."""
-    if not text or not text.strip():
-        return False, False, 0.0
-    text = clean(text)
-    w = words(_FRAME.sub("\n", text) if _MARK.search(text) else text)
+def _match(w: list[str]) -> tuple[list[str], bool]:
+    """What each word belongs to ('error', 'around' or ''), and whether filler was met."""
     line = " " + " ".join(w) + " "
     at = {}
     pos = 1
@@ -207,16 +223,33 @@ def judge(text: str | None) -> tuple[bool, bool, float]:
             for i in range(first, first + n):
                 if kind[i] != "error":
                     kind[i] = k
+    return kind, filler
+
+
+def _share(w: list[str], kind: list[str]) -> float:
+    """The share of error text; numbers beside it belong to it, and so do a few words of a name."""
+    covered = kind.count("error")
+    open_ = sum(1 for k, x in zip(kind, w) if not k and x not in "#/@")
+    return covered / (covered + (0 if open_ <= NAME_WORDS else open_)) if covered else 0.0
+
+
+def judge(text: str | None) -> tuple[bool, bool, float]:
+    """(an unfilled slot, filler, share of words that are error text) of one text."""
+    if not text or not text.strip():
+        return False, False, 0.0
+    text = clean(text)
+    w = words(_FRAME.sub("\n", text) if _MARK.search(text) else text)
+    kind, filler = _match(w)
+    share = _share(w, kind)
+    if share < COVERED and len(w) <= SHORT:
+        mended = respelt(w)
+        if mended != w:
+            share = max(share, _share(mended, _match(mended)[0]))
     run = 0
     for x in w:
         run = run + 1 if x in LATIN else 0
         filler = filler or run >= LATIN_RUN
-    covered = kind.count("error")
-    if not covered:
-        return has_slot(text), filler, 0.0
-    # numbers beside error text belong to it
-    open_ = sum(1 for k, x in zip(kind, w) if not k and x not in "#/@")
-    return has_slot(text), filler, covered / (covered + (0 if open_ <= NAME_WORDS else open_))
+    return has_slot(text), filler, share
 
 
 def judge_column(text: Column) -> Column:

@@ -98,7 +98,7 @@ BAD = [
     "We sell bread. " * 20 + "Lorem ipsum dolor sit amet felis.", "Good coffee. This is placeholder copy. Replace it with your own words.",
     "Home | About | Services | Contact\n404 Page not found\nSearch this site", "Tiyil Supply\nScripting must be active. Allow it to view our store.", "Error 500: Internal Server Error",
     "Just a moment… Ray 118faf668d6", "Hindi nahanap ang pahina (404) Bumalik sa unang pahina.", "Kindly unblock Javascript to continue.", "Paumanhin, tinanggal na ang pahinang hinahanap mo.",
-    "Your request wsa blocked. Access denied",
+    "Your request wsa blocked. Access denied", "Access deneid", "Fobidden (403)", "Hirdi nahanap ang pahna",
 ]
 GOOD = [
     "Find us in Room 404, fourth floor; yes, the page number on the old directory was 404 as well.", "Null Tide Diving is next door, their sign reads NULL TIDE.", "a tag such as {name} is swapped for the name",
