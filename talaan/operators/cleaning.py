@@ -16,12 +16,13 @@ from talaan.functions import names, phones, web
 from talaan.functions.text import strip
 from talaan.operators import resolve
 from talaan.operators.labels import spread
+from talaan.runtime import broadcast_if_small
 
 
 def candidates(raw: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per raw record with a name key; an unknown city falls back to the run's area."""
     area = runs.select("run_id", F.coalesce("area_name", "location").alias("area"))
-    r = raw.join(F.broadcast(area) if runs.limit(10_001).count() <= 10_000 else area, "run_id", "left")
+    r = raw.join(broadcast_if_small(area, 10_000), "run_id", "left")
     city = F.nullif(strip(F.col("city")), F.lit(""))
     numbers = phones.normalize_column(F.col("phones_raw"))
     r = r.withColumn("numbers", numbers).withColumn("web", web.normal_url(F.col("website_raw")))

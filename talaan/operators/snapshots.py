@@ -58,9 +58,9 @@ def upsert_plan(grid: DataFrame, rows: DataFrame, sent: DataFrame, key: str) ->
     g = grid.select(key).where(f"{key} <> ''").distinct().withColumn("in_grid", F.lit(True))
     r = rows.select(key).distinct().withColumn("in_rows", F.lit(True))
     s = sent.select(key).distinct().withColumn("in_sent", F.lit(True))
-    left = g.join(s, key, "left_semi").agg((F.count("*") > 0).alias("any_left"))
-    x = g.join(r, key, "full").join(s, key, "left").join(F.broadcast(left), F.lit(True))
-    removed = F.col("in_sent").isNotNull() & F.col("any_left")
+    any_left = g.join(s, key, "left_semi").agg((F.count("*") > 0).alias("any_left")).scalar()
+    x = g.join(r, key, "full").join(s, key, "left")
+    removed = F.col("in_sent").isNotNull() & any_left
     action = F.when(F.col("in_rows").isNull(), "keep").when(F.col("in_grid").isNotNull(), "update").when(removed, "skip").otherwise("append")
     return x.select(key, action.alias("action"))
 

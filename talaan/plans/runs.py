@@ -242,8 +242,8 @@ def short_time(spark, sf_dir):
 @query("SELECT event_id, user_id FROM events WHERE ts > (SELECT max(ts) FROM events) - INTERVAL 24 HOUR")
 def ttl_filter(spark, sf_dir):
     e = table(spark, sf_dir, "events")
-    newest = e.agg(F.max("ts").alias("now"))
-    return e.join(F.broadcast(newest), F.col("ts") > F.col("now") - F.expr("interval 24 hours")).select("event_id", "user_id")
+    newest = e.agg(F.max("ts")).scalar()
+    return e.where(F.col("ts") > newest - F.expr("interval 24 hours")).select("event_id", "user_id")
 
 
 @query("SELECT CAST(json_extract(props, '$.k') AS BIGINT) AS k, count(*) AS n FROM events GROUP BY 1")

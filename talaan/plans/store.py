@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from talaan.operators import snapshots
+from talaan.operators import enrichment, snapshots
 from talaan.plans.registry import Registry
 from talaan.runtime import table
 
@@ -90,4 +90,21 @@ def company_fill_empty(spark, sf_dir):
     return snapshots.fill_plan(one(l.where(F.col("last_seen_at") < t)), one(l.where(F.col("last_seen_at") >= t)), "domain", ["phone", "city"])
 
 
+@query(f"""SELECT lead_id, CASE WHEN ends_with(email, '.mail.example') THEN NULL ELSE email END AS email, CAST(ends_with(coalesce(email, ''), '.mail.example') AS INT) AS n_dropped FROM {_L} WHERE len(emails_extra) = 0""")
+def dead_emails_dropped(spark, sf_dir):
+    """The scoring step's rewrite: hosts below mail.example are known to take no mail."""
+    l = table(spark, sf_dir, "leads").dropDuplicates(["lead_id"]).where(F.size("emails_extra") == 0)
+    dead = l.where("email like '%.mail.example'").select(F.lower(F.substring_index("email", "@", -1)).alias("host"), F.lit(False).alias("has_mail")).distinct()
+    return enrichment.without_dead_emails(l, dead).select("lead_id", "email", "n_dropped")
+
+
+@query("SELECT run_id, CAST(coalesce(try_cast(json_extract(run_options, '$.search.seconds') AS DOUBLE), 0) AS DOUBLE) AS seconds, coalesce(json_extract_string(run_options, '$.batch'), 'none') AS batch FROM runs")
+def run_stats(spark, sf_dir):
+    """Seconds of a run's steps, and its options over defaults."""
+    r = table(spark, sf_dir, "runs")
+    given = F.from_json("run_options", "map<string,string>")
+    opts = enrichment.merged_stats(F.create_map(F.lit("batch"), F.lit("none")), F.coalesce(given, F.create_map().cast("map<string,string>")))
+    return r.select("run_id", enrichment.run_seconds(F.col("run_options")).alias("seconds"), opts["batch"].alias("batch"))
+
+
 QUERIES, SQL = R.queries, R.sql

@@ -177,3 +177,25 @@ def test_jobs_and_sinks(spark, tmp_path):
     assert "<v>5</v>" in sheet and "'=A" in sheet and 'autoFilter ref="A1:C3"' in sheet
     done, failed = files.export_all({"ok": lambda d: d.count(), "bad": lambda d: 1 / 0}, df)
     assert done == {"ok": 2} and "bad" in failed
+
+
+def test_enrichment(spark):
+    from talaan.operators import enrichment
+
+    cols = "lead_id string, email string, emails_extra array<string>, phone string, phones_extra array<string>, facebook string, domain string, https_ok boolean, enrich_status string"
+    leads = spark.createDataFrame([("L-1", "z@own.ph", [], "+631", [], "", "own.ph", None, "pending"), ("L-2", None, [], None, [], None, None, None, "pending")], cols)
+    found = spark.createDataFrame([("L-1", (["info@own.ph", "gone@own.ph"], ["+632", "+631"], {"facebook": "https://facebook.com/a"}, 0), True)],
+                                  "lead_id string, x struct<emails:array<string>,phones:array<string>,socials:map<string,string>,protected_emails:int>, https boolean")
+    got = {r.lead_id: r for r in enrichment.apply_extraction(leads, found, ["gone@own.ph"]).collect()}
+    assert got["L-1"].email == "info@own.ph" and got["L-1"].emails_extra == ["z@own.ph"] and got["L-1"].phones_extra == ["+632"] and got["L-1"].facebook and got["L-1"].https_ok and got["L-1"].enrich_status == "ok"
+    assert got["L-2"].enrich_status == "pending" and got["L-2"].email is None
+    dead = spark.createDataFrame([("own.ph", False), ("x.ph", None)], "host string, has_mail boolean")
+    assert [(r.email, r.n_dropped) for r in enrichment.without_dead_emails(leads, dead).orderBy("lead_id").collect()] == [(None, 1), (None, 0)]
+    assert enrichment.decode("é".encode("latin-1"), "text/html; charset=latin-1") == "é" and enrichment.decode(b"<meta charset=nope>\xff", None).endswith("\ufffd")
+    assert value(spark, enrichment.run_seconds(F.col("x")), x='{"search": {"seconds": 1.5}, "clean": {"seconds": 2}, "n": 3}') == 3.5
+
+
+def test_commands(tmp_path, spark):
+    from talaan.__main__ import main
+
+    assert main(["list"]) == 0 and main(["run", "nope", "--data", "x", "--out", "y"]) == 2
