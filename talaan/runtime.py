@@ -5,13 +5,33 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 
+_SHIPPED: set = set()
+
+
+def ship(spark: SparkSession) -> None:
+    """Send this package's code to the executors, once per application, so that Python stages can import it anywhere."""
+    sc = spark.sparkContext
+    if sc.applicationId in _SHIPPED:
+        return
+    _SHIPPED.add(sc.applicationId)
+    package = Path(__file__).resolve().parent
+    path = Path(tempfile.mkdtemp(prefix="talaan-code-")) / f"{package.name}.zip"
+    with zipfile.ZipFile(path, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted(package.rglob("*.py")):
+            z.write(f, f.relative_to(package.parent))
+    sc.addPyFile(str(path))
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """The Parquet table ``name`` below ``sf_dir``; file pruning and pushdown stay with Spark."""
+    ship(spark)
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
@@ -59,6 +79,7 @@ def cut(df: DataFrame, after: list[DataFrame] | None = None) -> DataFrame:
     Tables in ``after`` are removed once this one is written.
     """
     spark = df.sparkSession
+    ship(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
     df.write.parquet(path)
     for old in after or []:
