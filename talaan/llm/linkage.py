@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 from talaan.llm import business
 from talaan.llm.groups import components
 from talaan.operators.near import cells
-from talaan.runtime import broadcast_if_small, cut
+from talaan.runtime import BROADCAST_ROWS, broadcast_if_small, cut
 
 CELL_M = 1_000.0
 ACCEPT = 0.5
@@ -108,7 +108,7 @@ def _loose() -> Column:
     return F.array_distinct(F.concat(each("phones", _ends(core)), each("mails", F.array(head)), street, F.filter(city, lambda k: F.contains(k, F.lit("|")))))
 
 
-def candidates(listings: DataFrame) -> DataFrame:
+def candidates(listings: DataFrame, repeats: bool = True) -> DataFrame:
     """``id_a``, ``id_b``: pairs of listings of different sources worth a look, each once, smaller id first.
 
     Key rows hold two numbers and the source's checksum. They are partitioned by key once and joined in place.
@@ -117,7 +117,8 @@ def candidates(listings: DataFrame) -> DataFrame:
     placed = slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_ends(F.col("core"))).alias("end"))
 
     def rows(df: DataFrame, k: Column) -> DataFrame:
-        return df.select(k.alias("k"), "id", "s")
+        r = df.select(k.alias("k"), "id", "s")
+        return r.repartition("k").dropDuplicates(["k", "id", "s"]) if repeats else r
 
     reach = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
     key = F.xxhash64("cell", "end")
@@ -132,9 +133,10 @@ def candidates(listings: DataFrame) -> DataFrame:
     return near.unionByName(loose).distinct()
 
 
-def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
+def voted(listings: DataFrame, pairs: DataFrame, repeats: bool = True) -> DataFrame:
     """``pairs`` with the votes. Both joins read one exchange of the listings."""
     one = listings.select("id", F.struct("name", "kind", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
+    one = one.repartition("id").dropDuplicates(["id"]) if repeats else one
     x = pairs.join(one.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
     v = business.votes("a", "b")
     return x.select("id_a", "id_b", *(v[c].cast("tinyint").alias(c) for c in VOTES))
@@ -157,23 +159,30 @@ def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
     return pairs.join(F.broadcast(table), "pattern").drop("pattern"), model
 
 
-def judged(rows: DataFrame) -> DataFrame:
+def judged(rows: DataFrame, repeats: bool = True) -> DataFrame:
     """All candidate pairs of listings by id, with votes, confidence and decision."""
     listings = cut(business.hashed(business.from_raw(rows)))
-    scored, _ = confident(cut(voted(listings, candidates(listings))))
+    scored, _ = confident(cut(voted(listings, candidates(listings, repeats), repeats)))
     return scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
 
 
-def first_rows(raw: DataFrame) -> DataFrame:
-    """The first record of each listing. Only numbers are shuffled, and the records to leave out are sent whole if they are few."""
+def first_rows(raw: DataFrame) -> tuple[DataFrame, bool]:
+    """The first record of each listing, and whether repeats are left in.
+
+    The records to leave out are sent whole if they are few. If they are many, all rows stay, and repeats are
+    dropped where rows meet, so the wide rows are never shuffled for it.
+    """
     ids = raw.where("source_ref is not null").select("record_id", F.xxhash64("source_ref").alias("id"))
     first = ids.groupBy("id").agg(F.min("record_id").alias("first"))
     again = cut(ids.join(first, "id").where("record_id <> first").select("record_id"))
-    return raw.join(broadcast_if_small(again), "record_id", "left_anti")
+    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
+        return raw, True
+    return raw.join(F.broadcast(again), "record_id", "left_anti"), False
 
 
-def _names(rows: DataFrame) -> DataFrame:
-    return rows.where("source_ref is not null").select(F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"))
+def _names(rows: DataFrame, repeats: bool = True) -> DataFrame:
+    n = rows.where("source_ref is not null").select(F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"))
+    return n.distinct() if repeats else n
 
 
 def links(raw: DataFrame) -> DataFrame:
@@ -182,18 +191,18 @@ def links(raw: DataFrame) -> DataFrame:
     Rows without source_ref or name are no listings; repeated listings count once; missing attributes
     abstain. An empty table gives an empty result.
     """
-    rows = first_rows(raw)
-    pairs, names = judged(rows), _names(rows)
+    rows, repeats = first_rows(raw)
+    pairs, names = judged(rows, repeats), _names(rows, repeats)
     x = pairs.join(names.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("key").alias("kb")), "id_b")
     return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted").distinct()
 
 
 def same_business(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``: each two listings of different sources that are one business at one place."""
-    rows = first_rows(raw)
-    pairs = judged(rows)
+    rows, repeats = first_rows(raw)
+    pairs = judged(rows, repeats)
     member = components(pairs.where("accepted").select("id_a", "id_b"), "id_a", "id_b")
-    m = member.withColumnRenamed("node", "id").join(_names(rows), "id").select("group_id", "key", "src").repartition("group_id").dropDuplicates(["group_id", "key"])
+    m = member.withColumnRenamed("node", "id").join(_names(rows, repeats), "id").select("group_id", "key", "src").repartition("group_id").dropDuplicates(["group_id", "key"])
     a = m.select("group_id", F.col("key").alias("ref_a"), F.col("src").alias("sa"))
     b = m.select("group_id", F.col("key").alias("ref_b"), F.col("src").alias("sb"))
     return a.join(b, "group_id").where("ref_a < ref_b and sa <> sb").select("ref_a", "ref_b")
