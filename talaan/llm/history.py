@@ -5,14 +5,17 @@
    changes the chunks around it and no others. A chunk's id is a hash of its bytes with its length.
 2. The persistent chunk-to-record table holds every accepted lead's chunks, each under the grid cell of the lead's
    position. A new batch reads only the entries that its own chunks meet.
-3. Two leads are candidates when the chunks they share cover at least ``COVER`` of the bytes of the smaller one.
-   Chunks that make up more than 1 - ``COVER`` of the smaller one's bytes then hold one that is shared, whichever are
-   chosen, so only these look entries up: those that are rare among the rows at hand. That loses no pair, and a chunk
-   that a third of all leads hold, as the end of a host's name, is looked up only by leads that have little else.
-4. Shared byte totals decide on the candidates, an exact check of name, kind and place follows, and each lead that
-   repeats a business is paired with the first accepted lead of it. Then the batch's chunks are appended.
-
-Leads without a position are looked up without the cell. Repeated rows of a lead id count once.
+3. Two leads with positions are candidates when they share any chunk near each other; the ends of their names' cores
+   are chunks too, so neither different contacts nor a slip in each other line keeps them apart.
+4. Leads without a position are looked up without the cell. They are candidates when the chunks shared cover at least
+   ``COVER`` of the bytes of the smaller one. Chunks that make up more than 1 - ``COVER`` of the smaller one's bytes
+   then hold one that is shared, whichever are chosen, so only these look entries up: those that are rare among the
+   rows at hand. That loses no such pair, and a chunk that a third of all leads hold, as the end of a host's name, is
+   looked up only by leads that have little else.
+5. An exact check of name, kind and place follows, and each lead that repeats a business is paired with the first
+   accepted lead of it. Then the batch's chunks are appended.
+
+Repeated rows of a lead id count once.
 """
 
 from __future__ import annotations
@@ -33,7 +36,7 @@ from talaan.runtime import broadcast_if_small, cut
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
 MIN = 5
-COVER = 0.45
+COVER = 0.35  # of pairs with a side without position
 CELL_M = 1_000.0
 GEAR = np.random.default_rng(20_240_601).integers(0, 2**32, 256, dtype=np.uint64)
 ATTRIBUTES = ["key", "name", "kind", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"]
@@ -94,8 +97,10 @@ def chunks(text: str) -> list[int]:
 
 
 def lines() -> Column:
-    """The bytes of a lead, a line per attribute, the most telling first."""
+    """The bytes of a lead, a line per attribute, the most telling first, then the ends of the core."""
     parts = [F.array_join("phones", "\n"), F.array_join("mails", "\n"), F.col("web"), F.concat(F.col("fb"), F.lit("@")), business.core(), F.concat_ws(" ", "street", "num"), F.col("city")]
+    core = F.nullif(business.core(), F.lit(""))
+    parts += [F.concat(F.lit("<"), F.substring(core, 1, 3)), F.concat(F.lit(">"), F.substring(core, -3, 3))]
     return F.concat_ws("\n", *parts)
 
 
@@ -148,37 +153,43 @@ def entries(records: DataFrame) -> DataFrame:
 
 
 def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
-    """``a``, ``b``: record ids of which one looks up a chunk of the other, smaller first; at least one of them is new."""
+    """``a``, ``b``: record ids of which one looks up a chunk of the other, smaller first; at least one of them is new.
+
+    Near each other all chunks are looked up, so there the new side's look-up is enough.
+    """
+    same = "id <> other and (pk = k or pk = 0 or k = 0)"  # of different kinds the exact check takes none
+
+    def nearby(probe: DataFrame, target: DataFrame) -> DataFrame:
+        p = probe.where("lat is not null").select("id", _kind().alias("pk"), "chunks", "lat", "lon")
+        where = F.xxhash64("c", "cell").alias("h")
+        at = cells(p, "lat", "lon", reach=True, **REACH).select("id", "pk", "cell", F.explode("chunks").alias("c")).select(where, "id", "pk")
+        return at.join(target.where("cell is not null").select(where, F.col("id").alias("other"), "k"), "h").where(same).select("id", "other")
 
     def meet(probe: DataFrame, target: DataFrame) -> DataFrame:
         p = probe.withColumn("pk", _kind()).withColumn("probe", F.slice("chunks", 1, F.col("n_probe")))
         t = target.withColumnRenamed("id", "other")
-        placed = p.where("lat is not null").select("id", "pk", "probe", "lat", "lon")
-        where = F.xxhash64("c", "cell").alias("h")
-        at = cells(placed, "lat", "lon", reach=True, **REACH).select("id", "pk", "cell", F.explode("probe").alias("c")).select(where, "id", "pk")
-        near = at.join(t.where("cell is not null").select(where, "other", "k"), "h")
         # leads without position are few: their side is sent whole if it is small, so the other isn't shuffled
         rare = broadcast_if_small(t.where("cell is null").select("c", "other", "k"))
-        lost = placed.select("id", "pk", F.explode("probe").alias("c")).join(rare, "c")
+        lost = p.where("lat is not null").select("id", "pk", F.explode("probe").alias("c")).join(rare, "c")
         far = broadcast_if_small(p.where("lat is null").select("id", "pk", F.explode("probe").alias("c"))).join(t.select("c", "other", "k"), "c")
-        same = "id <> other and (pk = k or pk = 0 or k = 0)"  # of different kinds the exact check takes none
-        return near.where(same).select("id", "other").unionByName(lost.where(same).select("id", "other")).unionByName(far.where(same).select("id", "other"))
+        return lost.where(same).select("id", "other").unionByName(far.where(same).select("id", "other"))
 
-    found = meet(new, table)
+    found = nearby(new, table).unionByName(meet(new, table))
     if old is not None:
         found = found.unionByName(meet(old, table.join(new.select("id"), "id", "left_semi")))
     return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
 
 
 def repeats(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
-    """``a``, ``b``: ids of candidates that cover enough shared bytes and are one business at one place."""
+    """``a``, ``b``: ids of candidates that are one business at one place; without both positions they are to share enough bytes."""
     everything = new if old is None else new.unionByName(old)
     pairs = cut(candidates(new, table, old))
     met = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
     packed = everything.join(met, "id", "left_semi").select("id", F.struct("chunks", *(c for c in ATTRIBUTES if c != "key")).alias("l")).repartition("id").dropDuplicates(["id"])
     x = pairs.join(packed.select(F.col("id").alias("a"), F.col("l").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("l").alias("y")), "b")
     shared = size_of(F.array_intersect("x.chunks", "y.chunks"))
-    x = x.where(shared >= COVER * F.least(size_of(F.col("x.chunks")), size_of(F.col("y.chunks"))))
+    placed = F.col("x.lat").isNotNull() & F.col("y.lat").isNotNull()
+    x = x.where(placed | (shared >= COVER * F.least(size_of(F.col("x.chunks")), size_of(F.col("y.chunks")))))
     return x.select("a", "b", *(c.alias(n) for n, c in business.votes("x", "y").items())).where(business.one_business()).select("a", "b")
 
 

@@ -142,6 +142,20 @@ def test_batches_equal_the_whole(spark, tmp_path):
     assert history.History(spark, str(tmp_path / "c")).add(df.limit(0), runs).count() == 0
 
 
+def test_leads_at_one_place_with_little_in_common_meet(spark, tmp_path):
+    def lead(i, name, street, city, phone, web, lat=10.0):
+        return (i, name, f"12 {street}, {city}", city, city.lower(), street.lower(), lat, 120.0, phone, [], None, [], web, None, None, "run0")
+
+    rows = [
+        lead("L-1", "Nalenlihu Bakery", "Taras Street", "San Bayala", "+639170000001", "https://nalenfresh.example"), lead("L-2", "Nalenlihi Bakery", "Tarrass Street", "Titabon", "+639285551234", None),
+        lead("L-3", "Hoaslbogis Bakery", "Lame Street", "Santa Penikay", None, None, 11.0), lead("L-4", "Hosalbogis Bakery", "Lime Street", "Doyuwosa", "+639868077268", "https://hosal8371.example", 11.0),
+        lead("L-5", "Gopal Wamir Bakery", "Taras Street", "San Bayala", "+639170000002", None), lead("L-6", "Nalenlihu Bakery", "Taras Street", "San Bayala", None, None, 12.0),
+    ]
+    runs = spark.createDataFrame([("run0", datetime(2026, 1, 1))], "run_id string, created_at timestamp")
+    got = {tuple(r) for r in history.History(spark, str(tmp_path / "h")).add(spark.createDataFrame(rows, LEADS), runs).collect()}
+    assert got == {("L-1", "L-2"), ("L-3", "L-4")}
+
+
 def test_looked_up_chunks_lose_no_pair():
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(30)]
