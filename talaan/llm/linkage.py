@@ -1,7 +1,10 @@
 """Matching entities across sources without keys: label-model linkage.
 
 1. **Candidates.** Listings with positions meet in grid cells of the reach of one place with the first or the last
-   three letters of their names' cores; a slip in the name can't hide both. Listings without a position meet
+   three letters of their names' cores, a phone, e-mail, website or page. A slip can hide both ends of a core of up to five
+   letters, so cores of up to six meet by their forms with a letter left out too; two slips can hide both ends of a longer one,
+   so the letters after the third meet too, as far as a slip may shift them; two words meet in either order. Two slips in a core
+   of six to eight letters, or a core within another without its ends, need a contact. Listings without a position meet
    any listing by core or its ends together with a phone, street, e-mail, website or city. All keys are composite, so a
    website of a chain, a switchboard or a city with a third of all rows makes no group of its own.
 2. **Votes.** Ten matching functions (name, kind, phone, website, e-mail, page, place, street, number, city) say
@@ -95,6 +98,30 @@ def _ends(core: Column) -> Column:
     return F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(core, 1, 3)), F.concat(F.lit(">"), F.substring(core, -3, 3))))
 
 
+SHORT = 6  # letters of a core within one slip of a core of five
+
+
+def _placed_keys(own: bool) -> Column:
+    """Keys of a listing with a position, to be used with its cell; the other side looks up shifted letters too (not ``own``)."""
+    core, none = F.col("core"), F.array().cast("array<string>")
+    n, words = F.length(core), F.split("name", " ")
+
+    def some(when: Column, keys: Column) -> Column:
+        return F.when(when, keys).otherwise(none)
+
+    def one(prefix: str, c: str) -> Column:
+        return some(F.col(c).isNotNull(), F.array(F.concat(F.lit(prefix), F.col(c).cast("string"))))
+
+    def many(prefix: str, c: str) -> Column:
+        return F.transform(c, lambda v: F.concat(F.lit(prefix), v.cast("string")))
+
+    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("-"), F.substring(core, F.lit(1), i - 1), F.substring(core, i + 1, n)))
+    short = some(n.between(1, SHORT), F.concat(F.array(F.concat(F.lit("-"), core)), less))
+    middle = some(n >= 7, F.array(*(F.concat(F.lit("+"), F.substring(core, k, 3)) for k in ((4,) if own else (3, 4, 5)))))
+    swapped = some(F.size(words) == 2, F.array(F.concat(F.lit("="), F.array_join(F.array_sort(words), ""))))
+    return F.array_distinct(F.concat(_ends(core), many("t", "phones"), many("m", "mails"), one("w", "web"), one("f", "fb"), short, middle, swapped))
+
+
 def _loose() -> Column:
     """Keys of a listing that needn't have a position: composite of a name part and another attribute."""
     core, none = F.col("core"), F.array().cast("array<string>")
@@ -113,8 +140,10 @@ def candidates(listings: DataFrame, repeats: bool = True) -> DataFrame:
 
     Key rows hold two numbers and the source's checksum. They are partitioned by key once and joined in place.
     """
-    slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "phones", "mails", "web", "street", "num", "city", "lat", "lon")
-    placed = slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_ends(F.col("core"))).alias("end"))
+    slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "num", "city", "lat", "lon")
+
+    def placed(own: bool) -> DataFrame:
+        return slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_placed_keys(own)).alias("end"))
 
     def rows(df: DataFrame, k: Column) -> DataFrame:
         r = df.select(k.alias("k"), "id", "s")
@@ -122,8 +151,8 @@ def candidates(listings: DataFrame, repeats: bool = True) -> DataFrame:
 
     reach = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
     key = F.xxhash64("cell", "end")
-    a = rows(cells(placed, "lat", "lon", reach=False, **reach), key).toDF("k", "i", "sa")
-    b = rows(cells(placed, "lat", "lon", reach=True, **reach), key).toDF("k", "j", "sb")
+    a = rows(cells(placed(True), "lat", "lon", reach=False, **reach), key).toDF("k", "i", "sa")
+    b = rows(cells(placed(False), "lat", "lon", reach=True, **reach), key).toDF("k", "j", "sb")
     near = a.join(b, "k").where("i < j and sa <> sb").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
     keyed = slim.select("id", "s", F.col("lat").isNull().alias("lost"), F.explode(_loose()).alias("w")).select(F.xxhash64("w").alias("k"), "id", "s", "lost")
     # listings without position are few: their keys are sent whole if they are, so the others aren't shuffled

@@ -108,6 +108,19 @@ def test_listings_of_one_business(spark, monkeypatch):
     assert linkage.same_business(df.limit(0)).count() == 0
 
 
+def test_listings_at_one_place_meet_whatever_hides_the_ends_of_their_names(spark):
+    names = [
+        ("Xo Tasemorub Li Gym", "Tasemorub Gym", "0917 111 1111"), ("Suro Gym", "Suxo Gym", None), ("Gopalen Wamirtok Gym", "Wamirtok Gopalen Gym", None),
+        ("Noas Komos Academmy", "Nomas Komos Academy", "0917 111 1112"), ("Tasekimorubel Gym", "Tsekimorubeel Gym", None),
+    ]
+    rows = [listing(10 * i + k, s, f"{s}{i}", n, p, lat=10.0 + i) for i, (a, b, p) in enumerate(names) for k, (s, n) in enumerate((("osm", a), ("dir", b)))]
+    rows += [listing(900 + 2 * i + k, s, f"{s}brand{i}", f"Brand{chr(97 + i)}{chr(110 + i % 9)} Gym", f"0917 555 {i:04}", street=f"Street{i}", lat=5 + i * 0.1) for i in range(20) for k, s in enumerate(("osm", "dir"))]
+    df = spark.createDataFrame(rows, RAW)
+    met = {tuple(r) for r in linkage.links(df).select("ref_a", "ref_b").collect()}
+    assert {(f"dir{i}", f"osm{i}") for i in range(len(names))} <= met
+    assert {(f"dir{i}", f"osm{i}") for i in range(len(names))} <= {tuple(r) for r in linkage.same_business(df).collect()}
+
+
 LEADS = (
     "lead_id string, business_name string, address string, city string, city_key string, street_key string, lat double, lon double, phone string, phones_extra array<string>, email string, "
     "emails_extra array<string>, website string, domain string, facebook string, first_seen_run_id string"
