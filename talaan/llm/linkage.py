@@ -130,7 +130,7 @@ def _loose() -> Column:
     def each(c: str, parts: Column) -> Column:
         return F.flatten(F.transform(c, lambda v: F.transform(parts, lambda p: F.concat(p, v.cast("string")))))
 
-    street = F.when(F.col("street").isNotNull(), F.transform(_ends(core), lambda p: F.concat_ws("|", p, F.substring("street", 1, 4), F.coalesce("num", F.lit(""))))).otherwise(none)
+    street = F.when(F.col("street").isNotNull(), F.transform(_ends(core), lambda p: F.concat_ws("|", p, F.substring("street", 1, 4)))).otherwise(none)
     city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", core, "city"), F.concat_ws("|", F.col("web").cast("string"), "city"))).otherwise(none)
     return F.array_distinct(F.concat(each("phones", _ends(core)), each("mails", F.array(head)), street, F.filter(city, lambda k: F.contains(k, F.lit("|")))))
 

@@ -121,6 +121,16 @@ def test_listings_at_one_place_meet_whatever_hides_the_ends_of_their_names(spark
     assert {(f"dir{i}", f"osm{i}") for i in range(len(names))} <= {tuple(r) for r in linkage.same_business(df).collect()}
 
 
+def test_listings_without_number_meet_on_the_street(spark):
+    rows = [
+        listing(1, "osm", "o1", "Bamow Nirit Motor Shop", None, street="Towigoy Ave", num="12", city="San Bayala"), listing(2, "dir", "d1", "Bamow Nirit Motor Shop", None, street="Towigoy Ave", num=None, city=None, lat=None, lon=None),
+        listing(3, "dir", "d2", "Bamow Nirit Motor Shop", None, street="Tasek Ave", num=None, city=None, lat=None, lon=None),
+    ]
+    rows += [listing(900 + 2 * i + k, s, f"{s}brand{i}", f"Brand{chr(97 + i)}{chr(110 + i % 9)} Gym", f"0917 555 {i:04}", street=f"Street{i}", lat=5 + i * 0.1) for i in range(20) for k, s in enumerate(("osm", "dir"))]
+    df = spark.createDataFrame(rows, RAW)
+    assert {("d1", "o1")} == {tuple(r) for r in linkage.same_business(df).collect() if "brand" not in r.ref_a}
+
+
 LEADS = (
     "lead_id string, business_name string, address string, city string, city_key string, street_key string, lat double, lon double, phone string, phones_extra array<string>, email string, "
     "emails_extra array<string>, website string, domain string, facebook string, first_seen_run_id string"
