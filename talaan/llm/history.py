@@ -210,6 +210,15 @@ class History:
     def _read(self, name: str, batches: list[str]) -> DataFrame | None:
         return self.spark.read.parquet(*(f"{self.path}/{name}/{b}" for b in batches)) if batches else None
 
+    def _firsts(self, ids: DataFrame, batches: list[str]) -> DataFrame:
+        """``id``, ``first`` (at, key and id) of those of ``ids`` that repeat an accepted lead. A first that was joined to an earlier one later is followed."""
+        table = self._read("firsts", batches)
+        known = cut(table.join(ids, "id", "left_semi"))
+        later = table.select(F.col("id").alias("f"), F.col("first").alias("earlier"))
+        while not known.join(later, F.col("first.id") == F.col("f"), "left_semi").isEmpty():
+            known = cut(known.join(later, F.col("first.id") == F.col("f"), "left").select("id", F.coalesce("earlier", "first").alias("first")), after=[known])
+        return known
+
     def add(self, leads: DataFrame, runs: DataFrame) -> DataFrame:
         """Check a batch (of one run or many) and accept it; ``lead_id_a``, ``lead_id_b`` of its repeats and the firsts.
 
@@ -231,9 +240,20 @@ class History:
             touched = cut(old.join(ids, "id", "left_semi").join(new.select("id"), "id", "left_anti"))
         same = cut(repeats(new, table, touched))
         whole = new.select("id", "key", "at") if touched is None else new.select("id", "key", "at").unionByName(touched.select("id", "key", "at"))
-        member = cut(components(same, "a", "b").join(whole, F.col("node") == F.col("id")).select("group_id", "key", "at").distinct())
-        first = member.groupBy("group_id").agg(F.min(F.struct("at", "key"))["key"].alias("first"))
-        pairs = member.join(first, "group_id").where("key <> first")
+        own = whole.groupBy("id").agg(F.min("key").alias("key"), F.min("at").alias("at"))
+        member = same.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").withColumn("top", F.struct("at", "key", "id"))
+        if before:  # what repeated a lead before stands for that lead's business
+            known = self._firsts(member.select("id"), before)
+            member = member.join(known, "id", "left").withColumn("top", F.coalesce("first", "top")).drop("first")
+        member = cut(member)
+        root = member.select("id", F.col("top.id").alias("r"))
+        linked = same.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select("ra", "rb") if before else same.toDF("ra", "rb")
+        group = components(linked, "ra", "rb").select(F.col("node").alias("root"), "group_id")
+        member = cut(member.withColumn("root", F.col("top.id")).join(group, "root", "left").withColumn("group_id", F.coalesce("group_id", "root")))
+        first = member.groupBy("group_id").agg(F.min("top").alias("first"))
+        found = member.join(first, "group_id")
+        found.where("root <> first.id").select(F.col("root").alias("id"), "first").distinct().write.parquet(f"{self.path}/firsts/{batch}")
+        pairs = found.where("key <> first.key").select("key", F.col("first.key").alias("first"))
         if touched is not None:
             pairs = pairs.join(new.select("key").distinct(), "key", "left_semi")
         return pairs.select(F.least("key", "first").alias("lead_id_a"), F.greatest("key", "first").alias("lead_id_b"))

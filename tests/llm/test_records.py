@@ -165,6 +165,18 @@ def test_batches_equal_the_whole(spark, tmp_path):
     assert history.History(spark, str(tmp_path / "c")).add(df.limit(0), runs).count() == 0
 
 
+def test_chains_over_batches_keep_the_first_lead(spark, tmp_path):
+    def lead(i, lat, run):  # 100 m apart, so only neighbours in the chain match
+        return (i, "Nalenlihu Bakery", "12 Taras St, San Bayala", "San Bayala", "san bayala", "taras street", lat, 120.0, "+639170000001", [], None, [], None, None, None, run)
+
+    runs = spark.createDataFrame([(f"run{i}", datetime(2026, 1, 1) + timedelta(days=i)) for i in range(5)], "run_id string, created_at timestamp")
+    rows = [lead("L-1", 10.0, "run0"), lead("L-2", 10.001, "run1"), lead("L-3", 10.002, "run2"), lead("L-5", 10.0045, "run2"), lead("L-6", 10.0033, "run3"), lead("L-7", 10.0055, "run4")]
+    past, got = history.History(spark, str(tmp_path / "h")), []
+    for i in range(5):
+        got.append({tuple(r) for r in past.add(spark.createDataFrame([r for r in rows if r[-1] == f"run{i}"], LEADS), runs).collect()})
+    assert got == [set(), {("L-1", "L-2")}, {("L-1", "L-3")}, {("L-1", "L-6")}, {("L-1", "L-7")}]
+
+
 def test_leads_at_one_place_with_little_in_common_meet(spark, tmp_path):
     def lead(i, name, street, city, phone, web, lat=10.0):
         return (i, name, f"12 {street}, {city}", city, city.lower(), street.lower(), lat, 120.0, phone, [], None, [], web, None, None, "run0")
