@@ -1,74 +1,115 @@
 """What listings and leads are compared by, as JVM expressions: one schema for both.
 
-``name`` is the name without words for kinds of business, legal forms and what follows a dash, comma or
-bracket. Phones are national digits, websites are hosts, streets are names without number, unit and type.
+``words`` are the folded words of a name up to a dash, comma or bracket. Which of them say what a business is, and not
+which, is learned from the records at hand (``learn``). Phones are national digits, websites are hosts, streets are
+names without number, unit and type. Contacts are only compared for equality and are kept as 32-bit hashes; a chance
+agreement of two hashes is one vote among many.
 """
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talaan.functions.text import fold
 from talaan.operators.near import haversine_m, usable
 
-NEAR_M = 150.0
-
-# Words that say what a business is, not which.
-KINDS = (
-    "center centre clinic and care shop dental coffee salon fitness law laundry medical studio auto hair house restaurant legal office cakes pastries gym fold wash academy bakeshop "
-    "services animal eye optical veterinary tutorial hub builders drugstore vision pharmacy mart pharma pet hardware bakery learning firm supply construction spa service family motor "
-    "car cafe tea nails repair beauty polyclinic resort pension grill eatery lodge seafood inn bistro the dentistry hotel ng sa ni inc incorporated corp corporation co company ltd opc "
-    "ctr cln klinika mata hayop kapihan kainan himnasyo tanggapang pambatas medikal pahingahan bahay ngipin paaralan salamin labahan gamit pangbahay botika pagupitan panaderya talyer branch"
-).split()
-# Words that tell one kind of business from another.
-KIND_OF = {
-    "dentist": "dental dentistry ngipin", "clinic": "medical polyclinic family medikal", "vet": "veterinary animal pet hayop", "optical": "optical eye vision salamin",
-    "gym": "gym fitness himnasyo", "laundry": "laundry wash labahan", "cafe": "cafe coffee tea kapihan", "restaurant": "restaurant eatery grill bistro seafood kainan",
-    "bakery": "bakery bakeshop cakes pastries panaderya", "hotel": "hotel inn lodge resort pension pahingahan", "law": "law legal tanggapang", "salon": "salon nails hair beauty pagupitan",
-    "pharmacy": "pharmacy pharma drugstore botika", "hardware": "hardware builders construction pangbahay", "auto": "auto car motor talyer", "school": "academy learning tutorial paaralan school",
-}
+NEAR_M, CLOSE_M = 150.0, 50.0
+COMMON, AT_LEAST = 1 / 800, 8  # a word is common if at least this share of the records has it, and so many of them
+PURE = 0.9  # a common word tells the kind if this share of its labelled records is of one kind
+
+# Words for parts of an address, which never tell one street or city from another.
 STREET_TYPES = "st str street ave av avenue blvd boul boulevard rd road ln lane dr drive calle kalye ext extn extension".split()
-CITY_NOISE = "city of municipality mun bayan lungsod ng brgy barangay bgy sitio poblacion near area proper capital ph philippines c o".split()
+ADMINISTRATIVE = "city of municipality mun bayan lungsod ng brgy barangay bgy sitio poblacion near area proper capital ph philippines c o".split()
 _UNIT = r"^\s*(?:(?:unit|suite|ste|rm|room|stall|space|door|g/f|\d+/f|\d+(?:st|nd|rd|th) floor)\.?\s*#?\d*[a-z]?\s*,\s*|(?:unit|suite|rm|stall|space)\.?\s*\d+[a-z]?\s+)+"
 
 
-def _bare(c: Column) -> Column:
-    return F.trim(F.regexp_replace(F.regexp_replace(c, "['’`]", ""), r"[^a-z0-9]+", " "))
+def _split(c: Column) -> Column:
+    return F.split(F.translate(c, "'’`", ""), "[^a-z0-9]+")
+
+
+def _head(c: Column) -> Column:
+    """The text before the first comma, bracket, bar or spaced dash; the whole if nothing is before it."""
+    plain = F.translate(c, "(|–—", ",,--")
+    head = F.substring_index(F.substring_index(plain, ",", 1), " - ", 1)
+    return F.when(F.trim(head) == "", plain).otherwise(head)
+
 
+def words(name: Column) -> Column:
+    """The folded words of the telling part of a name, joined by spaces."""
+    return F.trim(F.array_join(_split(_head(fold(F.coalesce(name, F.lit(""))))), " "))
 
-def _without(c: Column, words: list[str]) -> Column:
-    return F.filter(F.split(c, " "), lambda t: (t != "") & ~t.isin(*words))
 
+@dataclass
+class Lexicon:
+    """Common words, each with the kind of business it tells, or None."""
 
-def core_tokens(name: Column) -> Column:
-    whole = F.trim(fold(name))
-    head = F.trim(F.regexp_replace(whole, r"(?<=\w)(\s+[-–—]\s+|\s*[(,|]).*$", ""))
-    kept = _without(_bare(head), KINDS)
-    return F.when(F.size(kept) > 0, kept).otherwise(_without(_bare(whole), []))
+    kinds: dict[str, str | None]
 
+    def core(self, joined: Column) -> Column:
+        """The words that aren't common; all words if none is left."""
+        if not self.kinds:
+            return joined
+        kept = F.filter(F.split(joined, " "), lambda t: ~t.isin(*sorted(self.kinds)))
+        return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(joined)
 
-def kind(name: Column) -> Column:
-    """The kind of business that a name says, or null."""
-    words = F.split(_bare(F.trim(fold(name))), " ")
-    of = F.create_map(*(F.lit(x) for k, ws in KIND_OF.items() for w in ws.split() for x in (w, k)))
-    return F.get(F.filter(F.transform(words, lambda w: F.try_element_at(of, w)), lambda k: k.isNotNull()), F.lit(0))
+    def kind(self, joined: Column, label: Column) -> Column:
+        """The kind a record is labelled with, else the one that its first telling word tells."""
+        known = {w: k for w, k in self.kinds.items() if k}
+        if not known:
+            return label
+        of = F.create_map(*(F.lit(x) for w in sorted(known) for x in (w, known[w])))
+        hit = F.filter(F.split(joined, " "), lambda t: t.isin(*sorted(known)))
+        return F.coalesce(label, F.try_element_at(of, F.get(hit, F.lit(0))))
 
 
-def phones(joined: Column) -> Column:
-    """National digits of all numbers in a text of numbers."""
-    x = F.regexp_replace(F.coalesce(joined, F.lit("")), r"(?i)(loc|ext|local)\.?\s*\d+", "")
-    each = F.transform(F.split(x, r"[;,/|]"), lambda p: F.regexp_replace(F.regexp_replace(F.regexp_replace(p, r"\D", ""), "^63", ""), "^0+", ""))
-    return F.array_distinct(F.filter(each, lambda p: F.length(p) >= 8))
+def learn(records: DataFrame) -> Lexicon:
+    """The lexicon of records with ``words`` and ``label`` (a kind, or null), from counts over all of them.
+
+    A word is kept if one record in 1 / ``COMMON`` has it, so at most (words per name) / ``COMMON`` words reach the driver,
+    whatever the size of the table.
+    """
+    total = records.count()
+    each = records.select("label", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).where("w <> ''")
+    counts = each.groupBy("w", "label").agg(F.count("*").alias("n"))
+    known = F.col("label").isNotNull()
+    by_word = counts.groupBy("w").agg(
+        F.sum("n").alias("n"), F.sum(F.when(known, F.col("n"))).alias("known"), F.max(F.when(known, F.struct("n", "label"))).alias("top")
+    )
+    rows = by_word.where(F.col("n") >= max(total * COMMON, AT_LEAST)).collect()
+    pure = lambda r: r["known"] is not None and r["known"] >= AT_LEAST and r["top"]["n"] >= PURE * r["known"]
+    return Lexicon({r["w"]: r["top"]["label"] if pure(r) else None for r in rows})
+
+
+def _hash(c: Column) -> Column:
+    return F.hash(c)
+
+
+def _digits(part: Column) -> Column:
+    d = F.regexp_replace(part, r"\D", "")
+    d = F.when(F.startswith(d, F.lit("63")), F.substring(d, 3, 40)).otherwise(d)
+    return F.ltrim(d, F.lit("0"))
+
+
+def phones(values: Column) -> Column:
+    """Hashes of the national digits of all numbers in a list of typed numbers."""
+    joined = F.array_join(values, ";")
+    plain = F.when(joined.rlike("[lexLEX]"), F.regexp_replace(joined, r"(?i)(loc|ext|local)\.?\s*\d+", "")).otherwise(joined)
+    each = F.filter(F.transform(F.split(plain, r"[;,/|]"), _digits), lambda p: F.length(p) >= 8)
+    none = F.array().cast("array<int>")
+    return F.when(F.coalesce(joined, F.lit("")) == "", none).otherwise(F.array_distinct(F.transform(each, _hash)))
 
 
 def host(website: Column) -> Column:
     return F.nullif(F.regexp_extract(F.lower(F.trim(website)), r"^(?:https?://)?(?:www\.)?([^/?#:\s]+\.[^/?#:\s]+)", 1), F.lit(""))
 
 
-def emails(joined: Column) -> Column:
-    x = F.regexp_replace(F.lower(F.coalesce(joined, F.lit(""))), "mailto:", "")
-    return F.array_distinct(F.filter(F.transform(F.split(x, r"[;,|\s]+"), F.trim), lambda e: F.contains(e, F.lit("@"))))
+def emails(values: Column) -> Column:
+    joined = F.array_join(values, ";")
+    each = F.filter(F.split(F.replace(F.lower(joined), F.lit("mailto:"), F.lit("")), r"[;,|\s]+"), lambda e: F.contains(e, F.lit("@")))
+    return F.when(F.coalesce(joined, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(each, _hash)))
 
 
 def handle(facebook: Column) -> Column:
@@ -78,15 +119,16 @@ def handle(facebook: Column) -> Column:
 def street_parts(street: Column) -> tuple[Column, Column]:
     """Number and name of a street line."""
     s = F.regexp_replace(fold(F.coalesce(street, F.lit(""))), _UNIT, "")
-    lead = F.regexp_extract(s, r"^\s*(?:no\.?|nr\.?|#)?\s*(\d+[a-z]?)\b", 1)
-    name = F.regexp_replace(s, r"^\s*(?:no\.?|nr\.?|#)?\s*\d+[a-z]?\b[.,]?", "")
-    name = F.regexp_replace(F.regexp_replace(name, _UNIT, ""), r",.*$", "")
-    return F.nullif(lead, F.lit("")), F.nullif(F.array_join(_without(_bare(name), STREET_TYPES), ""), F.lit(""))
+    number = r"^\s*(?:no\.?|nr\.?|#)?\s*(\d+[a-z]?)\b[.,]?"
+    lead = F.regexp_extract(s, number, 1)
+    name = F.substring_index(F.regexp_replace(F.when(lead == "", s).otherwise(F.regexp_replace(s, number, "")), _UNIT, ""), ",", 1)
+    kept = F.filter(_split(name), lambda t: (t != "") & ~t.isin(*STREET_TYPES))
+    return F.nullif(lead, F.lit("")), F.nullif(F.array_join(kept, ""), F.lit(""))
 
 
 def city_text(city: Column) -> Column:
-    x = F.trim(F.regexp_replace(fold(F.coalesce(city, F.lit(""))), r"[^a-z]+", " "))
-    return F.nullif(F.array_join(_without(x, CITY_NOISE), " "), F.lit(""))
+    kept = F.filter(F.split(fold(F.coalesce(city, F.lit(""))), "[^a-z]+"), lambda t: (t != "") & ~t.isin(*ADMINISTRATIVE))
+    return F.nullif(F.array_join(kept, " "), F.lit(""))
 
 
 def core(name: str = "name") -> Column:
@@ -94,44 +136,54 @@ def core(name: str = "name") -> Column:
     return F.replace(F.col(name), F.lit(" "), F.lit(""))
 
 
+def _hashed(c: Column) -> Column:
+    return F.when(c.isNotNull(), F.hash(c))
+
+
 def _finish(df: DataFrame) -> DataFrame:
     ok = usable(F.col("lat"), F.col("lon"))
     return df.withColumn("lat", F.when(ok, F.col("lat"))).withColumn("lon", F.when(ok, F.col("lon")))
 
 
-def hashed(df: DataFrame) -> DataFrame:
-    """Phones, e-mails, hosts and pages as 64-bit hashes: they are only compared for equality."""
-    many = {c: F.transform(c, lambda v: F.xxhash64(v)) for c in ("phones", "mails")}
-    one = {c: F.when(F.col(c).isNotNull(), F.xxhash64(c)) for c in ("web", "fb")}
-    return df.withColumns(many | one)
-
-
 def from_raw(raw: DataFrame) -> DataFrame:
-    """Listings by ``id``, a 64-bit hash of source_ref; a repeated listing has repeated rows. Rows without source_ref or name aren't listings."""
-    number, name = street_parts(F.col("street"))
+    """Listings; rows without source_ref or name aren't listings. A label is read from the payload's category if there is one."""
+    number, street = street_parts(F.col("street"))
+    label = F.get_json_object("payload", "$.category") if "payload" in raw.columns else F.lit(None).cast("string")
+    house = F.regexp_extract(F.lower("housenumber"), r"(\d+[a-z]?)", 1)
     return _finish(
         raw.where("source_ref is not null and trim(name) <> ''").select(
-            F.xxhash64("source_ref").alias("id"), F.crc32("source").alias("src"), F.array_join(core_tokens(F.col("name")), " ").alias("name"), kind(F.col("name")).alias("kind"),
-            phones(F.array_join("phones_raw", ";")).alias("phones"), host(F.col("website_raw")).alias("web"), emails(F.array_join("emails_raw", ";")).alias("mails"),
-            handle(F.col("facebook")).alias("fb"), F.coalesce(F.nullif(F.regexp_extract(F.lower(F.coalesce("housenumber", F.lit(""))), r"(\d+[a-z]?)", 1), F.lit("")), number).alias("num"),
-            name.alias("street"), city_text(F.col("city")).alias("city"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
+            F.col("source_ref").alias("key"), F.coalesce("source", F.lit("")).alias("src"), "record_id", words(F.col("name")).alias("words"), label.alias("label"),
+            phones(F.col("phones_raw")).alias("phones"), _hashed(host(F.col("website_raw"))).alias("web"), emails(F.col("emails_raw")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
+            F.coalesce(F.nullif(house, F.lit("")), number).alias("num"), street.alias("street"), city_text(F.col("city")).alias("city"),
+            F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
         )
     )
 
 
 def from_leads(leads: DataFrame) -> DataFrame:
-    """Leads by ``id``, a 64-bit hash of lead_id; a repeated lead has repeated rows. ``address`` gives the number, ``street_key`` the street."""
+    """Leads by ``key``, the lead_id; a repeated lead has repeated rows. ``address`` gives the number, ``street_key`` the street."""
     number, _ = street_parts(F.col("address"))
-    _, name = street_parts(F.col("street_key"))
+    _, street = street_parts(F.col("street_key"))
+    label = F.get("categories", F.lit(0)) if "categories" in leads.columns else F.lit(None).cast("string")
+    none = F.array().cast("array<string>")
+    more = lambda one, rest: F.concat(F.array(F.coalesce(F.col(one), F.lit(""))), F.coalesce(F.col(rest), none))
     x = leads.where("lead_id is not null").select(
-        F.xxhash64("lead_id").alias("id"), F.col("lead_id").alias("key"), F.array_join(core_tokens(F.coalesce("business_name", F.lit(""))), " ").alias("name"), kind(F.col("business_name")).alias("kind"),
-        phones(F.concat_ws(";", "phone", F.array_join("phones_extra", ";"))).alias("phones"), F.coalesce(F.lower("domain"), host(F.col("website"))).alias("web"),
-        emails(F.concat_ws(";", "email", F.array_join("emails_extra", ";"))).alias("mails"), handle(F.col("facebook")).alias("fb"), number.alias("num"), name.alias("street"),
-        city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
+        F.col("lead_id").alias("key"), words(F.col("business_name")).alias("words"), label.alias("label"), phones(more("phone", "phones_extra")).alias("phones"),
+        _hashed(F.coalesce(F.lower("domain"), host(F.col("website")))).alias("web"), emails(more("email", "emails_extra")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
+        number.alias("num"), street.alias("street"), city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"),
+        F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
     )
     return _finish(x)
 
 
+COMPARED = ["name", "kind", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"]
+
+
+def named(records: DataFrame, lexicon: Lexicon) -> DataFrame:
+    """``records`` with ``name`` (the core's words) and ``kind`` in place of ``words`` and ``label``."""
+    return records.withColumn("name", lexicon.core(F.col("words"))).withColumn("kind", lexicon.kind(F.col("words"), F.col("label"))).drop("words", "label")
+
+
 def alike(a: Column, b: Column, longest: int = 2) -> Column:
     """Two words that one or two slips keep apart; long ones may differ by more."""
     d = F.levenshtein(a, b, longest)
@@ -165,8 +217,16 @@ def _vote(known: Column, agree: Column) -> Column:
     return F.when(F.coalesce(known, F.lit(False)), F.when(F.coalesce(agree, F.lit(False)), 1).otherwise(-1)).otherwise(0).cast("int")
 
 
-def votes(a: str, b: str) -> dict[str, Column]:
-    """The matching functions over two struct columns; each votes 1, -1 or 0."""
+VOTES = ["name", "kind", "phone", "web", "mail", "fb", "place", "street", "num", "city", "spot"]
+
+
+def votes(pairs: DataFrame, a: str, b: str, keep: list[str]) -> DataFrame:
+    """``keep`` and the matching functions over two struct columns.
+
+    Each says 1, -1 or nothing (0); ``name`` says 2 for equal cores, ``place`` 2 within 50 m and 1 within 150 m.
+    One is composed of others: ``spot`` reads position, number and contacts together (a number that differs tells
+    neighbours apart unless they share a contact; without positions the address has to agree, or the city and a contact).
+    """
 
     def both(c):
         return F.col(f"{a}.{c}").isNotNull() & F.col(f"{b}.{c}").isNotNull()
@@ -180,29 +240,30 @@ def votes(a: str, b: str) -> dict[str, Column]:
 
     d = haversine_m(F.col(f"{a}.lat"), F.col(f"{a}.lon"), F.col(f"{b}.lat"), F.col(f"{b}.lon"))
     city_a, city_b = F.col(f"{a}.city"), F.col(f"{b}.city")
-    return {
-        "name": F.when(same_name(a, b), 1).when(near_name(a, b), 0).otherwise(-1).cast("int"),
-        "kind": _vote(both("kind"), eq("kind")),
-        "phone": sets("phones"),
-        "web": _vote(both("web"), eq("web")),
-        "mail": sets("mails"),
-        "fb": _vote(both("fb"), eq("fb")),
-        "place": F.when(both("lat") & both("lon"), F.when(d <= NEAR_M, 1).otherwise(-1)).otherwise(0).cast("int"),
-        "street": _vote(both("street"), alike(F.col(f"{a}.street"), F.col(f"{b}.street")) | F.contains(F.col(f"{a}.street"), F.col(f"{b}.street")) | F.contains(F.col(f"{b}.street"), F.col(f"{a}.street"))),
-        "num": _vote(both("num"), eq("num")),
+    street_a, street_b = F.col(f"{a}.street"), F.col(f"{b}.street")
+    first = {
+        "name": F.when(core(f"{a}.name") == core(f"{b}.name"), 2).when(same_name(a, b), 1).when(near_name(a, b), 0).otherwise(-1).cast("int"),
+        "kind": _vote(both("kind"), eq("kind")), "phone": sets("phones"), "web": _vote(both("web"), eq("web")), "mail": sets("mails"), "fb": _vote(both("fb"), eq("fb")),
+        "place": F.when(both("lat") & both("lon"), F.when(d <= CLOSE_M, 2).when(d <= NEAR_M, 1).otherwise(-1)).otherwise(0).cast("int"),
+        "street": _vote(both("street"), alike(street_a, street_b) | F.contains(street_a, street_b) | F.contains(street_b, street_a)), "num": _vote(both("num"), eq("num")),
         "city": _vote(both("city"), F.contains(city_a, city_b) | F.contains(city_b, city_a) | alike(city_a, city_b)),
     }
+    v = {c: F.col(c) for c in first}
+    conflict = (v["num"] == -1) | ((v["street"] == -1) & (v["num"] != 1)) | ((v["city"] == -1) & ~((v["street"] == 1) & (v["num"] == 1)))
+    address = ((v["street"] == 1) & (v["num"] >= 0) & (v["city"] >= 0)) | ((v["num"] == 1) & ((v["city"] == 1) | (v["street"] == 1)))
+    reached = ((v["city"] == 1) & _contact()) | ((v["phone"] == 1) & (v["city"] >= 0))
+    spot = (
+        F.when(v["place"] >= 1, F.when((v["num"] >= 0) | _contact(), 1).otherwise(-1)).when((v["place"] == -1) | conflict, -1)
+        .when(address | reached, 1).otherwise(0).cast("int")
+    )
+    return pairs.select(*keep, *(c.alias(n) for n, c in first.items())).withColumn("spot", spot)
 
 
-def one_business() -> Column:
-    """From the votes: one name and kind at one place, by position, or by address where a position is missing.
+def _contact() -> Column:
+    return (F.col("phone") == 1) | (F.col("web") == 1) | (F.col("mail") == 1) | (F.col("fb") == 1)
 
-    Neighbours may share a name, but then differ in kind, or in number without a common contact.
-    """
-    v = {c: F.col(c) for c in ("name", "kind", "phone", "web", "mail", "fb", "place", "street", "num", "city")}
-    contact = (v["phone"] == 1) | (v["web"] == 1) | (v["mail"] == 1) | (v["fb"] == 1)
-    conflict = (v["num"] == -1) | ((v["street"] == -1) & (v["num"] != 1)) | ((v["city"] == -1) & ~((v["street"] == 1) & (v["num"] == 1)))
-    address = ((v["street"] == 1) & (v["num"] >= 0) & (v["city"] >= 0)) | ((v["num"] == 1) & (v["city"] == 1)) | ((v["num"] == 1) & (v["street"] == 1))
-    named = (v["kind"] >= 0) & ((v["name"] == 1) | ((v["name"] == 0) & contact & (v["num"] >= 0)))
-    at_once = (v["place"] == 1) & ((v["num"] >= 0) | contact)
-    return named & (at_once | ((v["place"] == 0) & ~conflict & (address | ((v["city"] == 1) & contact) | ((v["phone"] == 1) & (v["city"] >= 0)))))
+
+def one_business() -> Column:
+    """From the votes: one name and kind at one spot."""
+    named_ = (F.col("name") >= 1) | ((F.col("name") == 0) & _contact() & (F.col("num") >= 0))
+    return named_ & (F.col("kind") >= 0) & (F.col("spot") == 1)

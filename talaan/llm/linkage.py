@@ -1,44 +1,48 @@
 """Matching entities across sources without keys: label-model linkage.
 
-1. **Candidates.** Listings with positions meet in grid cells of the reach of one place with the first or the last
-   three letters of their names' cores, a phone, e-mail, website or page. A slip can hide both ends of a core of up to five
-   letters, so cores of up to six meet by their forms with a letter left out too; two slips can hide both ends of a longer one,
-   so the letters after the third meet too, as far as a slip may shift them; two words meet in either order. Two slips in a core
-   of six to eight letters, or a core within another without its ends, need a contact. Listings without a position meet
-   any listing by core or its ends together with a phone, street, e-mail, website or city. All keys are composite, so a
-   website of a chain, a switchboard or a city with a third of all rows makes no group of its own.
-2. **Votes.** Ten matching functions (name, kind, phone, website, e-mail, page, place, street, number, city) say
-   1, -1 or nothing about each candidate.
+1. **Candidates.** Listings with positions meet in the grid cells their neighbourhoods touch, with the first, last or
+   middle letters of their names' cores, a phone, e-mail, website or page. Two slips can hide both ends of a core, so the letters
+   after the third meet too, as far as a slip may shift them; cores of up to six letters meet by their forms with a
+   letter left out; two words meet in either order. Two slips in a core of six to eight letters, or a core within another
+   without its ends, need a contact. Listings without a position meet any listing by core or its ends together with a
+   phone, street, e-mail, website or city. All keys are composite, so a website of a chain, a switchboard or a city with a
+   third of all rows makes no group of its own. All key rows are shuffled once, to the key, and joined with themselves.
+2. **Votes.** Eleven matching functions (``business.votes``) speak about each candidate: name, kind, contacts, bands of
+   distance, street, number, city, and one that reads position, number and contacts together.
 3. **Label model.** A generative model of the votes is fitted without labels by expectation-maximisation. It has a
    table per function and class, and each function also depends on the one it is most correlated with (a
    maximum spanning tree of conditional mutual information, learned with the tables), so websites, e-mails
-   and pages that agree together don't count as independent evidence. Only the counts of vote patterns (at
-   most 3^10) reach the driver. The posterior of the pattern is the confidence.
-4. **Decision.** A pair is accepted with a posterior of ``ACCEPT`` or more if the names agree and the listings are
-   at one place. Accepted pairs are joined to businesses, and each two listings of a business from different
-   sources come out.
+   and pages that agree together don't count as independent evidence. Only the counts of vote patterns (at most the
+   product of the functions' answers) reach the driver. The posterior of the pattern is the confidence.
+4. **Decision.** A pair is accepted by its posterior alone, ``ACCEPT`` or more. Accepted pairs are joined to businesses,
+   and each two listings of a business from different sources come out.
+
+Which words of a name say what a business is, and not which, is learned from the table (``business.learn``). A listing is
+known by a number given when the table of listings is written, so no two listings can share one.
 """
 
 from __future__ import annotations
 
 import numpy as np
 from pyspark.sql import Column, DataFrame
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talaan.llm import business
 from talaan.llm.groups import components
-from talaan.operators.near import cells
-from talaan.runtime import BROADCAST_ROWS, broadcast_if_small, cut
+from talaan.operators.near import touched_cells
+from talaan.runtime import cut
 
-CELL_M = 1_000.0
+CELL_M = 2_500.0
 ACCEPT = 0.5
-VOTES = ["name", "kind", "phone", "web", "mail", "fb", "place", "street", "num", "city"]
+VOTES = business.VOTES
+LOWEST, LEVELS = -1, 4  # answers of the functions: -1, 0, 1, 2
 
 
 class LabelModel:
-    """Two classes, votes in {-1, 0, 1}, tree-shaped dependence among the votes in each class."""
+    """Two classes, votes from ``LOWEST`` up, tree-shaped dependence among the votes in each class."""
 
-    def __init__(self, rounds: int = 40, smooth: float = 1.0):
+    def __init__(self, rounds: int = 60, smooth: float = 1.0):
         self.rounds, self.smooth = rounds, smooth
 
     def _pairs(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
@@ -47,7 +51,7 @@ class LabelModel:
         out = np.zeros((k, k))
         for i in range(k):
             for j in range(i):
-                joint = np.full((3, 3), 1e-9)
+                joint = np.full((LEVELS, LEVELS), 1e-9)
                 np.add.at(joint, (x[:, i], x[:, j]), w)
                 joint /= joint.sum()
                 out[i, j] = out[j, i] = float((joint * np.log(joint / (joint.sum(1, keepdims=True) * joint.sum(0, keepdims=True)))).sum())
@@ -68,9 +72,9 @@ class LabelModel:
         return parent
 
     def fit(self, patterns: np.ndarray, counts: np.ndarray) -> np.ndarray:
-        """The posterior of a match for each pattern (rows of -1, 0, 1) seen ``counts`` times."""
-        x, n = patterns.astype(int) + 1, counts.astype(float)
-        post = 1 / (1 + np.exp(-(patterns.sum(axis=1) - 0.5)))
+        """The posterior of a match for each pattern seen ``counts`` times."""
+        x, n = patterns.astype(int) - LOWEST, counts.astype(float)
+        post = 1 / (1 + np.exp(-(np.clip(patterns, -1, 1).sum(axis=1) - 0.5)))
         k = x.shape[1]
         for _ in range(self.rounds):
             weights = [n * (1 - post), n * post]
@@ -80,7 +84,7 @@ class LabelModel:
                 s = np.full(len(x), np.log(w.sum() + 1))
                 for j in range(k):
                     p = self.parent[j]
-                    table = np.full((3, 3), self.smooth)
+                    table = np.full((LEVELS, LEVELS), self.smooth / LEVELS)
                     np.add.at(table, (x[:, p] if p >= 0 else np.zeros(len(x), int), x[:, j]), w)
                     table /= table.sum(axis=1, keepdims=True)
                     s += np.log(table[x[:, p] if p >= 0 else 0, x[:, j]])
@@ -93,145 +97,137 @@ class LabelModel:
         return post
 
 
-def _ends(core: Column) -> Column:
-    """First and last three letters."""
-    return F.array_distinct(F.array(F.concat(F.lit("<"), F.substring(core, 1, 3)), F.concat(F.lit(">"), F.substring(core, -3, 3))))
+SHORT = 6  # letters of a core within one slip of a core of five
+KEY_BITS = 48  # two keys that share a hash make a candidate more, no link less
 
 
-SHORT = 6  # letters of a core within one slip of a core of five
+def _key(tag: str, *parts: Column) -> Column:
+    """A key of ``parts``, null if one of them is."""
+    known = parts[0].isNotNull()
+    for p in parts[1:]:
+        known = known & p.isNotNull()
+    return F.when(known, F.xxhash64(F.lit(tag), *parts).bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
 
 
-def _placed_keys(own: bool) -> Column:
-    """Keys of a listing with a position, to be used with its cell; the other side looks up shifted letters too (not ``own``)."""
-    core, none = F.col("core"), F.array().cast("array<string>")
-    n, words = F.length(core), F.split("name", " ")
+def _ends(core: Column) -> list[tuple[str, Column]]:
+    """First and last three letters."""
+    return [("<", F.substring(core, 1, 3)), (">", F.substring(core, -3, 3))]
 
-    def some(when: Column, keys: Column) -> Column:
-        return F.when(when, keys).otherwise(none)
 
-    def one(prefix: str, c: str) -> Column:
-        return some(F.col(c).isNotNull(), F.array(F.concat(F.lit(prefix), F.col(c).cast("string"))))
+def _each(c: str, first: int) -> list[Column]:
+    return [F.get(c, F.lit(i)) for i in range(first)]
 
-    def many(prefix: str, c: str) -> Column:
-        return F.transform(c, lambda v: F.concat(F.lit(prefix), v.cast("string")))
 
-    less = F.transform(F.sequence(F.lit(1), n), lambda i: F.concat(F.lit("-"), F.substring(core, F.lit(1), i - 1), F.substring(core, i + 1, n)))
-    short = some(n.between(1, SHORT), F.concat(F.array(F.concat(F.lit("-"), core)), less))
-    middle = some(n >= 7, F.array(*(F.concat(F.lit("+"), F.substring(core, k, 3)) for k in ((4,) if own else (3, 4, 5)))))
-    swapped = some(F.size(words) == 2, F.array(F.concat(F.lit("="), F.array_join(F.array_sort(words), ""))))
-    return F.array_distinct(F.concat(_ends(core), many("t", "phones"), many("m", "mails"), one("w", "web"), one("f", "fb"), short, middle, swapped))
+def _with_rest(keys: list[Column], c: str, first: int, key) -> Column:
+    """``keys`` and those of the elements of ``c`` beyond the ``first``."""
+    more = F.transform(F.slice(c, first + 1, F.greatest(F.size(c) - first, F.lit(1))), key)
+    return F.when(F.size(c) > first, F.concat(F.array(*keys), more)).otherwise(F.array(*keys))
 
 
-def _loose() -> Column:
-    """Keys of a listing that needn't have a position: composite of a name part and another attribute."""
-    core, none = F.col("core"), F.array().cast("array<string>")
-    head = F.substring(core, 1, 3)
+def _placed_keys() -> list[Column]:
+    """Arrays of keys of a listing in a cell; unused ones are null."""
+    core, words, cell = F.col("core"), F.split("name", " "), F.col("cell")
+    n = F.length(core)
+    keys = [_key(t, cell, p) for t, p in _ends(core)]
+    keys += [_key("+", cell, F.when(n >= 7, F.substring(core, k, 3))) for k in (4, 5)]  # one slip before shifts by one at most
+    keys += [_key("w", cell, F.col("web")), _key("f", cell, F.col("fb")), _key("=", cell, F.when(F.size(words) == 2, F.array_join(F.array_sort(words), "")))]
+    short = F.when(n.between(1, SHORT), core)
+    less = [F.when(n >= i, F.concat(F.substring(short, 1, i - 1), F.substring(short, i + 1, SHORT))) for i in range(1, SHORT + 1)]
+    keys += [_key("-", cell, x) for x in (short, *less)] + [_key("t", cell, p) for p in _each("phones", 2)]
+    return [_with_rest(keys, "phones", 2, lambda p: _key("t", cell, p)), _with_rest([_key("m", cell, e) for e in _each("mails", 1)], "mails", 1, lambda e: _key("m", cell, e))]
 
-    def each(c: str, parts: Column) -> Column:
-        return F.flatten(F.transform(c, lambda v: F.transform(parts, lambda p: F.concat(p, v.cast("string")))))
 
-    street = F.when(F.col("street").isNotNull(), F.transform(_ends(core), lambda p: F.concat_ws("|", p, F.substring("street", 1, 4)))).otherwise(none)
-    city = F.when(F.col("city").isNotNull(), F.array(F.concat_ws("|", core, "city"), F.concat_ws("|", F.col("web").cast("string"), "city"))).otherwise(none)
-    return F.array_distinct(F.concat(each("phones", _ends(core)), each("mails", F.array(head)), street, F.filter(city, lambda k: F.contains(k, F.lit("|")))))
+def _loose_keys() -> list[Column]:
+    """Arrays of keys of a listing that needn't have a position: composite of a name part and another attribute."""
+    core = F.col("core")
+    keys = [_key("t" + t, part, p) for t, part in _ends(core) for p in _each("phones", 2)]
+    keys += [_key("s" + t, part, F.substring("street", 1, 4)) for t, part in _ends(core)] + [_key("c", core, F.col("city")), _key("wc", F.col("web"), F.col("city"))]
+    more = lambda p: _key("t<", F.substring(core, 1, 3), p)
+    tail = lambda p: _key("t>", F.substring(core, -3, 3), p)
+    return [_with_rest(keys, "phones", 2, more), _with_rest([F.lit(None).cast("bigint")], "phones", 2, tail), _with_rest([_key("m<", F.substring(core, 1, 3), e) for e in _each("mails", 1)], "mails", 1, lambda e: _key("m<", F.substring(core, 1, 3), e))]
 
 
-def candidates(listings: DataFrame, repeats: bool = True) -> DataFrame:
+def candidates(listings: DataFrame) -> DataFrame:
     """``id_a``, ``id_b``: pairs of listings of different sources worth a look, each once, smaller id first.
 
-    Key rows hold two numbers and the source's checksum. They are partitioned by key once and joined in place.
+    A key row leads if the listing is in its own cell, or has no position; a pair needs a leading row. Leading rows hold
+    the id, others its complement, which is negative, so both sides of the join are one exchange.
     """
-    slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "num", "city", "lat", "lon")
-
-    def placed(own: bool) -> DataFrame:
-        return slim.where("lat is not null").select("id", "s", "lat", "lon", F.explode(_placed_keys(own)).alias("end"))
-
-    def rows(df: DataFrame, k: Column) -> DataFrame:
-        r = df.select(k.alias("k"), "id", "s")
-        return r.repartition("k").dropDuplicates(["k", "id", "s"]) if repeats else r
-
-    reach = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
-    key = F.xxhash64("cell", "end")
-    a = rows(cells(placed(True), "lat", "lon", reach=False, **reach), key).toDF("k", "i", "sa")
-    b = rows(cells(placed(False), "lat", "lon", reach=True, **reach), key).toDF("k", "j", "sb")
-    near = a.join(b, "k").where("i < j and sa <> sb").select(F.col("i").alias("id_a"), F.col("j").alias("id_b"))
-    keyed = slim.select("id", "s", F.col("lat").isNull().alias("lost"), F.explode(_loose()).alias("w")).select(F.xxhash64("w").alias("k"), "id", "s", "lost")
-    # listings without position are few: their keys are sent whole if they are, so the others aren't shuffled
-    c = broadcast_if_small(keyed.where("lost").select("k", "id", "s").toDF("k", "i", "sa"))
-    d = keyed.select("k", "id", "s").toDF("k", "j", "sb")
-    loose = c.join(d, "k").where("sa <> sb").select(F.least("i", "j").alias("id_a"), F.greatest("i", "j").alias("id_b"))
-    return near.unionByName(loose).distinct()
-
-
-def voted(listings: DataFrame, pairs: DataFrame, repeats: bool = True) -> DataFrame:
+    slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "city", "lat", "lon")
+    # arrays are made in a projection of their own: inside explode they would be interpreted
+    touched = slim.where("lat is not null").withColumn("cells", touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M))
+    here = touched.select("*", F.posexplode("cells").alias("at", "cell"))
+
+    def rows(df: DataFrame, leads: Column, keys: list[Column]) -> DataFrame:
+        signed = F.when(leads, F.col("id")).otherwise(F.bitwise_not("id"))
+        made = df.select(signed.alias("i"), F.xxhash64("s").alias("s"), F.concat(*keys).alias("ks"))
+        return made.select("i", "s", F.explode("ks").alias("k")).where("k is not null")
+
+    keyed = rows(here, F.col("at") == 0, _placed_keys()).unionByName(rows(slim, F.col("lat").isNull(), _loose_keys()))
+    a, b = keyed.alias("a"), keyed.alias("b")
+    i, j = F.col("a.i"), F.col("b.i")
+    # one expression over both sides, so that no part of it is pushed to one of them and the exchange is read twice
+    apart = F.shiftrightunsigned(i, 63) + (~((j < 0) | (i < j))).cast("bigint") == 0
+    met = a.join(b, (F.col("a.k") == F.col("b.k")) & apart & (F.col("a.s") != F.col("b.s")))
+    other = F.when(j < 0, F.bitwise_not(j)).otherwise(j)
+    return met.select(F.least(i, other).alias("id_a"), F.greatest(i, other).alias("id_b")).distinct()
+
+
+def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
     """``pairs`` with the votes. Both joins read one exchange of the listings."""
-    one = listings.select("id", F.struct("name", "kind", "phones", "web", "mails", "fb", "lat", "lon", "street", "num", "city").alias("l"))
-    one = one.repartition("id").dropDuplicates(["id"]) if repeats else one
+    one = listings.select("id", F.struct(*business.COMPARED).alias("l"))
     x = pairs.join(one.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
-    v = business.votes("a", "b")
-    return x.select("id_a", "id_b", *(v[c].cast("tinyint").alias(c) for c in VOTES))
+    return business.votes(x, "a", "b", ["id_a", "id_b"]).select("id_a", "id_b", *(F.col(c).cast("tinyint").alias(c) for c in VOTES))
 
 
 def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
     """``pairs`` with ``confidence``, and the fitted model."""
-    code = sum(((F.col(c) + 1) * 3**i for i, c in enumerate(VOTES)), F.lit(0)).cast("int")
+    code = sum(((F.col(c) - LOWEST) * LEVELS**i for i, c in enumerate(VOTES)), F.lit(0)).cast("int")
     pairs = pairs.withColumn("pattern", code)
-    seen = pairs.groupBy("pattern").count().collect()  # at most 3^10 rows
+    seen = pairs.groupBy("pattern").count().collect()  # at most the product of the functions' answers
     model = LabelModel()
     if not seen:
         return pairs.withColumn("confidence", F.lit(0.0)).drop("pattern"), model
     codes = np.array(sorted(r["pattern"] for r in seen))
     counts = {r["pattern"]: r["count"] for r in seen}
-    x = np.stack([codes // 3**i % 3 - 1 for i in range(len(VOTES))], axis=1)
+    x = np.stack([codes // LEVELS**i % LEVELS + LOWEST for i in range(len(VOTES))], axis=1)
     post = model.fit(x, np.array([counts[c] for c in codes]))
     spark = pairs.sparkSession
     table = spark.createDataFrame([(int(c), float(p)) for c, p in zip(codes, post)], "pattern int, confidence double")
     return pairs.join(F.broadcast(table), "pattern").drop("pattern"), model
 
 
-def judged(rows: DataFrame, repeats: bool = True) -> DataFrame:
-    """All candidate pairs of listings by id, with votes, confidence and decision."""
-    listings = cut(business.hashed(business.from_raw(rows)))
-    scored, _ = confident(cut(voted(listings, candidates(listings, repeats), repeats)))
-    return scored.withColumn("accepted", (F.col("confidence") >= ACCEPT) & business.one_business())
-
-
-def first_rows(raw: DataFrame) -> tuple[DataFrame, bool]:
-    """The first record of each listing, and whether repeats are left in.
-
-    The records to leave out are sent whole if they are few. If they are many, all rows stay, and repeats are
-    dropped where rows meet, so the wide rows are never shuffled for it.
-    """
-    ids = raw.where("source_ref is not null").select("record_id", F.xxhash64("source_ref").alias("id"))
-    first = ids.groupBy("id").agg(F.min("record_id").alias("first"))
-    again = cut(ids.join(first, "id").where("record_id <> first").select("record_id"))
-    if again.limit(BROADCAST_ROWS + 1).count() > BROADCAST_ROWS:
-        return raw, True
-    return raw.join(F.broadcast(again), "record_id", "left_anti"), False
+def listings_of(raw: DataFrame) -> DataFrame:
+    """The first record of each listing, parsed, with a dense ``id``: one shuffle by source_ref."""
+    rows = business.from_raw(raw)
+    first = rows.withColumn("n_", F.row_number().over(W.partitionBy("key").orderBy("record_id"))).where("n_ = 1").drop("n_", "record_id")
+    written = cut(first.withColumn("id", F.monotonically_increasing_id()))
+    return business.named(written, business.learn(written))
 
 
-def _names(rows: DataFrame, repeats: bool = True) -> DataFrame:
-    n = rows.where("source_ref is not null").select(F.xxhash64("source_ref").alias("id"), F.col("source_ref").alias("key"), F.col("source").alias("src"))
-    return n.distinct() if repeats else n
+def judged(listings: DataFrame) -> DataFrame:
+    """All candidate pairs of listings by id, with votes, confidence and decision."""
+    scored, _ = confident(cut(voted(listings, candidates(listings))))
+    return scored.withColumn("accepted", F.col("confidence") >= ACCEPT)
 
 
 def links(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``, votes, ``confidence`` and ``accepted`` of every candidate pair of two sources.
 
-    Rows without source_ref or name are no listings; repeated listings count once; missing attributes
-    abstain. An empty table gives an empty result.
+    Rows without source_ref or name are no listings; of a repeated listing the first record counts; missing
+    attributes abstain; a null source is one source. An empty table gives an empty result.
     """
-    rows, repeats = first_rows(raw)
-    pairs, names = judged(rows, repeats), _names(rows, repeats)
-    x = pairs.join(names.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), "id_a").join(names.select(F.col("id").alias("id_b"), F.col("key").alias("kb")), "id_b")
-    return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted").distinct()
+    listings = listings_of(raw)
+    key = listings.select("id", "key")
+    x = judged(listings).join(key.select(F.col("id").alias("id_a"), F.col("key").alias("ka")), "id_a").join(key.select(F.col("id").alias("id_b"), F.col("key").alias("kb")), "id_b")
+    return x.select(F.least("ka", "kb").alias("ref_a"), F.greatest("ka", "kb").alias("ref_b"), *VOTES, "confidence", "accepted")
 
 
 def same_business(raw: DataFrame) -> DataFrame:
     """``ref_a``, ``ref_b``: each two listings of different sources that are one business at one place."""
-    rows, repeats = first_rows(raw)
-    pairs = judged(rows, repeats)
-    member = components(pairs.where("accepted").select("id_a", "id_b"), "id_a", "id_b")
-    m = member.withColumnRenamed("node", "id").join(_names(rows, repeats), "id").select("group_id", "key", "src").repartition("group_id").dropDuplicates(["group_id", "key"])
+    listings = listings_of(raw)
+    member = components(judged(listings).where("accepted").select("id_a", "id_b"), "id_a", "id_b").withColumnRenamed("node", "id")
+    m = member.join(listings.select("id", "key", "src"), "id").select("group_id", "key", "src")
     a = m.select("group_id", F.col("key").alias("ref_a"), F.col("src").alias("sa"))
     b = m.select("group_id", F.col("key").alias("ref_b"), F.col("src").alias("sb"))
     return a.join(b, "group_id").where("ref_a < ref_b and sa <> sb").select("ref_a", "ref_b")
