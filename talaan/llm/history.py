@@ -1,26 +1,25 @@
 """Deduplicating new batches against all history: content-defined chunking.
 
-1. A lead is written as lines of bytes (name, phones, website, e-mails, page, street and number, city). A rolling
-   hash over ``WINDOW`` bytes sets the chunk boundaries, and starts afresh on each line, so a slip in one word
-   changes the chunks around it and no others. A chunk's id is a hash of its bytes with its length.
-2. The persistent chunk-to-record table holds every accepted lead's chunks, each under the grid cell of the lead's
-   position. A new batch reads only the entries that its own chunks meet.
-3. Two leads with positions are candidates when they share any chunk near each other; the ends of their names' cores
-   are chunks too, so neither different contacts nor a slip in each other line keeps them apart.
-4. Leads without a position are looked up without the cell. They are candidates when the chunks shared cover at least
-   ``COVER`` of the bytes of the smaller one. Chunks that make up more than 1 - ``COVER`` of the smaller one's bytes
-   then hold one that is shared, whichever are chosen, so only these look entries up: those that are rare among the
-   rows at hand. That loses no such pair, and a chunk that a third of all leads hold, as the end of a host's name, is
-   looked up only by leads that have little else.
-5. An exact check of name, kind and place follows, and each lead that repeats a business is paired with the first
-   accepted lead of it. Then the batch's chunks are appended.
-
-Repeated rows of a lead id count once.
+1. A lead is written as lines of bytes (phones, e-mails, website, page, name, the ends of the name, street and number, city). A
+   rolling hash over ``WINDOW`` bytes sets the chunk boundaries, and starts afresh on each line, so a slip in one word
+   changes the chunks around it and no others. A chunk's id is 48 bits of a hash of its bytes above 16 bits of its length; the
+   longest chunk has ``MAX`` bytes.
+2. The persistent chunk-to-record table holds the telling chunks of every accepted lead (those of its name and contacts), each
+   in the grid cell of the lead's position, in files by zone (a square of a degree). A batch reads the zones it touches, and there meets
+   what shares a chunk in a cell. Street and city count for coverage but look nothing up, so a city's name gathers nobody.
+3. Leads without a position, and their partners, are looked up by pairs of chunks (a name end with a phone, street or
+   e-mail, a name or website with a city), in a second table in files by hash.
+4. Coverage decides: the bytes of the chunks that two leads share, and ``PLACE`` bytes if they are near each other, must make up
+   ``COVER`` of the smaller lead's bytes. An exact check of name, kind and place follows. Of the history only the records
+   that share a telling chunk with the batch are read for this, from the zones they are in.
+5. Each lead that repeats a business is paired with the first accepted lead of it, which the folder keeps for every lead that
+   isn't the first itself. Then the batch's chunks are appended.
+
+Repeated rows of a lead id count once, and a lead that is in the history already is not taken again.
 """
 
 from __future__ import annotations
 
-from collections import Counter
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,18 +27,24 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talaan.llm import business
+from talaan.llm import business, linkage
 from talaan.llm.groups import components
-from talaan.operators.near import cells
-from talaan.runtime import broadcast_if_small, cut
+from talaan.llm.meeting import FOLLOWS, LEADS, OLD, OLD_FOLLOWS, key, met
+from talaan.operators.near import touched_cells
+from talaan.runtime import cut
 
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
-MIN = 5
-COVER = 0.35  # of pairs with a side without position
-CELL_M = 1_000.0
+MIN, MAX = 5, 4096
+COVER, PLACE = 0.25, 16
+CELL_M, ZONE, SLOTS = 1_000.0, 1.0, 16  # cells in metres, zones in degrees
 GEAR = np.random.default_rng(20_240_601).integers(0, 2**32, 256, dtype=np.uint64)
-ATTRIBUTES = ["key", "name", "kind", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"]
+SIZE_BITS = 16
+TABLES = {
+    "records": "id bigint, key string, at bigint, chunks array<bigint>, others array<bigint>, name string, kind string, phones array<int>, web int, mails array<int>, fb int, num string, "
+    "street string, city string, lat double, lon double, zone int",
+    "keys": "key string", "near": "k bigint, i bigint, zone int", "far": "k bigint, i bigint, t int, slot int", "firsts": "id bigint, first struct<at: bigint, key: string, id: bigint>",
+}
 
 
 def boundaries(data: bytes) -> np.ndarray:
@@ -62,10 +67,7 @@ def boundaries(data: bytes) -> np.ndarray:
 
 
 def batch_chunks(texts: list[str]) -> list[list[int]]:
-    """Distinct chunk ids of each text: 55 bits of hash above 8 bits of length (255 stands for more).
-
-    The boundaries of all texts are found at once: a text is lines, so it starts afresh.
-    """
+    """Distinct chunk ids of each text. The boundaries of all texts are found at once: a text is lines, so it starts afresh."""
     from xxhash import xxh64_intdigest
 
     data = [t.encode("utf-8", "replace") for t in texts]
@@ -85,8 +87,9 @@ def batch_chunks(texts: list[str]) -> list[list[int]]:
             if piece[-1] == 10:
                 piece = piece[:-1]
             at = end
-            if piece:
-                found[(xxh64_intdigest(piece) >> 9) << 8 | min(len(piece), 255)] = None
+            for i in range(0, len(piece), MAX):
+                part = piece[i : i + MAX]
+                found[(xxh64_intdigest(part) >> (SIZE_BITS + 1)) << SIZE_BITS | len(part)] = None
         out.append(list(found))
         start = stop
     return out
@@ -96,128 +99,90 @@ def chunks(text: str) -> list[int]:
     return batch_chunks([text])[0]
 
 
-def lines() -> Column:
-    """The bytes of a lead, a line per attribute, the most telling first, then the ends of the core."""
-    parts = [F.array_join("phones", "\n"), F.array_join("mails", "\n"), F.col("web"), F.concat(F.col("fb"), F.lit("@")), business.core(), F.concat_ws(" ", "street", "num"), F.col("city")]
+def telling_lines() -> Column:
+    """The lines that look entries up: contacts, the name's core, and its ends."""
     core = F.nullif(business.core(), F.lit(""))
-    parts += [F.concat(F.lit("<"), F.substring(core, 1, 3)), F.concat(F.lit(">"), F.substring(core, -3, 3))]
-    return F.concat_ws("\n", *parts)
-
-
-def to_look_up(ids: list[int], cover: float = COVER) -> list[int]:
-    """The first chunks that make up more than 1 - ``cover`` of the bytes."""
-    total = sum(c & 255 for c in ids)
-    out, seen = [], 0
-    for c in ids:
-        if out and seen > total * (1 - cover):
-            break
-        out.append(c)
-        seen += c & 255
-    return out
+    hexes = lambda c: F.array_join(F.transform(c, F.hex), "\n")
+    ends = [F.concat(F.lit("<"), F.substring(core, 1, 3)), F.concat(F.lit(">"), F.substring(core, -3, 3))]
+    return F.concat_ws("\n", hexes("phones"), hexes("mails"), F.hex("web"), F.concat(F.hex("fb"), F.lit("@")), core, *ends)
+
+
+def place_lines() -> Column:
+    return F.concat_ws("\n", F.concat_ws(" ", "street", "num"), F.col("city"))
 
 
 def chunked(leads: DataFrame) -> DataFrame:
-    """``leads`` with their ``chunks``, rarest in the batch first, and how many of them are looked up."""
+    """``leads`` with their ``chunks`` that look entries up and the ``others``, which only count."""
 
-    @F.pandas_udf("chunks array<bigint>, n_probe int")
-    def ids(parts: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for s in parts:
-            found = batch_chunks([x or "" for x in s])
-            seen = Counter(c for cs in found for c in cs)
-            found = [sorted(cs, key=seen.__getitem__) for cs in found]
-            yield pd.DataFrame({"chunks": found, "n_probe": [len(to_look_up(cs)) for cs in found]}, dtype=object)
+    @F.pandas_udf("chunks array<bigint>, others array<bigint>")
+    def ids(parts: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        for a, b in parts:
+            yield pd.DataFrame({"chunks": batch_chunks(list(a)), "others": batch_chunks(list(b))}, dtype=object)
 
-    return leads.withColumn("c_", ids(lines())).select("*", "c_.chunks", "c_.n_probe").drop("c_")
+    return leads.withColumn("c_", ids(telling_lines(), place_lines())).select("*", "c_.chunks", "c_.others").drop("c_")
 
 
 def size_of(ids: Column) -> Column:
     """Bytes in an array of chunk ids."""
-    return F.aggregate(ids, F.lit(0), lambda a, x: a + x.bitwiseAND(F.lit(255).cast("bigint")).cast("int"))
+    mask = F.lit((1 << SIZE_BITS) - 1).cast("bigint")
+    return F.aggregate(ids, F.lit(0), lambda a, x: a + x.bitwiseAND(mask).cast("int"))
 
 
-def _kind() -> Column:
-    """The kind of business as a number; 0 if the name doesn't say."""
-    return sum((F.when(F.col("kind") == k, i + 1).otherwise(0) for i, k in enumerate(business.KIND_OF)), F.lit(0)).cast("tinyint")
+def _zone(lat: Column, lon: Column) -> Column:
+    """The square of a degree of a position, as a number; -1 without one."""
+    return F.coalesce((F.floor((lat + 90) / ZONE) * int(360 / ZONE) + F.pmod(F.floor((lon + 180) / ZONE), F.lit(int(360 / ZONE)))).cast("int"), F.lit(-1))
 
 
-REACH = {"radius_m": business.NEAR_M, "cell_m": CELL_M}
+def near_entries(records: DataFrame) -> DataFrame:
+    """``k``, ``i``, ``t``: the telling chunks of leads with positions by cell; they lead in their own, follow in those they touch."""
+    r = records.where("lat is not null").withColumn("cells", touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M))
+    at = r.select("id", "zone", "chunks", F.posexplode("cells").alias("at", "cell")).select("id", "zone", "at", "cell", F.explode("chunks").alias("c"))
+    return at.select(key("n", F.col("cell"), F.col("c")).alias("k"), F.col("id").alias("i"), F.when(F.col("at") == 0, LEADS).otherwise(FOLLOWS).alias("t"), "zone")
 
 
-def entries(records: DataFrame) -> DataFrame:
-    """The chunk-to-record table: ``c``, ``cell``, ``id``, ``k``; the cell of a lead without position is null, k is the kind."""
-    r = records.withColumn("k", _kind())
-    placed = cells(r.where("lat is not null").select("id", "k", "chunks", "lat", "lon"), "lat", "lon", reach=False, **REACH)
-    at = placed.select(F.explode("chunks").alias("c"), "cell", "id", "k")
-    lost = r.where("lat is null").select(F.explode("chunks").alias("c"), F.lit(None).cast("bigint").alias("cell"), "id", "k")
-    return at.unionByName(lost)
+def far_entries(records: DataFrame) -> DataFrame:
+    """``k``, ``i``, ``t``: pairs of chunks, for look-ups by and of leads without position; those lead."""
+    r = records.withColumn("core", business.core()).select("id", F.when(F.col("lat").isNull(), LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*linkage.loose_keys()).alias("ks"))
+    return r.select("id", "t", F.explode("ks").alias("k")).where("k is not null").select("k", F.col("id").alias("i"), "t")
 
 
-def candidates(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
-    """``a``, ``b``: record ids of which one looks up a chunk of the other, smaller first; at least one of them is new.
-
-    Near each other all chunks are looked up, so there the new side's look-up is enough.
-    """
-    same = "id <> other and (pk = k or pk = 0 or k = 0)"  # of different kinds the exact check takes none
-
-    def nearby(probe: DataFrame, target: DataFrame) -> DataFrame:
-        p = probe.where("lat is not null").select("id", _kind().alias("pk"), "chunks", "lat", "lon")
-        where = F.xxhash64("c", "cell").alias("h")
-        at = cells(p, "lat", "lon", reach=True, **REACH).select("id", "pk", "cell", F.explode("chunks").alias("c")).select(where, "id", "pk")
-        return at.join(target.where("cell is not null").select(where, F.col("id").alias("other"), "k"), "h").where(same).select("id", "other")
-
-    def meet(probe: DataFrame, target: DataFrame) -> DataFrame:
-        p = probe.withColumn("pk", _kind()).withColumn("probe", F.slice("chunks", 1, F.col("n_probe")))
-        t = target.withColumnRenamed("id", "other")
-        # leads without position are few: their side is sent whole if it is small, so the other isn't shuffled
-        rare = broadcast_if_small(t.where("cell is null").select("c", "other", "k"))
-        lost = p.where("lat is not null").select("id", "pk", F.explode("probe").alias("c")).join(rare, "c")
-        far = broadcast_if_small(p.where("lat is null").select("id", "pk", F.explode("probe").alias("c"))).join(t.select("c", "other", "k"), "c")
-        return lost.where(same).select("id", "other").unionByName(far.where(same).select("id", "other"))
-
-    found = nearby(new, table).unionByName(meet(new, table))
-    if old is not None:
-        found = found.unionByName(meet(old, table.join(new.select("id"), "id", "left_semi")))
-    return found.select(F.least("id", "other").alias("a"), F.greatest("id", "other").alias("b")).distinct()
-
-
-def repeats(new: DataFrame, table: DataFrame, old: DataFrame | None) -> DataFrame:
-    """``a``, ``b``: ids of candidates that are one business at one place; without both positions they are to share enough bytes."""
-    everything = new if old is None else new.unionByName(old)
-    pairs = cut(candidates(new, table, old))
-    met = broadcast_if_small(pairs.select(F.explode(F.array("a", "b")).alias("id")).distinct())
-    packed = everything.join(met, "id", "left_semi").select("id", F.struct("chunks", *(c for c in ATTRIBUTES if c != "key")).alias("l")).repartition("id").dropDuplicates(["id"])
-    x = pairs.join(packed.select(F.col("id").alias("a"), F.col("l").alias("x")), "a").join(packed.select(F.col("id").alias("b"), F.col("l").alias("y")), "b")
-    shared = size_of(F.array_intersect("x.chunks", "y.chunks"))
-    placed = F.col("x.lat").isNotNull() & F.col("y.lat").isNotNull()
-    x = x.where(placed | (shared >= COVER * F.least(size_of(F.col("x.chunks")), size_of(F.col("y.chunks")))))
-    return x.select("a", "b", *(c.alias(n) for n, c in business.votes("x", "y").items())).where(business.one_business()).select("a", "b")
+def repeats(pairs: DataFrame, records: DataFrame) -> DataFrame:
+    """``id_a``, ``id_b`` of ``pairs`` that share enough bytes and then pass the exact check."""
+    packed = records.select("id", F.struct("chunks", "others", *business.COMPARED).alias("l"))
+    x = pairs.join(packed.select(F.col("id").alias("id_a"), F.col("l").alias("x")), "id_a").join(packed.select(F.col("id").alias("id_b"), F.col("l").alias("y")), "id_b")
+    v = business.votes(x, "x", "y", ["id_a", "id_b", "x", "y"])
+    place = F.when(F.col("place") >= 1, PLACE).otherwise(0)
+    shared = size_of(F.array_intersect("x.chunks", "y.chunks")) + size_of(F.array_intersect("x.others", "y.others")) + place
+    least = F.least(*(size_of(F.col(f"{s}.chunks")) + size_of(F.col(f"{s}.others")) for s in "xy")) + place
+    # the votes are cheap and leave few pairs; the bytes are counted for those
+    return v.where(business.one_business()).where(shared >= COVER * least).select("id_a", "id_b")
 
 
 class History:
-    """The accepted leads in a folder: records, the chunk-to-record table, and the first lead of each business."""
+    """The accepted leads in a folder: records, the two chunk tables, and the first lead of each business.
 
-    def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path = spark, path
+    ``lexicon`` says which words of a name tell the kind; without one it is learned from the first batch and kept.
+    """
 
-    def _batches(self) -> list[str]:
-        fs, root = self._fs()
-        return [str(f.getPath().getName()) for f in fs.listStatus(root)] if fs.exists(root) else []
+    def __init__(self, spark: SparkSession, path: str, lexicon: business.Lexicon | None = None):
+        self.spark, self.path, self.lexicon = spark, path, lexicon
 
-    def _fs(self):
+    def _batches(self) -> list[str]:
         root = self.spark._jvm.org.apache.hadoop.fs.Path(f"{self.path}/records")
-        return root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()), root
+        fs = root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration())
+        return sorted(str(f.getPath().getName()) for f in fs.listStatus(root)) if fs.exists(root) else []
 
-    def _read(self, name: str, batches: list[str]) -> DataFrame | None:
-        return self.spark.read.parquet(*(f"{self.path}/{name}/{b}" for b in batches)) if batches else None
+    def _write(self, df: DataFrame, name: str, batch: str, by: str | None = None) -> None:
+        """A batch's part of a table; hot zones are split over tasks."""
+        w = (df.hint("rebalance", by) if by else df).write
+        (w.partitionBy(by) if by else w).parquet(f"{self.path}/{name}/{batch}")
 
-    def _firsts(self, ids: DataFrame, batches: list[str]) -> DataFrame:
-        """``id``, ``first`` (at, key and id) of those of ``ids`` that repeat an accepted lead. A first that was joined to an earlier one later is followed."""
-        table = self._read("firsts", batches)
-        known = cut(table.join(ids, "id", "left_semi"))
-        later = table.select(F.col("id").alias("f"), F.col("first").alias("earlier"))
-        while not known.join(later, F.col("first.id") == F.col("f"), "left_semi").isEmpty():
-            known = cut(known.join(later, F.col("first.id") == F.col("f"), "left").select("id", F.coalesce("earlier", "first").alias("first")), after=[known])
-        return known
+    def _read(self, name: str, batches: list[str]) -> DataFrame:
+        parts = [self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{b}") for b in batches]
+        out = parts[0]
+        for p in parts[1:]:
+            out = out.unionByName(p)
+        return out
 
     def add(self, leads: DataFrame, runs: DataFrame) -> DataFrame:
         """Check a batch (of one run or many) and accept it; ``lead_id_a``, ``lead_id_b`` of its repeats and the firsts.
@@ -228,32 +193,82 @@ class History:
         order = runs.select(F.col("run_id").alias("run"), F.unix_micros(F.col("created_at").cast("timestamp")).alias("at")).groupBy("run").agg(F.min("at").alias("at"))
         before = self._batches()
         batch = f"{len(before):06d}"
-        fresh = business.hashed(chunked(business.from_leads(leads))).join(order, "run", "left").select("id", "chunks", "n_probe", F.coalesce("at", F.lit(2**62)).alias("at"), *ATTRIBUTES)
-        fresh.write.parquet(f"{self.path}/records/{batch}")
+        parsed = business.from_leads(leads).join(F.broadcast(order), "run", "left") if self._few(order) else business.from_leads(leads).join(order, "run", "left")
+        once = cut(parsed.withColumn("at", F.coalesce("at", F.lit(2**62))).dropDuplicates(["key"]))
+        if self.lexicon is None:
+            self.lexicon = self._kept_lexicon(once)
+        new = business.named(once, self.lexicon).withColumn("zone", _zone(F.col("lat"), F.col("lon")))
+        if before:
+            gone = self._read("keys", before).join(new.select("key"), "key", "left_semi")
+            new = new.join(gone, "key", "left_anti")
+        made = chunked(new).select((F.lit(len(before)).cast("bigint") * (1 << 48) + F.monotonically_increasing_id()).alias("id"), "key", "at", "zone", "chunks", "others", *business.COMPARED)
+        self._write(made, "records", batch, "zone")
         new = self._read("records", [batch])
-        entries(new).write.parquet(f"{self.path}/chunks/{batch}")
-        table, old = self._read("chunks", [*before, batch]), self._read("records", before)
-        touched = None
-        if old is not None:  # of the history, only what shares a chunk with the batch is read further
-            mine = self._read("chunks", [batch]).select("c").distinct()
-            ids = table.join(mine, "c", "left_semi").select("id").distinct()
-            touched = cut(old.join(ids, "id", "left_semi").join(new.select("id"), "id", "left_anti"))
-        same = cut(repeats(new, table, touched))
-        whole = new.select("id", "key", "at") if touched is None else new.select("id", "key", "at").unionByName(touched.select("id", "key", "at"))
-        own = whole.groupBy("id").agg(F.min("key").alias("key"), F.min("at").alias("at"))
-        member = same.select(F.explode(F.array("a", "b")).alias("id")).distinct().join(own, "id").withColumn("top", F.struct("at", "key", "id"))
+        self._write(new.select("key"), "keys", batch)
+        near, far = near_entries(new), far_entries(new)
+        self._write(near.where(F.col("t") == LEADS).drop("t"), "near", batch, "zone")
+        self._write(far.withColumn("slot", F.pmod("k", F.lit(SLOTS)).cast("int")), "far", batch, "slot")
+        rows = near.select("k", "i", "t").unionByName(far.select("k", "i", "t"))
+        if before:
+            rows = rows.unionByName(self._old_near(new, before)).unionByName(self._old_far(before))
+        pairs = cut(met(rows))
+        everything = new
+        if before:
+            everything = new.unionByName(self._met_records(pairs, before, len(before)))
+        same = cut(repeats(pairs, everything))
+        return self._settle(same, everything.select("id", "key", "at"), before, batch)
+
+    def _few(self, order: DataFrame) -> bool:
+        return order.count() <= 100_000
+
+    def _kept_lexicon(self, once: DataFrame) -> business.Lexicon:
+        path = f"{self.path}/lexicon"
+        root = self.spark._jvm.org.apache.hadoop.fs.Path(path)
+        if root.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(root):
+            return business.Lexicon({r["w"]: r["kind"] for r in self.spark.read.parquet(path).collect()})
+        lexicon = business.learn(once)
+        self.spark.createDataFrame(sorted(lexicon.kinds.items()), "w string, kind string").coalesce(1).write.parquet(path)
+        return lexicon
+
+    def _old_near(self, new: DataFrame, before: list[str]) -> DataFrame:
+        """The chunk table's entries in the zones that the batch touches."""
+        r = F.array(F.lit(-0.002), F.lit(0.002))
+        at = new.where("lat is not null").select("lat", "lon", F.explode(r).alias("dy")).select("lat", "lon", "dy", F.explode(r).alias("dx"))
+        wide = F.col("dx") / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
+        zones = [x["z"] for x in at.select(_zone(F.col("lat") + F.col("dy"), F.col("lon") + wide).alias("z")).distinct().collect()]  # at most the squares of the grid
+        return self._read("near", before).where(F.col("zone").isin(zones)).select("k", "i", F.lit(OLD).alias("t"))
+
+    def _old_far(self, before: list[str]) -> DataFrame:
+        return self._read("far", before).select("k", "i", F.when(F.col("t") == LEADS, OLD).otherwise(OLD_FOLLOWS).alias("t"))
+
+    def _met_records(self, pairs: DataFrame, before: list[str], n: int) -> DataFrame:
+        """The records of the history that are in a pair."""
+        ids = pairs.select(F.explode(F.array("id_a", "id_b")).alias("id")).where(F.col("id") < n * (1 << 48)).distinct()
+        return cut(self._read("records", before).join(ids, "id", "left_semi"))
+
+    def _settle(self, same: DataFrame, own: DataFrame, before: list[str], batch: str) -> DataFrame:
+        """Pair repeats with first leads, and keep the first of each lead that isn't one itself."""
+        ids = same.select(F.explode(F.array("id_a", "id_b")).alias("id")).distinct()
+        member = own.join(ids, "id", "left_semi").withColumn("top", F.struct("at", "key", "id"))
         if before:  # what repeated a lead before stands for that lead's business
-            known = self._firsts(member.select("id"), before)
-            member = member.join(known, "id", "left").withColumn("top", F.coalesce("first", "top")).drop("first")
+            member = member.join(self._firsts(member.select("id"), before), "id", "left").withColumn("top", F.coalesce("first", "top")).drop("first")
         member = cut(member)
         root = member.select("id", F.col("top.id").alias("r"))
-        linked = same.join(root.toDF("a", "ra"), "a").join(root.toDF("b", "rb"), "b").select("ra", "rb") if before else same.toDF("ra", "rb")
+        linked = same.join(root.toDF("id_a", "ra"), "id_a").join(root.toDF("id_b", "rb"), "id_b").select("ra", "rb") if before else same.toDF("ra", "rb")
         group = components(linked, "ra", "rb").select(F.col("node").alias("root"), "group_id")
         member = cut(member.withColumn("root", F.col("top.id")).join(group, "root", "left").withColumn("group_id", F.coalesce("group_id", "root")))
-        first = member.groupBy("group_id").agg(F.min("top").alias("first"))
-        found = member.join(first, "group_id")
-        found.where("root <> first.id").select(F.col("root").alias("id"), "first").distinct().write.parquet(f"{self.path}/firsts/{batch}")
-        pairs = found.where("key <> first.key").select("key", F.col("first.key").alias("first"))
-        if touched is not None:
-            pairs = pairs.join(new.select("key").distinct(), "key", "left_semi")
+        found = member.join(member.groupBy("group_id").agg(F.min("top").alias("first")), "group_id")
+        moved = found.where("root <> first.id").select(F.col("root").alias("id"), "first").distinct()
+        self._write(moved, "firsts", batch)
+        pairs = found.where("key <> first.key").select("id", "key", F.col("first.key").alias("first"))
+        pairs = pairs.where(F.col("id") >= len(before) * (1 << 48)) if before else pairs
         return pairs.select(F.least("key", "first").alias("lead_id_a"), F.greatest("key", "first").alias("lead_id_b"))
+
+    def _firsts(self, ids: DataFrame, before: list[str]) -> DataFrame:
+        """``id``, ``first`` (at, key and id) of those of ``ids`` that repeat an accepted lead. A first that was joined to an earlier one later is followed."""
+        table = self._read("firsts", before)
+        known = cut(table.join(ids, "id", "left_semi").groupBy("id").agg(F.min("first").alias("first")))
+        later = table.groupBy(F.col("id").alias("f")).agg(F.min("first").alias("earlier"))
+        while not known.join(later, F.col("first.id") == F.col("f"), "left_semi").isEmpty():
+            known = cut(known.join(later, F.col("first.id") == F.col("f"), "left").select("id", F.coalesce("earlier", "first").alias("first")), after=[known])
+        return known

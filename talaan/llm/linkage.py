@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from talaan.llm import business
 from talaan.llm.groups import components
+from talaan.llm.meeting import FOLLOWS, LEADS, key, met
 from talaan.operators.near import touched_cells
 from talaan.runtime import cut
 
@@ -104,15 +105,6 @@ class LabelModel:
 
 
 SHORT = 6  # letters of a core within one slip of a core of five
-KEY_BITS = 48  # two keys that share a hash make a candidate more, no link less
-
-
-def _key(tag: str, *parts: Column) -> Column:
-    """A key of ``parts``, null if one of them is."""
-    known = parts[0].isNotNull()
-    for p in parts[1:]:
-        known = known & p.isNotNull()
-    return F.when(known, F.xxhash64(F.lit(tag), *parts).bitwiseAND(F.lit((1 << KEY_BITS) - 1)))
 
 
 def _ends(core: Column) -> list[tuple[str, Column]]:
@@ -124,9 +116,9 @@ def _each(c: str, first: int) -> list[Column]:
     return [F.get(c, F.lit(i)) for i in range(first)]
 
 
-def _with_rest(keys: list[Column], c: str, first: int, key) -> Column:
+def _with_rest(keys: list[Column], c: str, first: int, make) -> Column:
     """``keys`` and those of the elements of ``c`` beyond the ``first``."""
-    more = F.transform(F.slice(c, first + 1, F.greatest(F.size(c) - first, F.lit(1))), key)
+    more = F.transform(F.slice(c, first + 1, F.greatest(F.size(c) - first, F.lit(1))), make)
     return F.when(F.size(c) > first, F.concat(F.array(*keys), more)).otherwise(F.array(*keys))
 
 
@@ -134,30 +126,29 @@ def _placed_keys() -> list[Column]:
     """Arrays of keys of a listing in a cell; unused ones are null."""
     core, words, cell = F.col("core"), F.split("name", " "), F.col("cell")
     n = F.length(core)
-    keys = [_key(t, cell, p) for t, p in _ends(core)]
-    keys += [_key("+", cell, F.when(n >= 7, F.substring(core, k, 3))) for k in (4, 5)]  # one slip before shifts by one at most
-    keys += [_key("w", cell, F.col("web")), _key("f", cell, F.col("fb")), _key("=", cell, F.when(F.size(words) == 2, F.array_join(F.array_sort(words), "")))]
+    keys = [key(t, cell, p) for t, p in _ends(core)]
+    keys += [key("+", cell, F.when(n >= 7, F.substring(core, k, 3))) for k in (4, 5)]  # one slip before shifts by one at most
+    keys += [key("w", cell, F.col("web")), key("f", cell, F.col("fb")), key("=", cell, F.when(F.size(words) == 2, F.array_join(F.array_sort(words), "")))]
     short = F.when(n.between(1, SHORT), core)
     less = [F.when(n >= i, F.concat(F.substring(short, 1, i - 1), F.substring(short, i + 1, SHORT))) for i in range(1, SHORT + 1)]
-    keys += [_key("-", cell, x) for x in (short, *less)] + [_key("t", cell, p) for p in _each("phones", 2)]
-    return [_with_rest(keys, "phones", 2, lambda p: _key("t", cell, p)), _with_rest([_key("m", cell, e) for e in _each("mails", 1)], "mails", 1, lambda e: _key("m", cell, e))]
+    keys += [key("-", cell, x) for x in (short, *less)] + [key("t", cell, p) for p in _each("phones", 2)]
+    return [_with_rest(keys, "phones", 2, lambda p: key("t", cell, p)), _with_rest([key("m", cell, e) for e in _each("mails", 1)], "mails", 1, lambda e: key("m", cell, e))]
 
 
-def _loose_keys() -> list[Column]:
+def loose_keys() -> list[Column]:
     """Arrays of keys of a listing that needn't have a position: composite of a name part and another attribute."""
     core = F.col("core")
-    keys = [_key("t" + t, part, p) for t, part in _ends(core) for p in _each("phones", 2)]
-    keys += [_key("s" + t, part, F.substring("street", 1, 4)) for t, part in _ends(core)] + [_key("c", core, F.col("city")), _key("wc", F.col("web"), F.col("city"))]
-    more = lambda p: _key("t<", F.substring(core, 1, 3), p)
-    tail = lambda p: _key("t>", F.substring(core, -3, 3), p)
-    return [_with_rest(keys, "phones", 2, more), _with_rest([F.lit(None).cast("bigint")], "phones", 2, tail), _with_rest([_key("m<", F.substring(core, 1, 3), e) for e in _each("mails", 1)], "mails", 1, lambda e: _key("m<", F.substring(core, 1, 3), e))]
+    keys = [key("t" + t, part, p) for t, part in _ends(core) for p in _each("phones", 2)]
+    keys += [key("s" + t, part, F.substring("street", 1, 4)) for t, part in _ends(core)] + [key("c", core, F.col("city")), key("wc", F.col("web"), F.col("city"))]
+    more = lambda p: key("t<", F.substring(core, 1, 3), p)
+    tail = lambda p: key("t>", F.substring(core, -3, 3), p)
+    return [_with_rest(keys, "phones", 2, more), _with_rest([F.lit(None).cast("bigint")], "phones", 2, tail), _with_rest([key("m<", F.substring(core, 1, 3), e) for e in _each("mails", 1)], "mails", 1, lambda e: key("m<", F.substring(core, 1, 3), e))]
 
 
 def candidates(listings: DataFrame) -> DataFrame:
     """``id_a``, ``id_b``: pairs of listings of different sources worth a look, each once, smaller id first.
 
-    A key row leads if the listing is in its own cell, or has no position; a pair needs a leading row. Leading rows hold
-    the id, others its complement, which is negative, so both sides of the join are one exchange.
+    A key row leads if the listing is in its own cell, or has no position.
     """
     slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "city", "lat", "lon")
     # arrays are made in a projection of their own: inside explode they would be interpreted
@@ -165,18 +156,11 @@ def candidates(listings: DataFrame) -> DataFrame:
     here = touched.select("*", F.posexplode("cells").alias("at", "cell"))
 
     def rows(df: DataFrame, leads: Column, keys: list[Column]) -> DataFrame:
-        signed = F.when(leads, F.col("id")).otherwise(F.bitwise_not("id"))
-        made = df.select(signed.alias("i"), F.xxhash64("s").alias("s"), F.concat(*keys).alias("ks"))
-        return made.select("i", "s", F.explode("ks").alias("k")).where("k is not null")
-
-    keyed = rows(here, F.col("at") == 0, _placed_keys()).unionByName(rows(slim, F.col("lat").isNull(), _loose_keys()))
-    a, b = keyed.alias("a"), keyed.alias("b")
-    i, j = F.col("a.i"), F.col("b.i")
-    # one expression over both sides, so that no part of it is pushed to one of them and the exchange is read twice
-    apart = F.shiftrightunsigned(i, 63) + (~((j < 0) | (i < j))).cast("bigint") == 0
-    met = a.join(b, (F.col("a.k") == F.col("b.k")) & apart & (F.col("a.s") != F.col("b.s")))
-    other = F.when(j < 0, F.bitwise_not(j)).otherwise(j)
-    return met.select(F.least(i, other).alias("id_a"), F.greatest(i, other).alias("id_b")).distinct()
+        made = df.select("id", "s", F.when(leads, LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*keys).alias("ks"))
+        return made.select(F.col("id").alias("i"), F.xxhash64("s").alias("s"), "t", F.explode("ks").alias("k")).where("k is not null")
+
+    keyed = rows(here, F.col("at") == 0, _placed_keys()).unionByName(rows(slim, F.col("lat").isNull(), loose_keys()))
+    return met(keyed, "a.s <> b.s")
 
 
 def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:

@@ -7,7 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from talaan.llm import addresses, canon, groups, history, linkage, packing, residue, survivors, tokenizer
+from talaan.llm import addresses, business, canon, groups, history, linkage, packing, residue, survivors, tokenizer
 from talaan.runtime import parallelism, scratch, table
 
 
@@ -71,24 +71,29 @@ def p5_resolved(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 LEAD_COLUMNS = [
-    "lead_id", "business_name", "address", "city", "city_key", "street_key", "lat", "lon", "phone", "phones_extra", "email", "emails_extra", "website", "domain", "facebook",
+    "lead_id", "business_name", "categories", "address", "city", "city_key", "street_key", "lat", "lon", "phone", "phones_extra", "email", "emails_extra", "website", "domain", "facebook",
     "first_seen_run_id",
 ]
 
 
+def _history(spark: SparkSession, sf_dir: str) -> tuple[history.History, DataFrame, DataFrame]:
+    """An empty history, leads and runs; which words of a name tell the kind is learned from all leads."""
+    leads, runs = table(spark, sf_dir, "leads").select(*LEAD_COLUMNS), table(spark, sf_dir, "runs")
+    return history.History(spark, f"{scratch(spark)}/history-{uuid.uuid4().hex}", business.learn(business.from_leads(leads))), leads, runs
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All runs in one batch against an empty history; within it, each lead against those before it."""
-    past = history.History(spark, f"{scratch(spark)}/history-{uuid.uuid4().hex}")
-    return past.add(table(spark, sf_dir, "leads").select(*LEAD_COLUMNS), table(spark, sf_dir, "runs"))
+    past, leads, runs = _history(spark, sf_dir)
+    return past.add(leads, runs)
 
 
 def p6_late_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The runs of the last quarter of the time as a batch of their own, against the history of the earlier ones."""
-    leads, runs = table(spark, sf_dir, "leads").select(*LEAD_COLUMNS), table(spark, sf_dir, "runs")
+    past, leads, runs = _history(spark, sf_dir)
     ends = runs.agg(F.min("created_at").alias("a"), F.max("created_at").alias("b")).first()
     when = ends.a + (ends.b - ends.a) * 0.75
     late = runs.where(F.col("created_at") > F.lit(when)).select(F.col("run_id").alias("first_seen_run_id"))
-    past = history.History(spark, f"{scratch(spark)}/history-{uuid.uuid4().hex}")
     past.add(leads.join(late, "first_seen_run_id", "left_anti"), runs)
     return past.add(leads.join(late, "first_seen_run_id", "left_semi"), runs)
 
