@@ -35,7 +35,7 @@ from talaan.llm.meeting import FOLLOWS, LEADS, key, met
 from talaan.operators.near import touched_cells
 from talaan.runtime import cut
 
-CELL_M = 4_000.0
+CELL_M = 1_500.0
 ACCEPT = 0.5
 VOTES = business.VOTES
 LOWEST, LEVELS = -1, 4  # answers of the functions: -1, 0, 1, 2
@@ -139,7 +139,7 @@ def loose_keys() -> list[Column]:
     """Arrays of keys of a listing that needn't have a position: composite of a name part and another attribute."""
     core = F.col("core")
     keys = [key("t" + t, part, p) for t, part in _ends(core) for p in _each("phones", 2)]
-    keys += [key("s" + t, part, F.substring("street", 1, 4)) for t, part in _ends(core)] + [key("c", core, F.col("city")), key("wc", F.col("web"), F.col("city"))]
+    keys += [key("s" + t, part, F.col("street")) for t, part in _ends(core)] + [key("s", core, F.substring("street", 1, 4)), key("c", core, F.col("city")), key("wc", F.col("web"), F.col("city"))]
     more = lambda p: key("t<", F.substring(core, 1, 3), p)
     tail = lambda p: key("t>", F.substring(core, -3, 3), p)
     return [_with_rest(keys, "phones", 2, more), _with_rest([F.lit(None).cast("bigint")], "phones", 2, tail), _with_rest([key("m<", F.substring(core, 1, 3), e) for e in _each("mails", 1)], "mails", 1, lambda e: key("m<", F.substring(core, 1, 3), e))]
