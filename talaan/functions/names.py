@@ -8,11 +8,6 @@ from pyspark.sql import functions as F
 from talaan.functions import dims
 from talaan.functions.text import fold, strip, tokens
 
-_UNIT = (
-    r"\b(?:unit|rm|room|suite|ste|flr|floor|level|lvl|bldg|building|stall|space)\s*[#.]?\s*[\w-]*|\b\d+(?:st|nd|rd|th)\s+(?:floor|flr|level)\b|\b\d+/f\b|#\s*[\w-]+"
-)
-
-
 def name_key(name: Column) -> Column:
     """Folded tokens without legal forms at the end; the first token always stays."""
     joined = F.array_join(tokens(name), " ")
@@ -22,7 +17,7 @@ def name_key(name: Column) -> Column:
 def street_key(street: Column) -> Column:
     """Folded tokens without units, abbreviations spelt out; null if nothing is left."""
     words = F.create_map(*(F.lit(x) for kv in dims.STREET_WORDS.items() for x in kv))
-    toks = tokens(F.regexp_replace(fold(street), _UNIT, " "))
+    toks = tokens(F.regexp_replace(fold(street), dims.UNIT, " "))
     return F.nullif(F.array_join(F.transform(toks, lambda t: F.coalesce(F.try_element_at(words, t), t)), " "), F.lit(""))
 
 

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import ipaddress
 import re
+from urllib.parse import quote, unquote
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -33,16 +34,27 @@ def rules(text: str | None, product: str) -> list[tuple[bool, str]]:
     return groups.get(product.lower(), groups.get("*", []))
 
 
+def one_spelling(path: str) -> str:
+    """A path or pattern with every character percent-encoded that has to be, and no other."""
+    return quote(unquote(path), safe="/?=&%*$:@!,;~+-._")
+
+
 def allows(found: list[tuple[bool, str]], path: str) -> bool:
-    """The longest matching pattern decides; of equal ones an allowing rule; without any, yes."""
-    best = (-1, True)
+    """The longest matching pattern decides; of equal ones an allowing rule; without any, yes. Encoded and plain characters are the same."""
+    best, path = (-1, True), one_spelling(path or "/")
     for allow, pattern in found:
-        form = "".join(".*" if c == "*" else re.escape(c) for c in pattern.rstrip("$")) + ("$" if pattern.endswith("$") else "")
+        body = pattern.removesuffix("$")
+        form = "".join(".*" if c == "*" else re.escape(c) for c in one_spelling(body)) + ("$" if pattern.endswith("$") else "")
         if re.match(form, path):
             best = max(best, (len(pattern), allow))
     return best[1]
 
 
+def origin(url: Column) -> Column:
+    """Scheme and host of an http(s) address, with the port if one is given, where its robots.txt is; else null."""
+    return F.nullif(F.lower(F.regexp_extract(url, r"(?i)^(https?://[^/?#@\s]+)(?:[/?#]|$)", 1)), F.lit(""))
+
+
 def is_public(address: str | None) -> bool:
     try:
         ip = ipaddress.ip_address(address or "")

@@ -2,12 +2,19 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-# Accented letters and their plain forms, and UTF-8 read as Latin-1.
-ACCENTED = "áàâäãåāăéèêëēĕíìîïīóòôöõōúùûüūñńçćýÿšž"
-PLAIN = "aaaaaaaaeeeeeeiiiiioooooouuuuunnccyysz"
+# Characters that are one plain character with marks, or a wide or styled form of it: by Unicode's compatibility decomposition.
+_BARE = {}
+for _c in map(chr, (*range(0xA0, 0x2100), *range(0xFF01, 0xFF5F))):
+    _d = "".join(x for x in unicodedata.normalize("NFKD", _c) if not unicodedata.combining(x)).lower()
+    if len(_d) == 1 and _d != _c and not unicodedata.combining(_c):
+        _BARE[_c] = _d
+ACCENTED, PLAIN = "".join(_BARE), "".join(_BARE.values())
+# UTF-8 read as Latin-1.
 MISREAD = [("ã±", "n"), ("ã©", "e"), ("ã¡", "a"), ("ã³", "o"), ("ãº", "u"), ("ã­", "i")]
 
 

@@ -56,7 +56,7 @@ def registered_domain(host_or_url: Column) -> Column:
     two = F.array_join(F.slice(F.split(h, r"\."), -2, 2), ".")
     three = F.array_join(F.slice(F.split(h, r"\."), -3, 3), ".")
     n = F.size(F.split(h, r"\."))
-    return F.when((n < 2) | h.rlike(r"^[\d.]+$"), None).when(two.isin(*dims.SUFFIXES), F.when(n >= 3, three)).otherwise(two)
+    return F.when((n < 2) | h.rlike(r"^[\d.]+$"), None).when(two.isin(*dims.SUFFIXES) | two.rlike(f"^{dims.COUNTRY_SUFFIX}$"), F.when(n >= 3, three)).otherwise(two)
 
 
 def is_shared(domain: Column) -> Column:
@@ -119,8 +119,13 @@ def visible_text(html: Column) -> Column:
     return F.trim(F.regexp_replace(F.regexp_replace(x, r"(?s)<[^>]*>", " "), r"\s+", " "))
 
 
-def tech(html: Column) -> Column:
-    return F.array_compact(F.array(*(F.when(html.rlike("(?i)" + p), n) for n, p in dims.PLATFORMS)))
+def tech(html: Column, headers: Column | None = None) -> Column:
+    """Platforms by marks in the page or, if given, in the answer's headers (a map with lower-case names)."""
+    seen = {n: F.coalesce(html.rlike("(?i)" + p), F.lit(False)) for n, p in dims.PLATFORMS}
+    if headers is not None:
+        for n, name, p in dims.PLATFORM_HEADERS:
+            seen[n] = seen[n] | F.coalesce(F.try_element_at(headers, F.lit(name)).rlike("(?i)" + p), F.lit(False))
+    return F.array_compact(F.array(*(F.when(hit, n) for n, hit in seen.items())))
 
 
 def has_viewport(html: Column) -> Column:

@@ -1,6 +1,6 @@
 """The cleaning step: raw records to candidates, suppression, resolution of all records at once, merged leads and counts.
 
-Records are resolved as a set, not one after another: rules 0 to 4 give edges, connected records are one lead, and its
+Records are resolved as a set, not one after another: rules 0 to 4 give each record its first match, connected records are one lead, and its
 fields are the first present values in order of arrival. A record-by-record pass can differ where a merged lead takes
 its name from one record and its position from another. The limit keeps the first leads by arrival; later
 records still merge into kept leads.
@@ -8,7 +8,7 @@ records still merge into kept leads.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
@@ -19,12 +19,17 @@ from talaan.operators.labels import spread
 from talaan.runtime import broadcast_if_small
 
 
+def _rest(values: Column) -> Column:
+    """All but the first."""
+    return F.filter(values, lambda v, i: i > 0)
+
+
 def candidates(raw: DataFrame, runs: DataFrame) -> DataFrame:
     """One row per raw record with a name key; an unknown city falls back to the run's area."""
     area = runs.select("run_id", F.coalesce("area_name", "location").alias("area"))
     r = raw.join(broadcast_if_small(area, 10_000), "run_id", "left")
     city = F.nullif(strip(F.col("city")), F.lit(""))
-    numbers = phones.normalize_column(F.col("phones_raw"))
+    numbers = phones.normalize(F.col("phones_raw"))
     r = r.withColumn("numbers", numbers).withColumn("web", web.normal_url(F.col("website_raw")))
     mails = F.array_distinct(F.filter(F.transform("emails_raw", web.normal_email), lambda e: e.isNotNull()))
     site = F.when(web.platform(F.col("web")).isNull(), F.col("web"))
@@ -32,8 +37,8 @@ def candidates(raw: DataFrame, runs: DataFrame) -> DataFrame:
         "record_id", "run_id", "source", "source_ref", F.col("name").alias("business_name"), names.name_key(F.col("name")).alias("name_key"),
         names.address_line(F.concat_ws(" ", "housenumber", "street"), F.col("suburb"), F.col("city")).alias("address"), F.coalesce(city, "area").alias("city"),
         names.city_key(F.coalesce(city, "area")).alias("city_key"), F.when(city.isNull(), "run_area").otherwise(F.col("source")).alias("city_source"), "province",
-        names.street_key(F.col("street")).alias("street_key"), "lat", "lon", F.get("numbers", F.lit(0)).alias("phone"), F.slice("numbers", 2, 100).alias("phones_extra"),
-        F.get(mails, F.lit(0)).alias("email"), F.slice(mails, 2, 100).alias("emails_extra"), site.alias("website"), web.registered_domain(site).alias("domain"),
+        names.street_key(F.col("street")).alias("street_key"), "lat", "lon", F.get("numbers", F.lit(0)).alias("phone"), _rest(F.col("numbers")).alias("phones_extra"),
+        F.get(mails, F.lit(0)).alias("email"), _rest(mails).alias("emails_extra"), site.alias("website"), web.registered_domain(site).alias("domain"),
         F.coalesce(F.when(web.platform(F.col("web")) == "facebook", F.col("web")), F.col("facebook")).alias("facebook"), "opening_hours", "fetched_at",
     )
     return out.where("name_key <> ''")
@@ -57,7 +62,7 @@ def linked(cands: DataFrame) -> DataFrame:
     firsts = cands.groupBy("source", "source_ref").agg(F.min("record_id").alias("first"))
     same = cands.join(firsts, ["source", "source_ref"]).where("first <> record_id").select(F.col("first").alias("a"), F.col("record_id").alias("b"))
     one = as_leads.join(firsts.select(F.col("first").alias("lead_id")), "lead_id", "left_semi")
-    found = resolve.matches(one, one).select(F.col("other_id").alias("a"), F.col("lead_id").alias("b"))
+    found = resolve.first_match(resolve.firsts(one)).select(F.col("match_id").alias("a"), F.col("lead_id").alias("b"))
     lab = spread(same.unionByName(found), "a", "b")
     return cands.select("record_id").join(lab.withColumnRenamed("node", "record_id"), "record_id", "left").select("record_id", F.coalesce("label", "record_id").alias("label"))
 

@@ -15,12 +15,17 @@ def _none() -> Column:
     return F.array().cast("array<string>")
 
 
+def _rest(values: Column) -> Column:
+    """All but the first."""
+    return F.filter(values, lambda v, i: i > 0)
+
+
 def _all(first: str, rest: str) -> Column:
     return F.filter(F.concat(F.array(first), F.coalesce(rest, _none())), lambda v: v.isNotNull() & (v != ""))
 
 
 def apply_extraction(leads: DataFrame, found: DataFrame, suppressed: list[str]) -> DataFrame:
-    """Leads with what their pages gave (``lead_id``, ``x`` as ``html.extract_column`` returns it, ``https``).
+    """Leads with what their pages gave (``lead_id``, ``x`` as ``html.contacts`` returns it, ``https``).
 
     Suppressed contacts are dropped, all e-mails ranked, phones appended in order, empty social fields filled; the
     status is ok and the error cleared. Leads without a page stay as they are.
@@ -31,7 +36,7 @@ def apply_extraction(leads: DataFrame, found: DataFrame, suppressed: list[str])
     mails = web.ranked_emails(F.array_except(F.array_union(_all("email", "emails_extra"), F.coalesce("x.emails", _none())), gone), F.col("domain"))
     nums = F.array_except(F.array_union(_all("phone", "phones_extra"), F.coalesce("x.phones", _none())), gone)
     new = {
-        "email": F.get(mails, F.lit(0)), "emails_extra": F.slice(mails, 2, 1000), "phone": F.get(nums, F.lit(0)), "phones_extra": F.slice(nums, 2, 1000),
+        "email": F.get(mails, F.lit(0)), "emails_extra": _rest(mails), "phone": F.get(nums, F.lit(0)), "phones_extra": _rest(nums),
         "facebook": F.coalesce(F.nullif(F.col("facebook"), F.lit("")), F.col("x.socials")["facebook"]), "https_ok": F.col("https"), "enrich_status": F.lit("ok"),
     }
     return l.select(*(F.when(seen, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in leads.columns))
@@ -48,7 +53,7 @@ def without_dead_emails(leads: DataFrame, dead: DataFrame) -> DataFrame:
     kept = F.filter(_all("email", "emails_extra"), lambda e: ~F.array_contains(F.col("bad_"), F.lower(web.mail_host(e))))
     n = F.size(_all("email", "emails_extra")) - F.size(kept)
     ranked = web.ranked_emails(kept, F.col("domain"))
-    new = {"email": F.get(ranked, F.lit(0)), "emails_extra": F.slice(ranked, 2, 1000)}
+    new = {"email": F.get(ranked, F.lit(0)), "emails_extra": _rest(ranked)}
     return l.select(*(F.when(n > 0, new[c]).otherwise(F.col(c)).alias(c) if c in new else F.col(c) for c in leads.columns), n.alias("n_dropped"))
 
 

@@ -17,9 +17,12 @@ def insert_or_ignore(target: DataFrame, rows: DataFrame, keys: list[str], order:
     return target.unionByName(fresh.join(target.select(*keys), keys, "left_anti"))
 
 
-def insert_or_replace(target: DataFrame, rows: DataFrame, keys: list[str]) -> DataFrame:
-    """``rows`` and what of ``target`` they don't replace."""
-    return target.join(rows.select(*keys).distinct(), keys, "left_anti").select(*target.columns).unionByName(rows.select(*target.columns))
+def insert_or_replace(target: DataFrame, rows: DataFrame, keys: list[str], order: list[Column] | None = None) -> DataFrame:
+    """``rows`` and what of ``target`` they don't replace; of rows with one key the last by ``order``, then by their other values."""
+    rest = [c for c in target.columns if c not in keys]
+    ranks = [o.alias(f"rank_{i}") for i, o in enumerate(order or [])]
+    last = rows.groupBy(*keys).agg(F.max(F.struct(*ranks, *rest)).alias("m")).select(*keys, *(F.col(f"m.{c}").alias(c) for c in rest)).select(*target.columns)
+    return target.join(rows.select(*keys).distinct(), keys, "left_anti").select(*target.columns).unionByName(last)
 
 
 def suppressed(email: Column, extra: Column, domain: Column, gone: str) -> Column:
@@ -28,6 +31,34 @@ def suppressed(email: Column, extra: Column, domain: Column, gone: str) -> Colum
     return F.coalesce(domain == gone, F.lit(False)) | F.coalesce(at(email), F.lit(False)) | F.exists(F.coalesce(extra, F.array().cast("array<string>")), at)
 
 
+def to_forget(leads: DataFrame, gone: DataFrame) -> DataFrame:
+    """``lead_id`` of leads that hold a value of ``gone`` (``kind`` phone, email or domain, ``value``).
+
+    A domain also means every e-mail at it or at a subdomain of it. One join on the values, however long the list.
+    """
+    none = F.array().cast("array<string>")
+    mails = F.concat(F.array("email"), F.coalesce("emails_extra", none))
+    host = lambda e: F.lower(F.substring_index(e, "@", -1))
+    above = lambda h: F.transform(F.sequence(F.lit(1), F.size(F.split(h, r"\."))), lambda n: F.call_function("substring_index", h, F.lit("."), -n))
+    held = F.flatten(F.array(
+        F.transform(F.concat(F.array("phone"), F.coalesce("phones_extra", none)), lambda p: F.concat(F.lit("phone:"), p)), F.transform(mails, lambda e: F.concat(F.lit("email:"), e)),
+        F.transform(F.flatten(F.transform(F.filter(mails, lambda e: e.isNotNull()), lambda e: above(host(e)))), lambda d: F.concat(F.lit("domain:"), d)), F.array(F.concat(F.lit("domain:"), "domain")),
+    ))
+    keys = leads.select("lead_id", held.alias("ks")).select("lead_id", F.explode("ks").alias("k")).where("k is not null")
+    return keys.join(gone.select(F.concat_ws(":", "kind", "value").alias("k")).distinct(), "k", "left_semi").select("lead_id").distinct()
+
+
+def forgotten(leads: DataFrame, raw: DataFrame, listed: DataFrame, suppressions: DataFrame, gone: DataFrame, reason: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Leads, raw records and suppressions after forgetting ``gone``.
+
+    ``listed`` (lead_id, source, source_ref) says which raw records a lead came from; they go with it. Suppressions there are kept as they are.
+    """
+    ids = to_forget(leads, gone)
+    records = listed.join(ids, "lead_id", "left_semi").select("source", "source_ref").distinct()
+    new = gone.select("kind", "value").distinct().join(suppressions.select("kind", "value"), ["kind", "value"], "left_anti").withColumn("reason", F.lit(reason))
+    return leads.join(ids, "lead_id", "left_anti"), raw.join(records, ["source", "source_ref"], "left_anti"), suppressions.select("kind", "value", "reason").unionByName(new)
+
+
 def forget(leads: DataFrame, raw: DataFrame, gone: str) -> tuple[DataFrame, DataFrame]:
     """Both tables without a domain's leads and records."""
     keep = leads.where(~suppressed(F.col("email"), F.col("emails_extra"), F.col("domain"), gone))

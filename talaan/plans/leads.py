@@ -6,6 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from talaan.functions import dims, names, score, web
+from talaan.functions.text import MISREAD
+from talaan.operators import export
 from talaan.plans.registry import Registry
 from talaan.runtime import table
 
@@ -26,7 +28,7 @@ _MAILHOST = "regexp_extract(email, '@(.*)$', 1)"
 def _reg(h: str) -> str:
     two = f"regexp_extract({h}, '([^.]+\\.[^.]+)$', 1)"
     three = f"regexp_extract({h}, '([^.]+\\.[^.]+\\.[^.]+)$', 1)"
-    return f"CASE WHEN {two} = '' OR regexp_matches({h}, '^[0-9.]+$') THEN NULL WHEN {two} IN {_in(dims.SUFFIXES)} THEN nullif({three}, '') ELSE {two} END"
+    return f"CASE WHEN {two} = '' OR regexp_matches({h}, '^[0-9.]+$') THEN NULL WHEN {two} IN {_in(dims.SUFFIXES)} OR regexp_full_match({two}, '{dims.COUNTRY_SUFFIX}') THEN nullif({three}, '') ELSE {two} END"
 
 
 _OWN = f"(coalesce(email, '') <> '' AND coalesce(domain, '') <> '' AND domain NOT IN {_in(dims.SHARED_HOSTS)} AND coalesce({_reg(_MAILHOST)} = domain, false))"
@@ -110,6 +112,7 @@ _SUMMARY = [
 
 @query(
     f"WITH s AS {_SCORED} SELECT 'Leads' AS metric, CAST(count(*) AS VARCHAR) AS value FROM s UNION ALL "
+    + "SELECT 'New this run', '—' UNION ALL SELECT 'Duplicates merged', '0' UNION ALL SELECT 'Removed on request (suppressed)', '0' UNION ALL SELECT 'Websites not read (robots.txt)', '0' UNION ALL "
     + " UNION ALL ".join(
         f"SELECT '{m.replace(chr(39), chr(39) * 2)}', CASE WHEN count(*) = 0 THEN '0' ELSE count(CASE WHEN {c} THEN 1 END) || ' (' || (count(CASE WHEN {c} THEN 1 END) * 100 // count(*)) || '%)' END FROM s" for m, c in _SUMMARY
     )
@@ -124,6 +127,7 @@ def run_summary(spark, sf_dir):
     one = scored(spark, sf_dir).agg(F.count("*").alias("n"), *(F.count_if(c).alias(f"m{i}") for i, c in enumerate(tests.values())))
     rows = [F.struct(F.lit("Leads").alias("metric"), F.col("n").cast("string").alias("value"))]
     rows += [F.struct(F.lit(m).alias("metric"), score.share(F.col(f"m{i}"), F.col("n")).alias("value")) for i, m in enumerate(tests)]
+    rows += [F.struct(F.lit(m).alias("metric"), F.lit(v).alias("value")) for m, v in export.run_counts({}, {})]
     return one.select(F.explode(F.array(*rows)).alias("r")).select("r.*")
 
 
@@ -158,23 +162,44 @@ def topk_score(spark, sf_dir):
     return scored(spark, sf_dir).select("lead_id", "score").orderBy(F.desc("score"), "lead_id").limit(50)
 
 
-@query(f"""SELECT lead_id, business_name, category, phones_extra, email, website, address, city, score, flags, sources FROM (SELECT lead_id, business_name, categories[1] AS category,
-array_to_string(phones_extra, ', ') AS phones_extra, email, website, CASE WHEN regexp_matches(address, '^[=+\\-@\\t\\r]') THEN '''' || address ELSE address END AS address, city, score, array_to_string(flags, ', ') AS flags,
-array_to_string(sources, ', ') AS sources FROM {_SCORED})""")
+def _guard(c: str) -> str:
+    return f"CASE WHEN regexp_matches({c}, '^[=+\\-@\\t\\r]') THEN chr(39) || {c} ELSE {c} END AS {c}"
+
+
+_JOINED = lambda c: f"array_to_string({c}, ', ')"
+_WHY = f"(SELECT *, upper(line[1:1]) || line[2:] AS why_contact FROM (SELECT *, array_to_string({_SAID}, '; ') AS line FROM {_SCORED}))"
+
+
+@query("SELECT lead_id, category, phone, phones_extra, email_kind, instagram, linkedin, tiktok, score, lat, lon, updated_at, "
+       + ", ".join(_guard(c) for c in ("business_name", "email", "emails_extra", "website", "facebook", "address", "city", "flags", "why_contact", "tech", "opening_hours", "sources"))
+       + f""" FROM (SELECT lead_id, business_name, categories[1] AS category, phone, {_JOINED('phones_extra')} AS phones_extra, email, kind AS email_kind, {_JOINED('emails_extra')} AS emails_extra, website, facebook,
+CAST(NULL AS VARCHAR) AS instagram, CAST(NULL AS VARCHAR) AS linkedin, CAST(NULL AS VARCHAR) AS tiktok, address, city, score, {_JOINED('flags')} AS flags, why_contact, {_JOINED('tech')} AS tech, opening_hours, lat, lon, {_JOINED('sources')} AS sources,
+strftime(updated_at, '%Y-%m-%dT%H:%M:%S') AS updated_at FROM {_WHY})""")
 def csv_export_projection(spark, sf_dir):
-    s = scored(spark, sf_dir)
-    return s.select(
-        "lead_id", "business_name", F.get("categories", F.lit(0)).alias("category"), F.array_join("phones_extra", ", ").alias("phones_extra"), "email", "website",
-        web.escape_cell("address", F.col("address")).alias("address"), "city", "score", F.array_join("flags", ", ").alias("flags"), F.array_join("sources", ", ").alias("sources"),
-    )
+    """All 24 managed columns of the export, cells guarded against formulas."""
+    rows = export.lead_rows(scored(spark, sf_dir), F.get("categories", F.lit(0)))
+    return rows.select(*(web.escape_cell(c, F.col(c)).alias(c) if t == "string" and c not in ("lead_id", "category", "email_kind", "updated_at", "instagram", "linkedin", "tiktok") else F.col(c) for c, t in rows.dtypes))
 
 
-@query(f"""SELECT run_id, CASE WHEN list_contains(s, 'overture') AND list_contains(s, 'osm') THEN 'osm+overture' WHEN list_contains(s, 'overture') THEN 'overture' ELSE 'osm' END AS attribution
-FROM (SELECT first_seen_run_id AS run_id, list(DISTINCT src) AS s FROM (SELECT first_seen_run_id, unnest(sources) AS src FROM {_L}) GROUP BY 1)""")
+_OSM, _PLACES = ("'" + x.replace("'", "''") + "'" for x in (dims.OSM_LICENCE, dims.PLACES_LICENCE))
+
+
+@query(f"""SELECT run_id, CASE WHEN list_contains(s, 'overture') AND list_contains(s, 'osm') THEN {_OSM} || chr(10) || {_PLACES} WHEN list_contains(s, 'overture') THEN {_PLACES} ELSE {_OSM} END AS attribution
+FROM (SELECT run_id, list(DISTINCT src) AS s FROM (SELECT first_seen_run_id AS run_id, unnest(sources) AS src FROM {_L} UNION SELECT run_id, unnest(sources) FROM runs) GROUP BY 1)""")
 def attribution(spark, sf_dir):
-    used = table(spark, sf_dir, "leads").select(F.col("first_seen_run_id").alias("run_id"), F.explode("sources").alias("src"))
-    s = used.groupBy("run_id").agg(F.count_if(F.col("src") == "overture").alias("o"), F.count_if(F.col("src") == "osm").alias("m"))
-    return s.select("run_id", F.when((F.col("o") > 0) & (F.col("m") > 0), "osm+overture").when(F.col("o") > 0, "overture").otherwise("osm").alias("attribution"))
+    """The licence lines of each run, for the sources asked and those behind its leads."""
+    led = table(spark, sf_dir, "leads").select(F.col("first_seen_run_id").alias("run_id"), F.explode("sources").alias("src"))
+    used = led.unionByName(table(spark, sf_dir, "runs").select("run_id", F.explode("sources").alias("src")))
+    has = lambda x: F.max((F.col("src") == x).cast("int")) == 1
+    return used.groupBy("run_id").agg(export.attribution(has("osm"), has("overture")).alias("attribution"))
+
+
+@query(f"""SELECT r.run_id, CASE WHEN rows_.n IS NULL THEN 0 ELSE rows_.n END AS n_leads, r.category || ' / ' || r.location || ' / ' || r.run_id AS about FROM runs r LEFT JOIN (SELECT first_seen_run_id AS run_id, count(*) AS n FROM {_L} GROUP BY 1) rows_ USING (run_id)""")
+def about_rows(spark, sf_dir):
+    """What every export says about its run."""
+    n = table(spark, sf_dir, "leads").dropDuplicates(["lead_id"]).groupBy(F.col("first_seen_run_id").alias("run_id")).agg(F.count("*").alias("n"))
+    a = export.about(table(spark, sf_dir, "runs").join(n, "run_id", "left"))
+    return a.groupBy("run_id").agg(F.max(F.when(F.col("field") == "Leads", F.col("value").cast("bigint"))).alias("n_leads"), F.array_join(F.transform(F.array_sort(F.collect_list(F.when(F.col("pos").between(1, 3), F.struct("pos", "value")))), lambda x: x["value"]), " / ").alias("about"))
 
 
 _STRIP = lambda c: f"nullif(regexp_replace({c}, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g'), '')"
@@ -188,9 +213,17 @@ def name_keys(spark, sf_dir):
     return table(spark, sf_dir, "raw_records").select("record_id", names.name_key(F.col("name")).alias("name_key"))
 
 
-@query("SELECT record_id, nullif(" + _TOK(f"regexp_replace(trim({_FOLD('city')}), '^(?:city|municipality) of\\s+|\\s+city$', '', 'g')") + ", '') AS city_key FROM raw_records WHERE NOT contains(lower(city), 'ã')")
+def _misread(c: str) -> str:
+    """Lower case with UTF-8 that was read as Latin-1 put right."""
+    out = f"lower({c})"
+    for bad, good in MISREAD:
+        out = f"replace({out}, '{bad}', '{good}')"
+    return out
+
+
+@query("SELECT record_id, nullif(" + _TOK(f"regexp_replace(trim({_FOLD(_misread('city'))}), '^(?:city|municipality) of\\s+|\\s+city$', '', 'g')") + ", '') AS city_key FROM raw_records")
 def city_keys(spark, sf_dir):
-    return table(spark, sf_dir, "raw_records").where(~F.contains(F.lower("city"), F.lit("ã"))).select("record_id", names.city_key(F.col("city")).alias("city_key"))
+    return table(spark, sf_dir, "raw_records").select("record_id", names.city_key(F.col("city")).alias("city_key"))
 
 
 _WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in dims.STREET_WORDS.items()) + "}"
@@ -198,7 +231,7 @@ _WORDS = "MAP {" + ", ".join(f"'{k}': '{v}'" for k, v in dims.STREET_WORDS.items
 
 @query(
     "SELECT record_id, nullif(array_to_string(list_transform(list_filter(string_split("
-    + _TOK(f"regexp_replace({_FOLD('street')}, '" + names._UNIT + "', ' ', 'g')")
+    + _TOK(f"regexp_replace({_FOLD('street')}, '" + dims.UNIT + "', ' ', 'g')")
     + f", ' '), lambda t: t <> ''), lambda t: CASE {' '.join(f'WHEN t = {chr(39)}{k}{chr(39)} THEN {chr(39)}{v}{chr(39)}' for k, v in dims.STREET_WORDS.items())} ELSE t END), ' '), '') AS street_key FROM raw_records WHERE street IS NOT NULL"
 )
 def street_keys(spark, sf_dir):
@@ -261,20 +294,36 @@ def normal_emails(spark, sf_dir):
     return e.select("record_id", web.normal_email(F.col("m")).alias("email")).where("email is not null")
 
 
-@query("""SELECT doc_id, array_to_string(list_sort(list_distinct(list_transform(regexp_extract_all(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,24}'), lambda x: lower(x)))), ',') AS emails
-FROM documents WHERE regexp_matches(text, '[A-Za-z0-9._%+\\-]+@[A-Za-z0-9.\\-]+\\.[A-Za-z]{2,24}') AND NOT regexp_matches(text, '(?i)\\[\\s*at\\s*\\]|\\(\\s*at\\s*\\)|\\{\\s*at\\s*\\}')""")
+_HIDDEN = r"(?i)([A-Za-z0-9._%+\-]+\s*[\[({]\s*at\s*[\])}]\s*[A-Za-z0-9\-]+(?:\s*[\[({]\s*dot\s*[\])}]\s*[A-Za-z0-9\-]+)+)"
+_OPENED = r"regexp_replace(regexp_replace(x, '(?i)\s*[\[({]\s*at\s*[\])}]\s*', '@'), '(?i)\s*[\[({]\s*dot\s*[\])}]\s*', '.', 'g')"
+_ALL_MAILS = rf"list_distinct(list_transform(list_concat(regexp_extract_all(text, '[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{{2,24}}'), list_transform(regexp_extract_all(text, '{_HIDDEN}', 1), lambda x: {_OPENED})), lambda x: lower(x)))"
+_JUNK = f"regexp_matches(x, '\\.(png|jpe?g|gif|webp|svg|bmp|ico|avif)$|@[0-9]+x\\.') OR regexp_extract(x, '@(.*)$', 1) IN {_in(dims.JUNK_MAIL)} OR coalesce({_reg(chr(114) + 'egexp_extract(x, ' + chr(39) + '@(.*)$' + chr(39) + ', 1)')} IN {_in(dims.JUNK_MAIL)}, false)"
+
+
+@query(f"SELECT doc_id, array_to_string(list_sort(list_filter({_ALL_MAILS}, lambda x: NOT ({_JUNK}))), ',') AS emails FROM documents WHERE text IS NOT NULL")
 def email_extract(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where(F.col("text").rlike(r"[A-Za-z0-9._%+\-]+@[A-Za-z0-9.\-]+\.[A-Za-z]{2,24}"))
-    d = d.where(~F.col("text").rlike(r"(?i)\[\s*at\s*\]|\(\s*at\s*\)|\{\s*at\s*\}"))
+    d = table(spark, sf_dir, "documents").where("text is not null")
     return d.select("doc_id", F.array_join(F.array_sort(web.emails_in(F.col("text"))), ",").alias("emails"))
 
 
-@query(f"""SELECT lead_id, array_to_string(list_transform(list_sort(list_transform(list_distinct(list_filter(list_concat([email], emails_extra), lambda x: x IS NOT NULL)), lambda e: {{'t': CASE WHEN {_reg("regexp_extract(e, '@(.*)$', 1)")} = domain THEN 0 ELSE 2 END, 'e': e}})), lambda s: s.e), ',') AS emails FROM {_L} WHERE len(emails_extra) > 0""")
+_HOST = "regexp_replace(lower(regexp_extract(website_raw, '^(?:[A-Za-z]+://)?([^/?#:]+)', 1)), '^www\\.', '')"
+_MAIL = r"lower(trim(regexp_extract(regexp_replace(trim(m), '^mailto:', ''), '^([^?]*)', 1)))"
+_PREFER = "coalesce(list_position([" + ", ".join(f"'{x}'" for x in dims.PREFERRED) + "], regexp_extract(e, '^([^@]*)', 1)), 100)"
+_BOXES = "('x-admin@gmail.com'), ('info@yahoo.com'), ('zoe@nowhere.example')"
+
+
+@query(rf"""SELECT domain, array_to_string(list_transform(list_sort(list_transform(es, lambda e: struct_pack(t := CASE WHEN {_reg("regexp_extract(e, '@(.*)$', 1)")} = domain THEN 0 WHEN regexp_extract(e, '@(.*)$', 1) IN {_in(dims.FREE_MAIL)} THEN 1 ELSE 2 END,
+p := {_PREFER}, e := e))), lambda x: x.e), ',') AS emails FROM (SELECT domain, list(DISTINCT e) AS es FROM (SELECT {_reg(_HOST)} AS domain, {_MAIL} AS e FROM (SELECT website_raw, unnest(emails_raw) AS m FROM raw_records WHERE website_raw IS NOT NULL)
+UNION SELECT {_reg(_HOST)}, e FROM raw_records, (VALUES {_BOXES}) v(e) UNION SELECT {_reg(_HOST)}, 'sales@' || {_reg(_HOST)} FROM raw_records)
+WHERE domain IS NOT NULL AND domain NOT IN {_in(dims.SHARED_HOSTS)} AND regexp_matches(e, '^[a-z0-9._%+\-]+@[a-z0-9.\-]+\.[a-z]{{2,}}$') GROUP BY 1)""")
 def email_rank(spark, sf_dir):
-    l = table(spark, sf_dir, "leads").dropDuplicates(["lead_id"]).where(F.size("emails_extra") > 0)
-    all_ = F.array_sort(F.filter(F.concat(F.array("email"), "emails_extra"), lambda e: e.isNotNull()))
-    tier = lambda e: F.struct(F.when(F.coalesce(web.registered_domain(web.mail_host(e)) == F.col("domain"), F.lit(False)), 0).otherwise(2).alias("t"), e.alias("e"))
-    return l.select("lead_id", F.array_join(F.transform(F.array_sort(F.transform(F.array_distinct(all_), tier)), lambda s: s["e"]), ",").alias("emails"))
+    """The e-mails of each website's records in rank order, with some at free providers, elsewhere and at the website's own domain."""
+    raw = table(spark, sf_dir, "raw_records").where("website_raw is not null")
+    host = F.regexp_replace(F.lower(F.regexp_extract("website_raw", r"^(?:[A-Za-z]+://)?([^/?#:]+)", 1)), r"^www\.", "")
+    r = raw.select(web.registered_domain(host).alias("domain"), "emails_raw").where(F.col("domain").isNotNull() & ~web.is_shared(F.col("domain")))
+    given = F.concat(F.array(F.lit("x-admin@gmail.com"), F.lit("info@yahoo.com"), F.lit("zoe@nowhere.example"), F.concat(F.lit("sales@"), "domain")), F.transform("emails_raw", web.normal_email))
+    each = r.select("domain", given.alias("es")).select("domain", F.explode("es").alias("e")).where("e is not null").distinct()
+    return each.groupBy("domain").agg(F.sort_array(F.collect_list("e")).alias("es")).select("domain", F.array_join(web.ranked_emails(F.col("es"), F.col("domain")), ",").alias("emails"))
 
 
 @query(r"""SELECT doc_id, length(regexp_replace(regexp_replace(regexp_replace(text, '(?i)(bearer\s+)[A-Za-z0-9._\-]+', '\1[REDACTED]', 'g'), '(?i)((?:api[_-]?key|token|password|secret)["'']?\s*[:=]\s*["'']?)[^\s"''&]+', '\1[REDACTED]', 'g'), '(?i)(key=)[A-Za-z0-9_\-]{12,}', '\1[REDACTED]', 'g')) AS n FROM documents WHERE text IS NOT NULL""")
@@ -282,15 +331,17 @@ def redact_secrets(spark, sf_dir):
     return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(web.redact(F.col("text"))).alias("n"))
 
 
-@query(r"SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(text, '<(?:script|style|noscript|template|svg)\b[\s\S]*?</[a-z]+\s*>', ' ', 'gi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM documents WHERE text IS NOT NULL AND NOT regexp_matches(text, '(?i)<(script|style|noscript|template|svg)\b')")
+_SILENT = "|".join(rf"<{t}\b[\s\S]*?</{t}\s*>" for t in ("script", "style", "noscript", "template", "svg"))
+
+
+@query(rf"SELECT doc_id, length(trim(regexp_replace(regexp_replace(regexp_replace(text, '{_SILENT}', ' ', 'gi'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g'))) AS n FROM documents WHERE text IS NOT NULL")
 def visible_text_length(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").where("text is not null").where(~F.col("text").rlike(r"(?i)<(script|style|noscript|template|svg)\b"))
-    return d.select("doc_id", F.length(web.visible_text(F.col("text"))).alias("n"))
+    return table(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.length(web.visible_text(F.col("text"))).alias("n"))
 
 
-@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM documents WHERE length(text) < 200")
+@query("SELECT doc_id, CASE WHEN regexp_matches(text, '^[=+\\-@\\t\\r]') THEN '''' || text ELSE text END AS cell FROM documents")
 def formula_escape(spark, sf_dir):
-    return table(spark, sf_dir, "documents").where(F.length("text") < 200).select("doc_id", web.escape_cell("text", F.col("text")).alias("cell"))
+    return table(spark, sf_dir, "documents").select("doc_id", web.escape_cell("text", F.col("text")).alias("cell"))
 
 
 @query("SELECT r.source, count(*) AS n_records, count(DISTINCT source_ref) AS n_refs, count(DISTINCT run_id) AS n_runs FROM raw_records r GROUP BY 1")

@@ -59,11 +59,14 @@ def haversine_pairs_250m(spark, sf_dir):
     return a.join(b, "cell").where("a.lead_id < b.lead_id").where(d <= 250).select(F.col("a.lead_id").alias("lead_a"), F.col("b.lead_id").alias("lead_b"), F.round(d, 2).alias("metres"))
 
 
-@query(f"""SELECT lead_id, max(CASE WHEN n = 1 THEN other_id END) AS match_id, max(CASE WHEN n = 1 THEN rule END) AS rule, max(CASE WHEN n = 2 THEN other_id END) AS conflict_id
-FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY rule, seen, other_id) AS n FROM (SELECT lead_id, other_id, min(rule) AS rule, min(seen) AS seen FROM ({_ALL}) GROUP BY 1, 2)) WHERE n <= 2 GROUP BY 1""")
+_FIRSTS = f"(SELECT lead_id, rule, arg_min(other_id, struct_pack(t := seen, x := other_id)) AS other_id FROM ({_ALL}) GROUP BY 1, 2)"
+_MATCH = f"""(SELECT f.lead_id, f.other_id AS match_id, f.rule, (SELECT arg_min(g.other_id, g.rule) FROM {_FIRSTS} g WHERE g.lead_id = f.lead_id AND g.rule > f.rule AND g.other_id <> f.other_id) AS conflict_id
+FROM {_FIRSTS} f WHERE f.rule = (SELECT min(g.rule) FROM {_FIRSTS} g WHERE g.lead_id = f.lead_id))"""
+
+
+@query(f"SELECT lead_id, match_id, rule, conflict_id FROM {_MATCH}")
 def first_match_rank(spark, sf_dir):
-    l = _leads(spark, sf_dir)
-    return resolve.first_match(resolve.matches(l, l))
+    return resolve.first_match(resolve.firsts(_leads(spark, sf_dir)))
 
 
 @query(f"""SELECT DISTINCT least(a.lead_id, b.lead_id) AS lead_a, greatest(a.lead_id, b.lead_id) AS lead_b FROM (SELECT DISTINCT {_COLS} FROM leads WHERE enrich_status = 'ok') a JOIN {_L} b
@@ -80,14 +83,32 @@ def location_duplicates(spark, sf_dir):
     return resolve.greedy_pairs(_leads(spark, sf_dir))
 
 
+@query()
+def merged_locations(spark, sf_dir):
+    """Rule 4's duplicates merged until none is left: who was merged into whom, in which round."""
+    return resolve.merge_location_duplicates(table(spark, sf_dir, "leads"), 2026)[1]
+
+
+_REF = "(SELECT source, source_ref, min(record_id) AS first FROM raw_records GROUP BY 1, 2)"
+
+
+@query(f"SELECT CAST(r.record_id AS VARCHAR) AS lead_id, 0 AS rule, CAST(f.first AS VARCHAR) AS other_id FROM raw_records r JOIN {_REF} f ON r.source = f.source AND r.source_ref = f.source_ref WHERE r.record_id <> f.first")
+def rule0_source_ref(spark, sf_dir):
+    """Records that a source listed before, each with the first record of its reference."""
+    raw = table(spark, sf_dir, "raw_records").select("source", "source_ref", F.col("record_id"))
+    known = raw.groupBy("source", "source_ref").agg(F.min("record_id").alias("first")).select("source", "source_ref", F.col("first").cast("string").alias("lead_id"))
+    again = raw.select("source", "source_ref", F.col("record_id").cast("string").alias("lead_id"))
+    return resolve.by_source_ref(again, known).where("lead_id <> other_id")
+
+
 @query(f"""SELECT f.lead_id AS drop_id, f.match_id AS keep_id, coalesce(nullif(k.phone, ''), d.phone) AS phone, coalesce(nullif(k.website, ''), d.website) AS website,
 array_to_string(list_sort(list_distinct(list_concat(k.sources, d.sources))), ',') AS sources, CASE WHEN coalesce(nullif(k.website, ''), d.website) IS DISTINCT FROM k.website THEN 'pending' ELSE k.enrich_status END AS enrich_status
-FROM (SELECT lead_id, max(CASE WHEN n = 1 THEN other_id END) AS match_id FROM (SELECT *, row_number() OVER (PARTITION BY lead_id ORDER BY rule, seen, other_id) AS n FROM (SELECT lead_id, other_id, min(rule) AS rule, min(seen) AS seen FROM ({_ALL}) GROUP BY 1, 2)) GROUP BY 1) f
+FROM {_MATCH} f
 JOIN (SELECT DISTINCT ON (lead_id) * FROM leads) k ON k.lead_id = f.match_id JOIN (SELECT DISTINCT ON (lead_id) * FROM leads) d ON d.lead_id = f.lead_id""")
 def merge_fill(spark, sf_dir):
     leads = table(spark, sf_dir, "leads")
     l = resolve.slim(leads)
-    pairs = resolve.first_match(resolve.matches(l, l)).select(F.col("lead_id").alias("drop_id"), F.col("match_id").alias("keep_id"))
+    pairs = resolve.first_match(resolve.firsts(l)).select(F.col("lead_id").alias("drop_id"), F.col("match_id").alias("keep_id"))
     m = resolve.merged(pairs, leads)
     return m.select("drop_id", "keep_id", "phone", "website", F.array_join(F.array_sort("sources"), ",").alias("sources"), "enrich_status")
 

@@ -38,16 +38,55 @@ def lead_by_source_ref(spark, sf_dir):
     return raw.join(known, ["source", "source_ref"], "left_semi").groupBy("source", "source_ref").agg(F.count("*").alias("n_rows"), F.countDistinct("run_id").alias("n_runs"))
 
 
-_PREV = """SELECT run_id, prev_run_id FROM (SELECT a.run_id, b.run_id AS prev_run_id, row_number() OVER (PARTITION BY a.run_id ORDER BY b.created_at DESC, b.run_id DESC) AS n
-FROM runs a JOIN runs b ON a.category = b.category AND lower(a.location) = lower(b.location) AND b.created_at <= a.created_at AND a.run_id <> b.run_id AND b.run_status = 'completed') WHERE n = 1"""
+_BASE = "CASE WHEN json_extract_string({t}.run_options, '$.batch') LIKE '%@%' AND json_extract_string({t}.run_options, '$.monitor') = 'true' THEN regexp_replace(json_extract_string({t}.run_options, '$.batch'), '@[^@]*$', '') END"
+_PREV_OF = """SELECT run_id, prev_run_id FROM (SELECT a.run_id, b.run_id AS prev_run_id, row_number() OVER (PARTITION BY a.run_id ORDER BY b.created_at DESC, b.run_id DESC) AS n
+FROM {r} a JOIN {r} b ON a.category = b.category AND CASE WHEN a.area_kind = 'area' AND a.area_id IS NOT NULL THEN a.area_id = b.area_id ELSE lower(a.location) = lower(b.location) END
+AND ({base_a} IS NULL OR {base_a} = {base_b}) AND b.created_at <= a.created_at AND a.run_id <> b.run_id AND b.run_status = 'completed') WHERE n = 1"""
+_MONITORED = "(SELECT * EXCLUDE (run_options), CASE WHEN json_extract_string(run_options, '$.batch') IS NOT NULL AND limit_n % 200 <> 0 THEN json_object('batch', json_extract_string(run_options, '$.batch'), 'monitor', true)::VARCHAR ELSE run_options END AS run_options FROM runs)"
+_PREV = _PREV_OF.format(r="runs", base_a=_BASE.format(t="a"), base_b=_BASE.format(t="b"))
+
+
+def monitor_base(options):
+    """The name of the monitor that a run belongs to: its batch without the week; null for other runs."""
+    batch = F.get_json_object(options, "$.batch")
+    return F.when((F.get_json_object(options, "$.monitor") == "true") & F.contains(batch, F.lit("@")), F.regexp_replace(batch, "@[^@]*$", ""))
+
+
+def previous_of(r: DataFrame) -> DataFrame:
+    """``run_id``, ``prev_run_id``: the latest completed earlier run of the same category over the same area.
+
+    Runs over a known area are compared by its id, others by location. For a run of a monitor only runs of that monitor count. Runs of one
+    search are laid out by time once for each way they can be compared, and each run looks back over those, so no pairs are made.
+    """
+    base = r.select("run_id", "category", "created_at", "run_status", monitor_base(F.col("run_options")).alias("base"), "area_id", F.lower("location").alias("place"), ((F.col("area_kind") == "area") & F.col("area_id").isNotNull()).alias("by_area"))
+    area, place = F.concat(F.lit("a"), F.col("area_id").cast("string")), F.concat(F.lit("p"), "place")
+    asks = F.struct(F.when(F.coalesce("by_area", F.lit(False)), area).otherwise(place).alias("where"), F.coalesce(F.concat(F.lit("m"), "base"), F.lit("*")).alias("whose"))
+    kept = F.filter(F.flatten(F.transform(F.array(area, place), lambda w: F.transform(F.array(F.lit("*"), F.concat(F.lit("m"), "base")), lambda m: F.struct(w.alias("where"), m.alias("whose"))))), lambda x: x["where"].isNotNull() & x["whose"].isNotNull())
+    done = base.where("run_status = 'completed'").select("category", "created_at", "run_id", F.explode(kept).alias("key"), F.lit(True).alias("done"))
+    look = base.select("category", "created_at", "run_id", asks.alias("key"), F.lit(False).alias("done"))
+    # at one time all completed runs come before those that look back; a run never finds itself
+    w = W.partitionBy("category", "key").orderBy("created_at", F.desc("done"), "run_id").rowsBetween(W.unboundedPreceding, -1)
+    seen = F.when(F.col("done"), F.struct("created_at", "run_id"))
+    rows = done.unionByName(look).withColumn("last", F.max(seen).over(w))
+    own = rows.where("not done").select("run_id", "created_at", "key", "category", "last")
+    hit = own.where("last is not null and last.run_id <> run_id").select("run_id", F.col("last.run_id").alias("prev_run_id"))
+    # a run that found itself, being completed and latest, takes the one before itself
+    self_ = own.where("last.run_id = run_id").select("run_id", "category", "key")
+    before = done.withColumn("prev", F.max(F.struct("created_at", "run_id")).over(W.partitionBy("category", "key").orderBy("created_at", "run_id").rowsBetween(W.unboundedPreceding, -1)))
+    again = self_.join(before.select("run_id", "category", "key", "prev"), ["run_id", "category", "key"]).where("prev is not null").select("run_id", F.col("prev.run_id").alias("prev_run_id"))
+    return hit.unionByName(again)
 
 
 def previous(spark, sf_dir) -> DataFrame:
-    """Latest completed earlier run of the same search; bounded by runs, so a plain equi join with a residual."""
-    r = runs(spark, sf_dir).select("run_id", "category", F.lower("location").alias("place"), "created_at", "run_status")
-    b = r.where("run_status = 'completed'").select("category", "place", F.col("run_id").alias("prev_run_id"), F.col("created_at").alias("at"))
-    pairs = r.join(b, ["category", "place"]).where((F.col("at") <= F.col("created_at")) & (F.col("run_id") != F.col("prev_run_id")))
-    return pairs.groupBy("run_id").agg(F.max(F.struct("at", "prev_run_id"))["prev_run_id"].alias("prev_run_id"))
+    return previous_of(runs(spark, sf_dir))
+
+
+@query(_PREV_OF.format(r=_MONITORED, base_a=_BASE.format(t="a"), base_b=_BASE.format(t="b")))
+def previous_monitor_run(spark, sf_dir):
+    """The same where batch runs with a limit that isn't a multiple of 200 belong to monitors, as no run in the tables does."""
+    batch = F.get_json_object("run_options", "$.batch")
+    options = F.when(batch.isNotNull() & (F.col("limit_n") % 200 != 0), F.to_json(F.struct(batch.alias("batch"), F.lit(True).alias("monitor")))).otherwise(F.col("run_options"))
+    return previous_of(runs(spark, sf_dir).withColumn("run_options", options))
 
 
 @query(_PREV)

@@ -48,6 +48,19 @@ def forget_domain(spark, sf_dir):
     return l.agg(F.count("*").alias("n")).select(F.lit("leads").alias("part"), "n").unionByName(r.agg(F.count("*").alias("n")).select(F.lit("raw").alias("part"), "n"))
 
 
+_GONE_PHONES = "(SELECT phone FROM leads WHERE phone IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lead_id) > 2)"
+_GONE_MAILS = "(SELECT email FROM leads WHERE email IS NOT NULL GROUP BY 1 HAVING count(DISTINCT lead_id) > 1)"
+
+
+@query(f"""SELECT DISTINCT lead_id FROM (
+SELECT lead_id, unnest(list_concat([phone], phones_extra)) AS v FROM leads) WHERE v IN {_GONE_PHONES} UNION SELECT DISTINCT lead_id FROM (SELECT lead_id, unnest(list_concat([email], emails_extra)) AS v FROM leads) WHERE v IN {_GONE_MAILS}""")
+def forget_contacts(spark, sf_dir):
+    """Leads to forget for lists of phones (those of more than two leads) and e-mails (of more than one)."""
+    l = table(spark, sf_dir, "leads")
+    many = lambda c, n: l.where(F.col(c).isNotNull()).groupBy(c).agg(F.countDistinct("lead_id").alias("n")).where(F.col("n") > n).select(F.lit(c).alias("kind"), F.col(c).alias("value"))
+    return snapshots.to_forget(l, many("phone", 2).unionByName(many("email", 1)))
+
+
 @query(f"""SELECT 'raw' AS part, count(*) AS n FROM raw_records WHERE fetched_at >= TIMESTAMP '{CUTOFF}' OR run_id IN (SELECT run_id FROM runs WHERE run_status IN ('partial', 'running'))
 UNION ALL SELECT 'leads', count(*) FROM leads WHERE last_seen_at >= TIMESTAMP '{CUTOFF}'""")
 def purge_cutoff(spark, sf_dir):
@@ -90,12 +103,18 @@ def company_fill_empty(spark, sf_dir):
     return snapshots.fill_plan(one(l.where(F.col("last_seen_at") < t)), one(l.where(F.col("last_seen_at") >= t)), "domain", ["phone", "city"])
 
 
-@query(f"""SELECT lead_id, CASE WHEN ends_with(email, '.mail.example') THEN NULL ELSE email END AS email, CAST(ends_with(coalesce(email, ''), '.mail.example') AS INT) AS n_dropped FROM {_L} WHERE len(emails_extra) = 0""")
+@query(f"""SELECT lead_id, CASE WHEN ends_with(email, '.mail.example') THEN coalesce('info@' || domain, 'someone@gmail.com') ELSE email END AS email,
+CASE WHEN ends_with(coalesce(email, ''), '.mail.example') THEN CASE WHEN domain IS NULL THEN 'zed@other.example' ELSE 'someone@gmail.com,zed@other.example' END ELSE array_to_string(['zed@other.example', 'someone@gmail.com', 'info@' || domain], ',') END AS extra,
+CAST(ends_with(coalesce(email, ''), '.mail.example') AS INT) AS n_dropped FROM {_L}""")
 def dead_emails_dropped(spark, sf_dir):
-    """The scoring step's rewrite: hosts below mail.example are known to take no mail."""
-    l = table(spark, sf_dir, "leads").dropDuplicates(["lead_id"]).where(F.size("emails_extra") == 0)
+    """The scoring step's rewrite: hosts below mail.example are known to take no mail, and what is left is ranked again.
+
+    Each lead is given three more e-mails, at another host, a free provider and, where it has a domain, its own.
+    """
+    more = F.array_compact(F.array(F.lit("zed@other.example"), F.lit("someone@gmail.com"), F.concat(F.lit("info@"), "domain")))
+    l = table(spark, sf_dir, "leads").dropDuplicates(["lead_id"]).withColumn("emails_extra", more)
     dead = l.where("email like '%.mail.example'").select(F.lower(F.substring_index("email", "@", -1)).alias("host"), F.lit(False).alias("has_mail")).distinct()
-    return enrichment.without_dead_emails(l, dead).select("lead_id", "email", "n_dropped")
+    return enrichment.without_dead_emails(l, dead).select("lead_id", "email", F.array_join("emails_extra", ",").alias("extra"), "n_dropped")
 
 
 @query("SELECT run_id, CAST(coalesce(try_cast(json_extract(run_options, '$.search.seconds') AS DOUBLE), 0) AS DOUBLE) AS seconds, coalesce(json_extract_string(run_options, '$.batch'), 'none') AS batch FROM runs")
