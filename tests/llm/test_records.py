@@ -1,4 +1,3 @@
-import itertools
 import random
 from datetime import datetime, timedelta
 
@@ -201,14 +200,33 @@ def test_leads_at_one_place_with_little_in_common_meet(spark, tmp_path):
     assert got == {("L-1", "L-2"), ("L-3", "L-4")}
 
 
-def test_looked_up_chunks_lose_no_pair():
+def test_chunks_of_many_texts_are_those_of_each():
     rng = random.Random(1)
     words = ["".join(rng.choice("abcdefgh") for _ in range(8)) for _ in range(30)]
-    texts = ["\n".join(rng.sample(words, 5)) for _ in range(150)] + ["", "a", "\n\n"]
+    texts = ["\n".join(rng.sample(words, 5)) for _ in range(150)] + ["", "a", "\n\n", "x" * 3 * history.MAX, "é" * 70_000]
     ids = history.batch_chunks(texts)
     assert ids == [history.chunks(t) for t in texts]
-    size = lambda c: sum(x & 255 for x in c)
-    for x, y in itertools.combinations(range(len(ids)), 2):
-        small, big = sorted((ids[x], ids[y]), key=size)
-        if small and size(set(small) & set(big)) >= history.COVER * size(small):
-            assert set(history.to_look_up(small)) & set(big)
+    sizes = [sum(c & ((1 << history.SIZE_BITS) - 1) for c in cs) for cs in ids]
+    assert all(s <= len(t.encode()) for s, t in zip(sizes, texts)) and sizes[-6:-3] == [sizes[-6], 0, 1] and sizes[0] > 20
+    text = "\n".join(words[:6])
+    assert set(history.chunks(text)) & set(history.chunks(text.replace(words[2], "zzzzzzzz")))  # a changed line leaves the others' chunks
+
+
+def test_a_batch_reads_only_what_it_meets(spark, tmp_path):
+    def lead(i, name, lat, run, city="San Bayala"):
+        return (f"L-{i}", name, f"{i} Taras St, {city}", city, city.lower(), "taras street", lat, 120.0, None, [], None, [], None, None, None, run)
+
+    runs = spark.createDataFrame([(f"run{i}", datetime(2026, 1, 1) + timedelta(days=i)) for i in range(2)], "run_id string, created_at timestamp")
+    rng = random.Random(2)
+    names = ["".join(rng.choice("bdgklmnprstw") + rng.choice("aeiou") for _ in range(5)) + " Bakery" for _ in range(80)]
+    old = [lead(i, n.title(), 10 + (i % 40) * 0.00001, "run0") for i, n in enumerate(names)]  # all in one street of one city
+    new = [lead(900, names[3].title(), 10.00003, "run1"), lead(901, "Zuzuzuzuzu Bakery", 10.0, "run1")]
+    past = history.History(spark, str(tmp_path / "h"))
+    past.add(spark.createDataFrame(old, LEADS), runs)
+    seen = []
+    read = past._met_records
+    past._met_records = lambda *a: (seen.append(read(*a)), seen[-1])[1]
+    assert {tuple(r) for r in past.add(spark.createDataFrame(new, LEADS), runs).collect()} == {("L-3", "L-900")}
+    assert seen[0].count() <= 5
+    again = history.History(spark, str(tmp_path / "h"))  # from the folder alone; a lead that is there is not taken again
+    assert {tuple(r) for r in again.add(spark.createDataFrame(new[:1], LEADS), runs).collect()} == set()
