@@ -176,6 +176,14 @@ def from_leads(leads: DataFrame) -> DataFrame:
     return _finish(x)
 
 
+SAME_KIND = "(a.q = b.q or a.q = 0 or b.q = 0)"  # over two rows with kind_code()
+
+
+def kind_code() -> Column:
+    """``q``: a number for the kind, 0 if it isn't known."""
+    return F.coalesce(F.hash("kind") * F.when(F.col("kind").isNotNull(), 1), F.lit(0)).alias("q")
+
+
 COMPARED = ["name", "kind", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"]
 
 

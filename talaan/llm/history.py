@@ -37,13 +37,13 @@ WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
 MIN, MAX = 5, 4096
 COVER, PLACE = 0.25, 16
-CELL_M, ZONE, SLOTS = 1_000.0, 1.0, 16  # cells in metres, zones in degrees
+CELL_M, ZONE, SLOTS = 3_000.0, 1.0, 16  # cells in metres, zones in degrees
 GEAR = np.random.default_rng(20_240_601).integers(0, 2**32, 256, dtype=np.uint64)
 SIZE_BITS = 16
 TABLES = {
     "records": "id bigint, key string, at bigint, chunks array<bigint>, others array<bigint>, name string, kind string, phones array<int>, web int, mails array<int>, fb int, num string, "
     "street string, city string, lat double, lon double, zone int",
-    "keys": "key string", "near": "k bigint, i bigint, zone int", "far": "k bigint, i bigint, t int, slot int", "firsts": "id bigint, first struct<at: bigint, key: string, id: bigint>",
+    "keys": "key string", "near": "k bigint, i bigint, q int, zone int", "far": "k bigint, i bigint, q int, t int, slot int", "firsts": "id bigint, first struct<at: bigint, key: string, id: bigint>",
 }
 
 
@@ -136,14 +136,14 @@ def _zone(lat: Column, lon: Column) -> Column:
 def near_entries(records: DataFrame) -> DataFrame:
     """``k``, ``i``, ``t``: the telling chunks of leads with positions by cell; they lead in their own, follow in those they touch."""
     r = records.where("lat is not null").withColumn("cells", touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M))
-    at = r.select("id", "zone", "chunks", F.posexplode("cells").alias("at", "cell")).select("id", "zone", "at", "cell", F.explode("chunks").alias("c"))
-    return at.select(key("n", F.col("cell"), F.col("c")).alias("k"), F.col("id").alias("i"), F.when(F.col("at") == 0, LEADS).otherwise(FOLLOWS).alias("t"), "zone")
+    at = r.select("id", "zone", business.kind_code(), "chunks", F.posexplode("cells").alias("at", "cell")).select("id", "zone", "q", "at", "cell", F.explode("chunks").alias("c"))
+    return at.select(key("n", F.col("cell"), F.col("c")).alias("k"), F.col("id").alias("i"), "q", F.when(F.col("at") == 0, LEADS).otherwise(FOLLOWS).alias("t"), "zone")
 
 
 def far_entries(records: DataFrame) -> DataFrame:
     """``k``, ``i``, ``t``: pairs of chunks, for look-ups by and of leads without position; those lead."""
-    r = records.withColumn("core", business.core()).select("id", F.when(F.col("lat").isNull(), LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*linkage.loose_keys()).alias("ks"))
-    return r.select("id", "t", F.explode("ks").alias("k")).where("k is not null").select("k", F.col("id").alias("i"), "t")
+    r = records.withColumn("core", business.core()).select("id", business.kind_code(), F.when(F.col("lat").isNull(), LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*linkage.loose_keys()).alias("ks"))
+    return r.select("id", "q", "t", F.explode("ks").alias("k")).where("k is not null").select("k", F.col("id").alias("i"), "q", "t")
 
 
 def repeats(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -208,10 +208,10 @@ class History:
         near, far = near_entries(new), far_entries(new)
         self._write(near.where(F.col("t") == LEADS).drop("t"), "near", batch, "zone")
         self._write(far.withColumn("slot", F.pmod("k", F.lit(SLOTS)).cast("int")), "far", batch, "slot")
-        rows = near.select("k", "i", "t").unionByName(far.select("k", "i", "t"))
+        rows = near.select("k", "i", "q", "t").unionByName(far)
         if before:
             rows = rows.unionByName(self._old_near(new, before)).unionByName(self._old_far(before))
-        pairs = cut(met(rows))
+        pairs = cut(met(rows, business.SAME_KIND))
         everything = new
         if before:
             everything = new.unionByName(self._met_records(pairs, before, len(before)))
@@ -236,10 +236,10 @@ class History:
         at = new.where("lat is not null").select("lat", "lon", F.explode(r).alias("dy")).select("lat", "lon", "dy", F.explode(r).alias("dx"))
         wide = F.col("dx") / F.greatest(F.cos(F.radians("lat")), F.lit(0.01))
         zones = [x["z"] for x in at.select(_zone(F.col("lat") + F.col("dy"), F.col("lon") + wide).alias("z")).distinct().collect()]  # at most the squares of the grid
-        return self._read("near", before).where(F.col("zone").isin(zones)).select("k", "i", F.lit(OLD).alias("t"))
+        return self._read("near", before).where(F.col("zone").isin(zones)).select("k", "i", "q", F.lit(OLD).alias("t"))
 
     def _old_far(self, before: list[str]) -> DataFrame:
-        return self._read("far", before).select("k", "i", F.when(F.col("t") == LEADS, OLD).otherwise(OLD_FOLLOWS).alias("t"))
+        return self._read("far", before).select("k", "i", "q", F.when(F.col("t") == LEADS, OLD).otherwise(OLD_FOLLOWS).alias("t"))
 
     def _met_records(self, pairs: DataFrame, before: list[str], n: int) -> DataFrame:
         """The records of the history that are in a pair."""

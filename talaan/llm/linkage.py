@@ -12,8 +12,9 @@
    distance, street, number, city, and one that reads position, number and contacts together.
 3. **Label model.** A generative model of the votes is fitted without labels by expectation-maximisation. It has a
    table per function and class, and each function also depends on the one it is most correlated with (a
-   maximum spanning tree of conditional mutual information, learned with the tables), so websites, e-mails
-   and pages that agree together don't count as independent evidence. A vote never counts against what it says. Only the counts of vote patterns (at most the
+   maximum spanning tree of conditional mutual information), so websites, e-mails
+   and pages that agree together don't count as independent evidence. A vote never counts against what it says,
+   and about one business no function is taken to be wrong in more than ``WRONG`` of its answers. Only the counts of vote patterns (at most the
    product of the functions' answers) reach the driver. The posterior of the pattern is the confidence.
 4. **Decision.** A pair is accepted by its posterior alone, ``ACCEPT`` or more. Accepted pairs are joined to businesses,
    and each two listings of a business from different sources come out.
@@ -41,14 +42,15 @@ VOTES = business.VOTES
 LOWEST, LEVELS = -1, 4  # answers of the functions: -1, 0, 1, 2
 # What a function answers about other businesses and about one, before any data: it is right more often than wrong.
 PRIOR = (np.array([0.5, 0.4, 0.05, 0.05]), np.array([0.1, 0.4, 0.25, 0.25]))
-AGAINST = 3.0  # at the start, so many votes for a match make up for one against it
+AGAINST = 4.0  # at the start, so many votes for a match make up for one against it
+WRONG = 0.05  # of the answers that a function gives about one business, so many are wrong at most
 
 
 class LabelModel:
     """Two classes, votes from ``LOWEST`` up, tree-shaped dependence among the votes in each class."""
 
-    def __init__(self, rounds: int = 60, smooth: float = 8.0, against: float = 1.0):
-        self.rounds, self.smooth, self.against = rounds, smooth, against
+    def __init__(self, rounds: int = 60, smooth: float = 8.0, against: float = 1.0, wrong: float = 1.0, relearn: bool = True):
+        self.rounds, self.smooth, self.against, self.wrong, self.relearn = rounds, smooth, against, wrong, relearn
 
     def _pairs(self, x: np.ndarray, w: np.ndarray) -> np.ndarray:
         """Mutual information of each two columns under weights."""
@@ -81,9 +83,10 @@ class LabelModel:
         x, n = patterns.astype(int) - LOWEST, counts.astype(float)
         post = 1 / (1 + np.exp(-((patterns > 0).sum(axis=1) - self.against * (patterns < 0).sum(axis=1) - 0.5)))
         k = x.shape[1]
-        for _ in range(self.rounds):
+        for r in range(self.rounds):
             weights = [n * (1 - post), n * post]
-            self.parent = self._tree(sum(self._pairs(x, w) * w.sum() for w in weights) / n.sum())
+            if r == 0 or self.relearn:
+                self.parent = self._tree(sum(self._pairs(x, w) * w.sum() for w in weights) / n.sum())
             odds = np.full(len(x), np.log((weights[1].sum() + 1) / (weights[0].sum() + 1)))
             for j in range(k):
                 p = self.parent[j]
@@ -93,7 +96,10 @@ class LabelModel:
                     alone = np.bincount(x[:, j], w, LEVELS) + self.smooth * prior
                     table = np.tile(self.smooth * alone / alone.sum(), (LEVELS, 1))  # rows seen little fall back on the vote alone
                     np.add.at(table, (given, x[:, j]), w)
-                    logs.append(np.log(table / table.sum(axis=1, keepdims=True))[given, x[:, j]])
+                    table /= table.sum(axis=1, keepdims=True)
+                    if w is weights[1]:  # about one business a function is wrong at most so often, if it answers
+                        table[:, 0] = np.minimum(table[:, 0], self.wrong * (table[:, 0] + table[:, 2:].sum(axis=1)))
+                    logs.append(np.log(table)[given, x[:, j]])
                 gain = logs[1] - logs[0]
                 odds += np.where(patterns[:, j] < 0, np.minimum(gain, 0), np.where(patterns[:, j] > 0, np.maximum(gain, 0), gain))
             new = 1 / (1 + np.exp(np.clip(-odds, -500, 500)))
@@ -175,7 +181,7 @@ def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
     code = sum(((F.col(c) - LOWEST) * LEVELS**i for i, c in enumerate(VOTES)), F.lit(0)).cast("int")
     pairs = pairs.withColumn("pattern", code)
     seen = pairs.groupBy("pattern").count().collect()  # at most the product of the functions' answers
-    model = LabelModel(against=AGAINST)
+    model = LabelModel(against=AGAINST, wrong=WRONG, relearn=False)
     if not seen:
         return pairs.withColumn("confidence", F.lit(0.0)).drop("pattern"), model
     codes = np.array(sorted(r["pattern"] for r in seen))

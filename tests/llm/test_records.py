@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from talaan.llm import addresses, canon, history, linkage
+from talaan.llm import addresses, business, canon, history, linkage
 
 CITIES = "city_id string, city_name string, city_key string, province string, former_name string, postcode string"
 ROWS = [
@@ -157,17 +157,17 @@ def batch(rng, n, runs):
 
 
 def test_batches_equal_the_whole(spark, tmp_path):
-    rng = random.Random(5)
+    rng, words = random.Random(5), business.Lexicon({"bakery": "bakery"})
     names = [f"run{i}" for i in range(6)]
     runs = spark.createDataFrame([(r, datetime(2026, 1, 1) + timedelta(days=i)) for i, r in enumerate(names)], "run_id string, created_at timestamp")
     rows = batch(rng, 120, names)
     df = spark.createDataFrame(rows + rows[:3], LEADS)
-    whole = {tuple(r) for r in history.History(spark, str(tmp_path / "a")).add(df, runs).collect()}
+    whole = {tuple(r) for r in history.History(spark, str(tmp_path / "a"), words).add(df, runs).collect()}
     firsts: dict = {}
     for r in sorted(rows, key=lambda r: (r[-1], r[0])):
         firsts.setdefault(r[8], []).append(r[0])
     assert whole == {tuple(sorted((g[0], x))) for g in firsts.values() for x in g[1:]}
-    past, parts = history.History(spark, str(tmp_path / "b")), set()
+    past, parts = history.History(spark, str(tmp_path / "b"), words), set()
     for part in (names[:2], names[2:4], names[4:]):
         parts |= {tuple(r) for r in past.add(df.where(F.col("first_seen_run_id").isin(part)), runs).collect()}
     assert parts == whole
