@@ -3,8 +3,9 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
-from talaan.functions import html, names, phones, robots, score, web
+from talaan.functions import html, names, phones, robots, score, text, web
 from talaan.functions.text import one_edit
+from talaan.operators import resolve, snapshots
 from talaan.sources import jobs, listings, overpass, places
 
 
@@ -91,28 +92,40 @@ def test_score_flags_and_reasons(spark):
 
 @pytest.mark.parametrize("raw, want", [
     (["(032) 555-0123 / 0917 123 4567"], ["+63325550123", "+639171234567"]), (["(047) 737-2145/72"], ["+63477372145", "+63477372172"]), (["02 8123 4567 loc. 12; 0917 123 4567"], ["+63281234567", "+639171234567"]),
-    (["63325550123", "12"], ["+63325550123"]), (["+1 202 555 0100"], ["+12025550100"]), ([], []), (None, []), (["(032) 555-0123 / 5550124"], ["+63325550123", "+63325550124"]),
+    (["0917 123 4567 / 8765-4321"], ["+639171234567"]), (["02 8123 4567/9/77"], ["+63281234567", "+63281234569", "+63281234577"]), ([None, "x/12", "/", "+63 2 8123-4567 ext 5"], ["+63281234567"]), (["63325550123", "12"], ["+63325550123"]), (["+1 202 555 0100"], ["+12025550100"]), ([], []), (None, []), (["(032) 555-0123 / 5550124"], ["+63325550123", "+63325550124"]),
 ])
-def test_phones(raw, want):
-    assert phones.normalize(raw) == want
+def test_phones(spark, raw, want):
+    df = spark.createDataFrame([(raw,)], "v array<string>")
+    assert df.select(phones.normalize(F.col("v"))).first()[0] == want
+    assert df.select(phones.in_text(F.array_join("v", " or "))).first()[0] is not None
 
 
-def test_html_extraction():
+def contacts_of(spark, page, base):
+    df = spark.createDataFrame([(page, base)], "h string, b string").withColumn("p", html.parts_column(F.col("h"), F.col("b")))
+    return df.select(html.contacts(F.col("p")).alias("x"), html.contact_pages(F.col("p"), F.col("b")).alias("pages")).first()
+
+
+def test_html_extraction(spark):
     page = (
         '<a href="mailto:Info@clinic.ph?subject=x">m</a><a href="tel:0917 123 4567">t</a><a href="https://facebook.com/sharer/x">s</a><a href="https://www.facebook.com/clinic">f</a>'
         '<script type="application/ld+json">{"@graph":[{"@type":"Dentist","email":"desk@clinic.ph","sameAs":["https://instagram.com/c"]}]}</script><style>x@y.ph</style><a data-cfemail="1">p</a>'
     )
-    x = html.extract(page, "https://clinic.ph/")
+    x = contacts_of(spark, page, "https://clinic.ph/").x
     assert x["emails"] == ["info@clinic.ph", "desk@clinic.ph"] and x["phones"] == ["+639171234567"] and x["protected_emails"] == 1
     assert x["socials"] == {"facebook": "https://www.facebook.com/clinic", "instagram": "https://instagram.com/c"}
-    assert html.extract(None) == {"emails": [], "phones": [], "socials": {}, "protected_emails": 0}
+    assert contacts_of(spark, None, "https://clinic.ph/").x.asDict() == {"emails": [], "phones": [], "socials": {}, "protected_emails": 0}
+    hidden = "<p>Write desk [at] clinic [dot] ph or (02) 8123 4567</p>"
+    assert contacts_of(spark, hidden, "https://clinic.ph/").x[:2] == (["desk@clinic.ph"], ["+63281234567"])
     links = '<a href="/about">About</a><a href="/contact-us">Write</a><a href="https://else.ph/contact">x</a><a href="/c.pdf">contact</a>'
-    assert html.contact_pages(links, "https://clinic.ph/") == ["https://clinic.ph/contact-us", "https://clinic.ph/about"]
+    assert contacts_of(spark, links, "https://clinic.ph/").pages == ["https://clinic.ph/contact-us", "https://clinic.ph/about"]
 
 
 def test_robots(spark):
     rules = robots.rules("User-agent: a\nUser-agent: Bot\nDisallow: /x\nAllow: /x/y$\n\nUser-agent: *\nDisallow: /", "bot")
     assert robots.allows(rules, "/x/y") and not robots.allows(rules, "/x/yz") and robots.allows(rules, "/z")
+    coded = robots.rules("User-agent: *\nDisallow: /a%3Cd\nDisallow: /é", "bot")
+    assert not robots.allows(coded, "/a<d") and not robots.allows(coded, "/a%3cd") and not robots.allows(coded, "/%C3%A9x") and robots.allows(coded, "/a")
+    assert value(spark, robots.origin(F.col("x")), x="HTTPS://A.ph:8080/p?q") == "https://a.ph:8080" and value(spark, robots.origin(F.col("x")), x="ftp://a.ph/") is None
     assert not robots.allows(robots.rules("User-agent: *\nDisallow: /", "bot"), "/") and robots.allows([], "/")
     assert [robots.is_public(a) for a in ("8.8.8.8", "10.0.0.1", "::ffff:10.0.0.1", "224.0.0.1", "x", None)] == [True, False, False, False, False, False]
     assert [value(spark, robots.access_of_status(F.col("x")), x=s) for s in (200, 404, 429, 503)] == ["parse", "allow", "disallow", "disallow"]
@@ -199,3 +212,60 @@ def test_commands(tmp_path, spark):
     from talaan.__main__ import main
 
     assert main(["list"]) == 0 and main(["run", "nope", "--data", "x", "--out", "y"]) == 2
+
+
+def test_folding_covers_every_marked_letter(spark):
+    for raw, want in (("Việt Ångström", "viet angstrom"), ("ＦＵＬＬ", "full"), ("Ελλάς άέ", "ελλας αε"), ("Niño\u0301", "nino"), (None, None), ("", "")):
+        assert value(spark, text.fold(F.col("x")), x=raw) == want
+
+
+def test_replacing_keeps_the_last_of_repeated_keys(spark):
+    old = spark.createDataFrame([("a", 1, "x"), ("b", 1, "x")], "k string, n int, v string")
+    new = spark.createDataFrame([("a", 2, "y"), ("a", 3, None), ("c", 1, "z")], "k string, n int, v string")
+    assert {tuple(r) for r in snapshots.insert_or_replace(old, new, ["k"], [F.col("n")]).collect()} == {("a", 3, None), ("b", 1, "x"), ("c", 1, "z")}
+    assert snapshots.insert_or_replace(old, new.limit(0), ["k"]).count() == 2
+
+
+def test_forgetting_by_kind(spark):
+    leads = spark.createDataFrame([("L1", "+63917", [], "a@x.ph", [], "x.ph"), ("L2", None, ["+63917"], None, ["b@m.y.ph"], None), ("L3", None, None, "c@notx.ph", None, None)], "lead_id string, phone string, phones_extra array<string>, email string, emails_extra array<string>, domain string")
+    gone = lambda *kv: {r.lead_id for r in snapshots.to_forget(leads, spark.createDataFrame([kv], "kind string, value string")).collect()}
+    assert gone("phone", "+63917") == {"L1", "L2"} and gone("domain", "x.ph") == {"L1"} and gone("domain", "y.ph") == {"L2"} and gone("email", "c@notx.ph") == {"L3"}
+    raw = spark.createDataFrame([("osm", "1"), ("osm", "2")], "source string, source_ref string")
+    listed = spark.createDataFrame([("L1", "osm", "1")], "lead_id string, source string, source_ref string")
+    kept = spark.createDataFrame([("domain", "x.ph", "asked")], "kind string, value string, reason string")
+    l, r, s = snapshots.forgotten(leads, raw, listed, kept, spark.createDataFrame([("domain", "x.ph")], "kind string, value string"), "new")
+    assert (l.count(), [tuple(x) for x in r.collect()], [tuple(x) for x in s.collect()]) == (2, [("osm", "2")], [("domain", "x.ph", "asked")])
+
+
+def test_jobs_and_sources(spark):
+    rows = [{"category": "cafe", "location": f"p{i}"} for i in range(501)]
+    with pytest.raises(ValueError):
+        jobs.parse_jobs(spark, rows)
+    assert jobs.parse_jobs(spark, rows[:500] + [{"category": "# x"}] * 100).count() == 500
+
+    def bad():
+        return spark.range(3).select(F.raise_error(F.lit("down")).cast("bigint").alias("id"))
+
+    out, counts, errors = jobs.union_sources({"a": lambda: spark.range(3), "b": bad})
+    assert out.count() == 3 and counts == {"a": 3} and set(errors) == {"b"}
+    with pytest.raises(RuntimeError):
+        jobs.union_sources({"b": bad})
+    found = jobs.load_categories("dentist:\n  label: Dentists\n  synonyms: [tooth doctor]\n  osm:\n    - amenity=dentist\ncafe:\n  osm: [amenity=cafe]\n")
+    assert found["dentist"]["osm"] == ["amenity=dentist"] and found["cafe"] == {"osm": ["amenity=cafe"]}
+    with pytest.raises(ValueError):
+        jobs.load_categories("a:\n  synonyms: [x]\n  osm: [k=v]\nb:\n  synonyms: [x]\n  osm: [k=v]\n")
+
+
+def test_a_record_seen_again_overwrites_and_others_fill(spark):
+    cols = "lead_id string, " + ", ".join(f"{c} {'double' if c in ('lat', 'lon') else 'string'}" for c in resolve.FIELDS) + ", " + ", ".join(f"{c} array<string>" for c in resolve.LISTS) + ", enrich_status string"
+
+    def lead(i, name, phone, web):
+        v = {"business_name": name, "phone": phone, "website": web}
+        return (i, *(v.get(c) for c in resolve.FIELDS), ["+63"], [], ["osm"], [], "ok")
+
+    df = spark.createDataFrame([lead("L1", "A", "+63", ""), lead("L2", "B", None, "https://b.ph")], cols)
+    pairs = spark.createDataFrame([("L1", "L2")], "keep_id string, drop_id string")
+    r = resolve.merged(pairs, df).first()
+    assert (r.business_name, r.phone, r.website, r.phones_extra, r.enrich_status) == ("A", "+63", "https://b.ph", [], "pending")
+    r = resolve.merged(pairs, df, F.lit(True)).first()
+    assert (r.business_name, r.phone) == ("B", "+63")
