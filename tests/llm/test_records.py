@@ -220,7 +220,8 @@ def test_a_batch_reads_only_what_it_meets(spark, tmp_path):
     rng = random.Random(2)
     names = ["".join(rng.choice("bdgklmnprstw") + rng.choice("aeiou") for _ in range(5)) + " Bakery" for _ in range(80)]
     old = [lead(i, n.title(), 10 + (i % 40) * 0.00001, "run0") for i, n in enumerate(names)]  # all in one street of one city
-    new = [lead(900, names[3].title(), 10.00003, "run1"), lead(901, "Zuzuzuzuzu Bakery", 10.0, "run1")]
+    again = lead(900, names[3].title(), 10.00003, "run1")
+    new = [(*again[:2], old[3][2], *again[3:]), lead(901, "Zuzuzuzuzu Bakery", 10.0, "run1")]
     past = history.History(spark, str(tmp_path / "h"))
     past.add(spark.createDataFrame(old, LEADS), runs)
     seen = []
@@ -228,5 +229,5 @@ def test_a_batch_reads_only_what_it_meets(spark, tmp_path):
     past._met_records = lambda *a: (seen.append(read(*a)), seen[-1])[1]
     assert {tuple(r) for r in past.add(spark.createDataFrame(new, LEADS), runs).collect()} == {("L-3", "L-900")}
     assert seen[0].count() <= 5
-    again = history.History(spark, str(tmp_path / "h"))  # from the folder alone; a lead that is there is not taken again
-    assert {tuple(r) for r in again.add(spark.createDataFrame(new[:1], LEADS), runs).collect()} == set()
+    later = history.History(spark, str(tmp_path / "h"))  # from the folder alone; a lead that is there is not taken again
+    assert {tuple(r) for r in later.add(spark.createDataFrame(new[:1], LEADS), runs).collect()} == set()
