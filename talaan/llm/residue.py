@@ -27,8 +27,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 COVERED = 0.5
-SHORT = 24  # texts of so many words are read again with their spelling mended
-NAME_WORDS = 4  # so many words and no more beside an error are the name of the business
+SHORT = 24  # texts of so many words beside menus and footers are read again with their spelling mended
+NAME_WORDS = 4  # so many words and no more beside an error with a code, path or address are the name of the business
 NGRAM = 3
 
 # Phrases of error pages, in the languages of the corpus.
@@ -54,6 +54,11 @@ hindi nahanap ang pahina | paumanhin tinanggal na ang pahinang hinahanap mo | bu
 subukan muli mamaya | may ginagawang pagsasaayos | wala makit i ang panid | ang / wala na dinhi | wala sa server na ito ang / | balik sa unang panid
 página no encontrada | lo sentimos la página que busca ya no está disponible | error interno del servidor | se produjo un error inesperado | vuelva a intentarlo más tarde
 request id # | incident # | ray # | server at @ port #
+you're being rate limited | you have been rate limited | rate limit exceeded | too many requests | request timeout | request could not be processed | this site can't be reached
+we're having trouble loading this page | the page isn't working | the page you requested could not be found | the requested resource is not available | this content is unavailable
+die seite wurde nicht gefunden | seite nicht gefunden | interner serverfehler | ein fehler ist aufgetreten | zugriff verweigert | bitte aktivieren sie javascript | bitte versuchen sie es später erneut
+page introuvable | cette page n'existe pas | erreur interne du serveur | une erreur est survenue | une erreur s'est produite | accès refusé | veuillez activer javascript | veuillez réessayer plus tard
+acceso denegado | la página no existe | página não encontrada | erro interno do servidor | acesso negado | pagina non trovata | errore interno del server | pagina niet gevonden
 """
 
 # The parts of a demand for scripts. A demand is any of: HEAD VERB THING TAIL; this PLACE FAILS without THING; THING STATE, VERB it TAIL.
@@ -85,20 +90,25 @@ texto de ejemplo | short description of the item | item one item two | item two
 # The words of classical filler.
 LATIN = frozenset(
     "lorem ipsum dolor sit amet consectetur adipiscing elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua felis odio lectus nec "
-    "ligula semper mauris faucibus cursus quam porta arcu nisl vitae blandit justo vestibulum tortor praesent".split()
+    "ligula semper mauris faucibus cursus quam porta arcu nisl vitae blandit justo vestibulum tortor praesent "
+    "enim ad minim veniam quis nostrud exercitation ullamco laboris nisi aliquip ex ea commodo consequat duis aute irure in reprehenderit voluptate velit esse cillum eu fugiat nulla "
+    "pariatur excepteur sint occaecat cupidatat non proident sunt culpa qui officia deserunt mollit anim id est laborum".split()
 )
 LATIN_RUN = 4
 
-_NAME = r"[A-Za-z][A-Za-z_ ]{0,30}"
+_NAME = r"[A-Za-z][\w .\-]*"
+# What follows null and undefined as ordinary words, and what precedes them.
+_TERM = r"\s+(?:and void|pointers?|values?|behaviou?rs?|hypothes[ie]s|sets?|variables?|references?|checks?|terms?|fields?|columns?|results?|strings?|ones?)\b"
+_SPOKEN = re.compile(r"\b(?:is|was|be|been|are|were|not|as|or|and|use|uses|used|the|any|declared|returns?|returned|equals?|remains?|left|with|renders?|rendered)\s+[\"'`]?$", re.I)
 # What opens a slot, and the form it must then have.
 SLOTS = [
-    ("{{", rf"\{{\{{\s*{_NAME}\s*(\|[^{{}}]{{0,20}})?\}}\}}"), ("{%", rf"\{{%\s*{_NAME}\s*%\}}"), ("<%", rf"<%=?\s*{_NAME}\s*%>"), ("<?", rf"<\?=?\s*\$?{_NAME}\s*\?>"),
-    ("<<", rf"<<{_NAME}>>"), ("&lt;", rf"&lt;{_NAME}&gt;"), ("${", rf"\$\{{{_NAME}\}}"), ("$[", rf"\$\[{_NAME}\]"), ("{", r"\{([a-z][a-z_ ]{1,30}|\d)\}"), ("[[", rf"\[\[{_NAME}\]\]"),
-    ("[", r"\[(Your [A-Z][a-z]+( [A-Z][a-z]+)*|[Ii]nsert [a-z ]{2,30}|object Object|(Business Name|Opening Hours|First Name|Address|Service|Email|Phone|Price|Owner|Branch|City|Year|Name))\]"),
-    ("«", r"«(Business Name|Opening Hours|First Name|Address|Service|Email|Phone|Price|Owner|Branch|City|Year|Name)»"), ("@@", r"@@[a-z_]{2,30}@@"),
-    ("%", r"(?<![\w%])%{1,2}[A-Z][A-Z_]{2,30}%{1,2}"), ("#", r"#[A-Z][A-Z_]{2,30}#"), ("__", r"__[A-Z][A-Z_]{1,30}__"), ("|*", r"\|\*[A-Z_]{2,30}\*\|"),
-    ("<", r"<[a-z][a-z ]{1,30} goes here>"), ("(insert", r"\(insert [a-z ]{2,30}\)"), ("YOUR ", r"YOUR [A-Z ]{2,30} HERE\b"), ("TODO:", r"TODO: ?[a-z]{3,}"), ("XXXXX", r"(?<![\w/+])XXXXX+(?![\w/+=])"),
-    ("null", r"(?<![\w.])null(?!\w)"), ("undefined", r"(?<![\w.])undefined(?!\w)"), ("NaN", r"(?<![\w/+])NaN(?![\w/+=])"),
+    ("{{", r"\{\{\{?\s*[#/^&>!$@]?[A-Za-z][^{}\n]*\}\}"), ("{%", r"\{%-?\s*[A-Za-z][^{}\n]*%\}"), ("<%", r"<%[=-]?\s*[@$]?[A-Za-z][^%\n]*%>"), ("<?", rf"<\?=?\s*\$?{_NAME}\s*\?>"),
+    ("<<", rf"<<{_NAME}>>"), ("&lt;", rf"&lt;{_NAME}&gt;"), ("${", rf"\$\{{{_NAME}\}}"), ("$[", rf"\$\[{_NAME}\]"), ("{", r"\{([a-z][A-Za-z0-9_. ]+|[A-Z][A-Z0-9]*_[A-Z0-9_]+|\d)\}"), ("[[", rf"\[\[{_NAME}\]\]"),
+    ("[", r"\[([A-Z][A-Z0-9]*(_[A-Z0-9]+)+|Your [A-Z][a-z]+( [A-Z][a-z]+)*|[Ii]nsert [a-z ]{2,}|object Object|(Business Name|Opening Hours|First Name|Address|Service|Email|Phone|Price|Owner|Branch|City|Year|Name))\]"),
+    ("«", r"«(Business Name|Opening Hours|First Name|Address|Service|Email|Phone|Price|Owner|Branch|City|Year|Name)»"), ("@@", r"@@[a-z_]{2,}@@"),
+    ("%", r"(?<![\w%])%{1,2}[A-Z][A-Z_]{2,}%{1,2}"), ("#", r"#[A-Z][A-Z_]{2,}#"), ("__", r"__[A-Z][A-Z_]+__"), ("|*", r"\|\*[A-Z_]{2,}\*\|"), ("*|", r"\*\|[A-Z][A-Z0-9_:]*\|\*"),
+    ("<", r"<[a-z][a-z ]+ goes here>"), ("(insert", r"\(insert [a-z ]{2,}\)"), ("YOUR ", r"YOUR [A-Z ]{2,} HERE\b"), ("TODO:", r"TODO: ?[a-z]{3,}"), ("XXXXX", r"(?<![\w/+])XXXXX+(?![\w/+=])"),
+    ("null", rf"(?<![\w.])null(?!\w)(?!{_TERM})"), ("undefined", rf"(?<![\w.])undefined(?!\w)(?!{_TERM})"), ("NaN", r"(?<![\w/+])NaN(?![\w/+=])"),
 ]
 _MENTION = re.compile(r"(such as|like|called|e\.g\.|named|tag|spelled|written)\s+[\"'“‘]?$", re.I)
 _WORD = re.compile(r"[^\W_]+(?:'[^\W_]+)*")
@@ -199,7 +209,8 @@ def has_slot(text: str) -> bool:
         start = end - n + 1
         if (start and text[start - 1] == text[start] and text[start] in "{[<%" and n == 1) or not form.match(text, start):
             continue
-        if not _MENTION.search(text[max(0, start - 20) : start]):
+        before = text[max(0, start - 20) : start]
+        if not _MENTION.search(before) and not (text[start] in "nu" and _SPOKEN.search(before)):
             return True
     return False
 
@@ -227,10 +238,14 @@ def _match(w: list[str]) -> tuple[list[str], bool]:
 
 
 def _share(w: list[str], kind: list[str]) -> float:
-    """The share of error text; numbers beside it belong to it, and so do a few words of a name."""
+    """The share of error text; numbers beside it belong to it, and beside a number, path or host so do a few words of a name.
+
+    A short text without any of these ("Not Found Cafe, San Juan") is judged by its words alone.
+    """
     covered = kind.count("error")
     open_ = sum(1 for k, x in zip(kind, w) if not k and x not in "#/@")
-    return covered / (covered + (0 if open_ <= NAME_WORDS else open_)) if covered else 0.0
+    signed = any(x in ("#", "/", "@") for x in w) or covered >= NGRAM
+    return covered / (covered + (0 if signed and open_ <= NAME_WORDS else open_)) if covered else 0.0
 
 
 def judge(text: str | None) -> tuple[bool, bool, float]:
@@ -241,7 +256,7 @@ def judge(text: str | None) -> tuple[bool, bool, float]:
     w = words(_FRAME.sub("\n", text) if _MARK.search(text) else text)
     kind, filler = _match(w)
     share = _share(w, kind)
-    if share < COVERED and len(w) <= SHORT:
+    if share < COVERED and sum(k != "around" for k in kind) <= SHORT:
         mended = respelt(w)
         if mended != w:
             share = max(share, _share(mended, _match(mended)[0]))

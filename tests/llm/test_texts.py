@@ -119,3 +119,21 @@ def test_long_texts_are_read_whole():
     text = "We bake bread every day. " * 20_000 + "Visit us at null."
     assert residue.judge(text)[0]
     assert np.isclose(residue.judge("x" * 500_000)[2], 0)
+
+
+@pytest.mark.parametrize("text", [
+    "Not Found Cafe, San Juan", "Oops! Nail Salon Makati", "Loading dock repair, Cebu", "The value was null and void", "We use null pointers in C and undefined behaviour.",
+    "The lease is null and void after May. Call 0917 123 4567.", "In Python a missing value is not null but None.", "Access control and gate repair, Pasig",
+])
+def test_content_that_reads_like_residue_stays(text):
+    slot, filler, share = residue.judge(text)
+    assert not slot and not filler and share < residue.COVERED
+
+
+@pytest.mark.parametrize("text", [
+    "Hello *|FNAME|*", "Dear {{ user.first_name }}", "Hi [FIRST_NAME]", "Hello {customerName}", "<%= user.name %>", "Excepteur sint occaecat cupidatat non proident", "You're being rate limited.",
+    "Seite nicht gefunden", "Page introuvable", "Welcome to undefined", "Dear null, thanks", "{{#if name}}x{{/if}}", "Une erreur est survenue. Veuillez réessayer plus tard.", "Hi {FIRST_NAME},", "404 Not Found",
+])
+def test_residue_in_other_notations_and_languages(text):
+    slot, filler, share = residue.judge(text)
+    assert slot or filler or share >= residue.COVERED
