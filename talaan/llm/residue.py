@@ -184,6 +184,12 @@ def automata():
     return a, s
 
 
+@lru_cache(maxsize=1)
+def _vocabulary() -> frozenset[str]:
+    """The letters of all words of error phrases, in order, so that letters may be swapped."""
+    return frozenset("".join(sorted(w)) for block in (ERRORS, demands()) for w in re.split(r"[|\s]+", block))
+
+
 @lru_cache(maxsize=1)
 def _spellings() -> tuple[set[str], dict[str, str]]:
     """The words of error phrases, and their forms with one letter left out."""
@@ -245,7 +251,9 @@ def _share(w: list[str], kind: list[str]) -> float:
     covered = kind.count("error")
     open_ = sum(1 for k, x in zip(kind, w) if not k and x not in "#/@")
     signed = any(x in ("#", "/", "@") for x in w) or covered >= NGRAM
-    return covered / (covered + (0 if signed and open_ <= NAME_WORDS else open_)) if covered else 0.0
+    if open_ <= NAME_WORDS:  # what is left of a phrase around a slip belongs to it too
+        open_ = 0 if signed else sum(1 for k, x in zip(kind, w) if not k and x not in "#/@" and "".join(sorted(x)) not in _vocabulary())
+    return covered / (covered + open_) if covered else 0.0
 
 
 def judge(text: str | None) -> tuple[bool, bool, float]:
