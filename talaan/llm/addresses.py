@@ -15,6 +15,9 @@
    suburb and landmarks don't matter.
 
 A record without a building number, street or city is in no pair. Repeated address ids count once.
+
+Joins are by key on both sides (``_apart``). Spark judges a table by its packed size on disk; unpacked, with the forms of each
+spelling, the gazetteer is hundreds of times that, and must not be gathered on the driver to be sent to every task.
 """
 
 from __future__ import annotations
@@ -229,26 +232,31 @@ def readings(records: DataFrame, cities: DataFrame) -> DataFrame:
     return records.select(F.col("address_id").cast("bigint").alias("address_id"), *PARTS).where("address_id is not null").mapInPandas(go, READING)
 
 
+def _apart(df: DataFrame) -> DataFrame:
+    """``df``, to be joined by a shuffle whatever its size is taken for."""
+    return df.hint("merge")
+
+
 def gazetteer(reads: DataFrame) -> DataFrame:
     """``city_id``, ``spelling``, ``street_id``, ``support``: the spellings of each locality and the street they mean."""
     best = W.partitionBy("address_id").orderBy(F.desc("score"), "city_id", "spelling", "number")
     top = reads.withColumn("r_", F.row_number().over(best)).where("r_ = 1 and spelling <> ''")
     own = top.groupBy("city_id", "spelling").agg(F.count("*").alias("n"), F.count_if(F.col("kind") != "").alias("typed"))
     all_ = own.groupBy("spelling").agg(F.sum("n").alias("everywhere"))
-    own = cut(own.join(all_, "spelling"))
+    own = cut(own.join(_apart(all_), "spelling"))
     word = own.where(~F.col("spelling").startswith("#"))
     here = word.select("city_id", "spelling", "n", "everywhere", F.explode(one_deleted(F.col("spelling"))).alias("k"))
     a, b = here.toDF("city_id", "spelling", "n", "ev", "k"), here.toDF("city_id", "s2", "n2", "ev2", "k")
     rarer = (F.col("spelling") != F.col("s2")) & (F.col("ev2") >= RARER * F.col("ev"))
-    near = a.join(b, ["city_id", "k"]).where(rarer & (F.col("n2") >= F.col("n")) & one_edit(F.col("spelling"), F.col("s2")))
+    near = a.join(_apart(b), ["city_id", "k"]).where(rarer & (F.col("n2") >= F.col("n")) & one_edit(F.col("spelling"), F.col("s2")))
     to = near.groupBy("city_id", "spelling").agg(F.max(F.struct("ev2", "n2", "s2"))["s2"].alias("local"))
     # a misspelling that is alone in its locality is held against all localities' spellings
     each = word.select("spelling", "everywhere").distinct().select("spelling", "everywhere", F.explode(one_deleted(F.col("spelling"))).alias("k"))
     c, d = each.toDF("spelling", "ev", "k"), each.toDF("s2", "ev2", "k")
-    far = c.join(d, "k").where(rarer & one_edit(F.col("spelling"), F.col("s2"))).groupBy("spelling").agg(F.max(F.struct("ev2", "s2"))["s2"].alias("other"))
-    to = own.join(to, ["city_id", "spelling"], "left").join(far, "spelling", "left")
+    far = c.join(_apart(d), "k").where(rarer & one_edit(F.col("spelling"), F.col("s2"))).groupBy("spelling").agg(F.max(F.struct("ev2", "s2"))["s2"].alias("other"))
+    to = own.join(_apart(to), ["city_id", "spelling"], "left").join(_apart(far), "spelling", "left")
     to = to.select("city_id", "spelling", F.coalesce("local", "other").alias("street_id")).where("street_id is not null")
-    return own.join(to, ["city_id", "spelling"], "left").select(
+    return own.join(_apart(to), ["city_id", "spelling"], "left").select(
         "city_id", "spelling", F.coalesce("street_id", "spelling").alias("street_id"), "n", "typed", "everywhere",
         (F.log1p("typed") * 0.3 + F.log1p("everywhere") * 0.15).alias("support"),
     )
@@ -259,14 +267,14 @@ def resolved(records: DataFrame, cities: DataFrame) -> DataFrame:
     reads = cut(readings(records, cities))
     names = cut(gazetteer(reads))
     best = W.partitionBy("address_id").orderBy(F.desc("total"), "city_id", "street_id", "number", "kind")
-    scored = reads.join(names.select("city_id", "spelling", "street_id", "support"), ["city_id", "spelling"], "left")
+    scored = reads.join(_apart(names.select("city_id", "spelling", "street_id", "support")), ["city_id", "spelling"], "left")
     scored = scored.withColumn("street_id", F.coalesce("street_id", "spelling")).withColumn("total", F.col("score") + F.coalesce("support", F.lit(0.0)))
     one = cut(scored.withColumn("r_", F.row_number().over(best)).where("r_ = 1").drop("r_", "spelling", "score", "support"))
     typed = one.where("kind <> ''")
     here = typed.groupBy("city_id", "street_id").agg(F.collect_set("kind").alias("kinds")).select("city_id", "street_id", F.when(F.size("kinds") == 1, F.col("kinds")[0]).alias("only_kind"))
     door = typed.groupBy("city_id", "street_id", "number", "ext").agg(F.collect_set("kind").alias("kinds"))
     door = door.select("city_id", "street_id", "number", "ext", F.when(F.size("kinds") == 1, F.col("kinds")[0]).alias("door_kind"))
-    bare = one.where("kind = ''").join(door, ["city_id", "street_id", "number", "ext"], "left").join(here, ["city_id", "street_id"], "left")
+    bare = one.where("kind = ''").join(_apart(door), ["city_id", "street_id", "number", "ext"], "left").join(_apart(here), ["city_id", "street_id"], "left")
     bare = bare.withColumn("kind", F.coalesce("door_kind", "only_kind", F.lit(""))).select(*one.columns)
     return typed.unionByName(bare).withColumnRenamed("total", "score")
 
@@ -275,4 +283,4 @@ def same_addresses(records: DataFrame, cities: DataFrame) -> DataFrame:
     """``address_id_a``, ``address_id_b``: each two records of the same building, smaller id first."""
     r = cut(resolved(records, cities).where("number <> ''").select("address_id", F.xxhash64("city_id", "street_id", "kind", "ext", "number").alias("door")))
     a, b = r.select("door", F.col("address_id").alias("address_id_a")), r.select("door", F.col("address_id").alias("address_id_b"))
-    return a.join(b, "door").where("address_id_a < address_id_b").select("address_id_a", "address_id_b").distinct()
+    return a.join(_apart(b), "door").where("address_id_a < address_id_b").select("address_id_a", "address_id_b").distinct()

@@ -55,6 +55,17 @@ def test_addresses_of_one_building(spark, cities):
     assert addresses.same_addresses(df.limit(0), cities).count() == 0
 
 
+def test_address_joins_send_no_table_to_every_task(spark, cities):
+    """A gazetteer is small on disk and large in memory: its joins are by shuffle even where a threshold would take its file for small."""
+    rows = [(i, f"{i} {w} Ave, San Bayala", *[None] * 6) for i, w in enumerate(("Sihet", "Sihett", "Mikabur", "Ruso", "Nibabiy") * 2)]
+    reads = addresses.cut(addresses.readings(spark.createDataFrame(rows, ADDRESS), cities))
+    found = addresses.same_addresses(spark.createDataFrame(rows, ADDRESS), cities)
+    resolved = addresses.resolved(spark.createDataFrame(rows, ADDRESS), cities)
+    for df in (addresses.gazetteer(reads), resolved, found):
+        plan = df._jdf.queryExecution().executedPlan().toString()
+        assert "SortMergeJoin" in plan and "BroadcastHashJoin" not in plan
+
+
 def test_label_model_finds_accuracies_and_correlations():
     rng = np.random.default_rng(3)
     n = 20_000
