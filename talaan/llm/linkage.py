@@ -203,7 +203,8 @@ def listings_of(raw: DataFrame) -> DataFrame:
 
 def judged(listings: DataFrame) -> DataFrame:
     """All candidate pairs of listings by id, with votes, confidence and decision."""
-    scored, _ = confident(cut(voted(listings, candidates(listings))))
+    pairs = cut(candidates(listings))  # the key rows' exchange is given back before the listings are shuffled to the pairs
+    scored, _ = confident(cut(voted(listings, pairs), after=[pairs]))
     return scored.withColumn("accepted", F.col("confidence") >= ACCEPT)
 
 

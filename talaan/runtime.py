@@ -6,6 +6,8 @@ import atexit
 import tempfile
 import uuid
 import zipfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 from pathlib import Path
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -71,6 +73,23 @@ def _remove(spark: SparkSession, path: str) -> None:
         pass
 
 
+_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def released(spark: SparkSession) -> Iterator[None]:
+    """What is written within gives its shuffle files back as soon as it is written; they would stay until the driver collects its garbage."""
+    was = spark.conf.get(_CLEANUP, None)
+    spark.conf.set(_CLEANUP, "true")
+    try:
+        yield
+    finally:
+        if was is None:
+            spark.conf.unset(_CLEANUP)
+        else:
+            spark.conf.set(_CLEANUP, was)
+
+
 def cut(df: DataFrame, after: list[DataFrame] | None = None) -> DataFrame:
     """Write ``df`` to a table in the shared folder and read it back.
 
@@ -81,7 +100,8 @@ def cut(df: DataFrame, after: list[DataFrame] | None = None) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with released(spark):
+        df.write.parquet(path)
     for old in after or []:
         drop(old)
     out = spark.read.schema(df.schema).parquet(path)
