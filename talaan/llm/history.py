@@ -31,7 +31,7 @@ from talaan.llm import business, linkage
 from talaan.llm.groups import components
 from talaan.llm.meeting import FOLLOWS, LEADS, OLD, OLD_FOLLOWS, key, met
 from talaan.operators.near import touched_cells
-from talaan.runtime import cut
+from talaan.runtime import cut, drop, released
 
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
@@ -175,7 +175,8 @@ class History:
     def _write(self, df: DataFrame, name: str, batch: str, by: str | None = None) -> None:
         """A batch's part of a table; hot zones are split over tasks."""
         w = (df.hint("rebalance", by) if by else df).write
-        (w.partitionBy(by) if by else w).parquet(f"{self.path}/{name}/{batch}")
+        with released(self.spark):
+            (w.partitionBy(by) if by else w).parquet(f"{self.path}/{name}/{batch}")
 
     def _read(self, name: str, batches: list[str]) -> DataFrame:
         parts = [self.spark.read.schema(TABLES[name]).parquet(f"{self.path}/{name}/{b}") for b in batches]
@@ -203,6 +204,7 @@ class History:
             new = new.join(gone, "key", "left_anti")
         made = chunked(new).select((F.lit(len(before)).cast("bigint") * (1 << 48) + F.monotonically_increasing_id()).alias("id"), "key", "at", "zone", "chunks", "others", *business.COMPARED)
         self._write(made, "records", batch, "zone")
+        drop(once)
         new = self._read("records", [batch])
         self._write(new.select("key"), "keys", batch)
         near, far = near_entries(new), far_entries(new)
@@ -215,7 +217,7 @@ class History:
         everything = new
         if before:
             everything = new.unionByName(self._met_records(pairs, before, len(before)))
-        same = cut(repeats(pairs, everything))
+        same = cut(repeats(pairs, everything), after=[pairs])
         return self._settle(same, everything.select("id", "key", "at"), before, batch)
 
     def _few(self, order: DataFrame) -> bool:

@@ -3,7 +3,7 @@ import time
 from pyspark.sql import functions as F
 
 from talaan import runtime
-from talaan.llm import linkage
+from talaan.llm import history, linkage
 
 
 def _shuffle_files(spark):
@@ -31,3 +31,15 @@ def test_candidates_are_written_before_they_are_compared(spark, monkeypatch):
     monkeypatch.setattr(linkage, "voted", lambda listings, pairs: pairs.selectExpr("*", *(f"cast(0 as tinyint) {v}" for v in linkage.VOTES)))
     assert linkage.judged(None).count() == 1
     assert seen == [(["id_a", "id_b"], False), (["id_a", "id_b"], True)]
+
+
+def test_the_history_gives_shuffle_files_back(spark, tmp_path):
+    before = _shuffle_files(spark)
+    rows = spark.range(50_000).select(F.col("id").cast("string").alias("key")).distinct()
+    history.History(spark, str(tmp_path))._write(rows, "keys", "000000")
+    for _ in range(20):
+        if not (left := _shuffle_files(spark) - before):
+            break
+        time.sleep(0.1)
+    assert not left
+    assert spark.read.parquet(f"{tmp_path}/keys/000000").count() == 50_000
