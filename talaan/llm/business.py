@@ -26,20 +26,32 @@ ADMINISTRATIVE = "city of municipality mun bayan lungsod ng brgy barangay bgy si
 _UNIT = r"^\s*(?:(?:unit|suite|ste|rm|room|stall|space|door|g/f|\d+/f|\d+(?:st|nd|rd|th) floor)\.?\s*#?\d*[a-z]?\s*,\s*|(?:unit|suite|rm|stall|space)\.?\s*\d+[a-z]?\s+)+"
 
 
-def _split(c: Column) -> Column:
-    return F.split(F.translate(c, "'’`", ""), "[^a-z0-9]+")
+# What follows runs for every record: patterns are replaced by one pass each, since split() compiles its pattern and a lambda is interpreted each time.
+
+
+def _mapped(c: Column, letters: str, to: str) -> Column:
+    """translate() where there is a letter to translate; it is slow, and few texts have one."""
+    hit = F.contains(c, F.lit(letters[0]))
+    for x in letters[1:]:
+        hit = hit | F.contains(c, F.lit(x))
+    return F.when(hit, F.translate(c, letters, to)).otherwise(c)
+
+
+def _joined(c: Column) -> Column:
+    """Without apostrophes, which separate no words."""
+    return _mapped(c, "'’`", "")
 
 
 def _head(c: Column) -> Column:
     """The text before the first comma, bracket, bar or spaced dash; the whole if nothing is before it."""
-    plain = F.translate(c, "(|–—", ",,--")
+    plain = _mapped(c, "(|–—", ",,--")
     head = F.substring_index(F.substring_index(plain, ",", 1), " - ", 1)
     return F.when(F.trim(head) == "", plain).otherwise(head)
 
 
 def words(name: Column) -> Column:
     """The folded words of the telling part of a name, joined by spaces."""
-    return F.trim(F.array_join(_split(_head(fold(F.coalesce(name, F.lit(""))))), " "))
+    return F.trim(F.regexp_replace(_joined(_head(fold(F.coalesce(name, F.lit(""))))), "[^a-z0-9]+", " "))
 
 
 @dataclass
@@ -83,23 +95,23 @@ def learn(records: DataFrame) -> Lexicon:
     return Lexicon({r["w"]: r["top"]["label"] if pure(r) else None for r in rows})
 
 
-def _hash(c: Column) -> Column:
-    return F.hash(c)
+def _hashes(joined: Column, each: Column) -> Column:
+    """The distinct hashes of ``each``, none if the ``joined`` text is empty."""
+    return F.when(F.coalesce(joined, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(each, lambda x: F.hash(x))))
 
 
-def _digits(part: Column) -> Column:
-    d = F.regexp_replace(part, r"\D", "")
-    d = F.when(F.startswith(d, F.lit("63")), F.substring(d, 3, 40)).otherwise(d)
-    return F.ltrim(d, F.lit("0"))
+def _without(tokens: list[str], letters: str) -> str:
+    """A pattern for whole words among ``tokens``; words are of ``letters``."""
+    return f"(?<![{letters}])(?:{'|'.join(tokens)})(?![{letters}])"
 
 
 def phones(values: Column) -> Column:
     """Hashes of the national digits of all numbers in a list of typed numbers."""
     joined = F.array_join(values, ";")
     plain = F.when(joined.rlike("[lexLEX]"), F.regexp_replace(joined, r"(?i)(loc|ext|local)\.?\s*\d+", "")).otherwise(joined)
-    each = F.filter(F.transform(F.split(plain, r"[;,/|]"), _digits), lambda p: F.length(p) >= 8)
-    none = F.array().cast("array<int>")
-    return F.when(F.coalesce(joined, F.lit("")) == "", none).otherwise(F.array_distinct(F.transform(each, _hash)))
+    digits = F.regexp_replace(F.regexp_replace(plain, "[^0-9;,/|]+", ""), "[,/|]", ";")
+    digits = F.regexp_replace(digits, "(?<![0-9])(?:63)?0*", "")  # country code and trunk 0 at the start of each number
+    return _hashes(joined, F.filter(F.split(digits, ";"), lambda p: F.length(p) >= 8))
 
 
 def host(website: Column) -> Column:
@@ -108,8 +120,8 @@ def host(website: Column) -> Column:
 
 def emails(values: Column) -> Column:
     joined = F.array_join(values, ";")
-    each = F.filter(F.split(F.replace(F.lower(joined), F.lit("mailto:"), F.lit("")), r"[;,|\s]+"), lambda e: F.contains(e, F.lit("@")))
-    return F.when(F.coalesce(joined, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(each, _hash)))
+    plain = F.regexp_replace(F.replace(F.lower(joined), F.lit("mailto:"), F.lit("")), r"[;,|\s]+", ";")
+    return _hashes(joined, F.filter(F.split(plain, ";"), lambda e: F.contains(e, F.lit("@"))))
 
 
 def handle(facebook: Column) -> Column:
@@ -122,13 +134,13 @@ def street_parts(street: Column) -> tuple[Column, Column]:
     number = r"^\s*(?:no\.?|nr\.?|#)?\s*(\d+[a-z]?)\b[.,]?"
     lead = F.regexp_extract(s, number, 1)
     name = F.substring_index(F.regexp_replace(F.when(lead == "", s).otherwise(F.regexp_replace(s, number, "")), _UNIT, ""), ",", 1)
-    kept = F.filter(_split(name), lambda t: (t != "") & ~t.isin(*STREET_TYPES))
-    return F.nullif(lead, F.lit("")), F.nullif(F.array_join(kept, ""), F.lit(""))
+    kept = F.regexp_replace(_joined(name), _without(STREET_TYPES, "a-z0-9") + "|[^a-z0-9]+", "")
+    return F.nullif(lead, F.lit("")), F.nullif(kept, F.lit(""))
 
 
 def city_text(city: Column) -> Column:
-    kept = F.filter(F.split(fold(F.coalesce(city, F.lit(""))), "[^a-z]+"), lambda t: (t != "") & ~t.isin(*ADMINISTRATIVE))
-    return F.nullif(F.array_join(kept, " "), F.lit(""))
+    kept = F.regexp_replace(fold(F.coalesce(city, F.lit(""))), _without(ADMINISTRATIVE, "a-z"), "")
+    return F.nullif(F.trim(F.regexp_replace(kept, "[^a-z]+", " ")), F.lit(""))
 
 
 def core(name: str = "name") -> Column:

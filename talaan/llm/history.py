@@ -31,7 +31,7 @@ from talaan.llm import business, linkage
 from talaan.llm.groups import components
 from talaan.llm.meeting import FOLLOWS, LEADS, OLD, OLD_FOLLOWS, key, met
 from talaan.operators.near import touched_cells
-from talaan.runtime import cut, drop, released
+from talaan.runtime import cut, drop, writing
 
 WINDOW = 3
 MASK = 7  # a boundary where the rolling hash has these bits 0: chunks of 8 bytes and MIN on average
@@ -175,7 +175,7 @@ class History:
     def _write(self, df: DataFrame, name: str, batch: str, by: str | None = None) -> None:
         """A batch's part of a table; hot zones are split over tasks."""
         w = (df.hint("rebalance", by) if by else df).write
-        with released(self.spark):
+        with writing(self.spark):
             (w.partitionBy(by) if by else w).parquet(f"{self.path}/{name}/{batch}")
 
     def _read(self, name: str, batches: list[str]) -> DataFrame:

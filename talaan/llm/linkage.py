@@ -156,16 +156,15 @@ def candidates(listings: DataFrame) -> DataFrame:
 
     A key row leads if the listing is in its own cell, or has no position.
     """
-    slim = listings.select("id", F.col("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "city", "lat", "lon")
-    # arrays are made in a projection of their own: inside explode they would be interpreted
-    touched = slim.where("lat is not null").withColumn("cells", touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M))
-    here = touched.select("*", F.posexplode("cells").alias("at", "cell"))
-
-    def rows(df: DataFrame, leads: Column, keys: list[Column]) -> DataFrame:
-        made = df.select("id", "s", F.when(leads, LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*keys).alias("ks"))
-        return made.select(F.col("id").alias("i"), F.xxhash64("s").alias("s"), "t", F.explode("ks").alias("k")).where("k is not null")
-
-    keyed = rows(here, F.col("at") == 0, _placed_keys()).unionByName(rows(slim, F.col("lat").isNull(), loose_keys()))
+    slim = listings.select("id", F.xxhash64("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "city", "lat", "lon")
+    # arrays are made in a projection of their own: inside explode they would be interpreted. A plain explode would make them twice, once to filter by their size
+    none = F.array(F.lit(None).cast("bigint"))  # the last "cell" of a listing, for its keys without a cell
+    cells = F.when(F.col("lat").isNull(), none).otherwise(F.concat(touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M), none))
+    here = slim.withColumn("cells", cells).select("*", F.posexplode_outer("cells").alias("at", "cell"))
+    leads = F.when(F.col("cell").isNull(), F.col("lat").isNull()).otherwise(F.col("at") == 0)
+    keys = F.when(F.col("cell").isNull(), F.concat(*loose_keys())).otherwise(F.concat(*_placed_keys()))
+    made = here.select("id", "s", F.when(leads, LEADS).otherwise(FOLLOWS).alias("t"), keys.alias("ks"))
+    keyed = made.select(F.col("id").alias("i"), "s", "t", F.explode_outer("ks").alias("k")).where("k is not null")
     return met(keyed, "a.s <> b.s")
 
 

@@ -74,20 +74,25 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+# What is written gives its shuffle files back as soon as it is written; they would stay until the driver collects its garbage.
+# A stage whose generated method is longer than the JVM compiles (8,000 bytes) would be interpreted; Spark then uses split methods.
+_WRITING = {_CLEANUP: "true", "spark.sql.codegen.hugeMethodLimit": "8000"}
 
 
 @contextmanager
-def released(spark: SparkSession) -> Iterator[None]:
-    """What is written within gives its shuffle files back as soon as it is written; they would stay until the driver collects its garbage."""
-    was = spark.conf.get(_CLEANUP, None)
-    spark.conf.set(_CLEANUP, "true")
+def writing(spark: SparkSession) -> Iterator[None]:
+    """The settings under which tables in the shared folder are written."""
+    was = {k: spark.conf.get(k, None) for k in _WRITING}
+    for k, v in _WRITING.items():
+        spark.conf.set(k, v)
     try:
         yield
     finally:
-        if was is None:
-            spark.conf.unset(_CLEANUP)
-        else:
-            spark.conf.set(_CLEANUP, was)
+        for k, v in was.items():
+            if v is None:
+                spark.conf.unset(k)
+            else:
+                spark.conf.set(k, v)
 
 
 def cut(df: DataFrame, after: list[DataFrame] | None = None) -> DataFrame:
@@ -100,7 +105,7 @@ def cut(df: DataFrame, after: list[DataFrame] | None = None) -> DataFrame:
     spark = df.sparkSession
     ship(spark)
     path = f"{scratch(spark)}/{uuid.uuid4().hex}"
-    with released(spark):
+    with writing(spark):
         df.write.parquet(path)
     for old in after or []:
         drop(old)

@@ -141,6 +141,30 @@ def test_listings_at_one_place_meet_whatever_hides_the_ends_of_their_names(spark
     assert {(f"dir{i}", f"osm{i}") for i in range(len(names))} <= {tuple(r) for r in linkage.same_business(df).collect()}
 
 
+def test_keys_are_made_once(spark):
+    """A plain explode has Spark filter by the size of what it explodes, for which all keys would be made a second time."""
+    rows = [listing(1, "osm", "o1", "Bamow Nirit Gym", "0917 111 1111"), listing(2, "dir", "d1", "Bamow Nirit Gym", "0917 111 1111", lat=None, lon=None)]
+    listings = business.named(business.from_raw(spark.createDataFrame(rows, RAW)).withColumn("id", F.col("record_id")), business.Lexicon({"gym": "gym"}))
+    pairs = linkage.candidates(listings)
+    plan = pairs._jdf.queryExecution().optimizedPlan().toString()
+    assert not [x for x in plan.splitlines() if "Filter " in x and "size(" in x]
+    assert {tuple(r) for r in pairs.collect()} == {(1, 2)}
+
+
+def test_typed_contacts_are_read_whole(spark):
+    typed = ["0917 123-4567/ +63 (917) 1234568 ext 12", "63" + "1" * 40 + "2", "63" + "1" * 40 + "3", "0630917", None]
+    wanted = ["9171234567", "9171234568", "1" * 40 + "2", "1" * 40 + "3"]
+    df = spark.createDataFrame([(typed, wanted)], "v array<string>, w array<string>")
+    r = df.select(business.phones(F.col("v")).alias("got"), F.transform("w", lambda x: F.hash(x)).alias("want")).first()
+    assert r.got == r.want
+    texts = [("City of San  Bayala, Brgy. of Ruso", "san bayala ruso"), ("of " * 5_000, None), (None, None), ("Lungsod-ng-San Bayala", "san bayala")]
+    df = spark.createDataFrame(texts, "t string, want string")
+    assert [tuple(r) for r in df.select(business.city_text(F.col("t")), "want").collect()] == [(w, w) for _, w in texts]
+    streets = [("12b St. John's Street Ext.", "12b", "johns"), ("No. 5 Avenue", "5", None), ("Stall 3, 11th Streets", None, "11thstreets")]
+    df = spark.createDataFrame(streets, "t string, n string, s string")
+    assert [tuple(r) for r in df.select(*business.street_parts(F.col("t"))).collect()] == [(n, s) for _, n, s in streets]
+
+
 def test_listings_without_number_meet_on_the_street(spark):
     rows = [
         listing(1, "osm", "o1", "Bamow Nirit Motor Shop", None, street="Towigoy Ave", num="12", city="San Bayala"), listing(2, "dir", "d1", "Bamow Nirit Motor Shop", None, street="Towigoy Ave", num=None, city=None, lat=None, lon=None),

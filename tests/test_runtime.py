@@ -43,3 +43,14 @@ def test_the_history_gives_shuffle_files_back(spark, tmp_path):
         time.sleep(0.1)
     assert not left
     assert spark.read.parquet(f"{tmp_path}/keys/000000").count() == 50_000
+
+
+def test_long_generated_methods_are_split_where_tables_are_written(spark, tmp_path):
+    """The JVM doesn't compile methods over 8,000 bytes; Spark's own limit is eight times that."""
+    def limit():
+        return spark.conf.get("spark.sql.codegen.hugeMethodLimit")
+
+    before = limit()
+    with runtime.writing(spark):
+        assert int(limit()) <= 8_000
+    assert limit() == before
