@@ -84,7 +84,8 @@ def learn(records: DataFrame) -> Lexicon:
     whatever the size of the table.
     """
     total = records.count()
-    each = records.select("label", F.explode(F.array_distinct(F.split("words", " "))).alias("w")).where("w <> ''")
+    own = records.select("label", F.array_distinct(F.split("words", " ")).alias("ws"))
+    each = own.select("label", F.explode_outer("ws").alias("w")).where("w <> ''")  # a plain explode would make the words twice, once to filter by their number
     counts = each.groupBy("w", "label").agg(F.count("*").alias("n"))
     known = F.col("label").isNotNull()
     by_word = counts.groupBy("w").agg(

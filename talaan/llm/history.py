@@ -25,6 +25,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from talaan.llm import business, linkage
@@ -134,16 +135,17 @@ def _zone(lat: Column, lon: Column) -> Column:
 
 
 def near_entries(records: DataFrame) -> DataFrame:
-    """``k``, ``i``, ``t``: the telling chunks of leads with positions by cell; they lead in their own, follow in those they touch."""
+    """``k``, ``i``, ``t``: the telling chunks of leads with positions by cell; they lead in their own (``at`` 0), follow in those they touch."""
     r = records.where("lat is not null").withColumn("cells", touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M))
-    at = r.select("id", "zone", business.kind_code(), "chunks", F.posexplode("cells").alias("at", "cell")).select("id", "zone", "q", "at", "cell", F.explode("chunks").alias("c"))
-    return at.select(key("n", F.col("cell"), F.col("c")).alias("k"), F.col("id").alias("i"), "q", F.when(F.col("at") == 0, LEADS).otherwise(FOLLOWS).alias("t"), "zone")
+    cells = r.select("id", "zone", business.kind_code(), "chunks", F.posexplode_outer("cells").alias("at", "cell"))  # a plain explode would make the cells twice
+    each = cells.select("id", "zone", "q", "at", "cell", F.explode_outer("chunks").alias("c")).where("c is not null")
+    return each.select(key("n", F.col("cell"), F.col("c")).alias("k"), F.col("id").alias("i"), "q", F.when(F.col("at") == 0, LEADS).otherwise(FOLLOWS).alias("t"), "at", "zone")
 
 
 def far_entries(records: DataFrame) -> DataFrame:
     """``k``, ``i``, ``t``: pairs of chunks, for look-ups by and of leads without position; those lead."""
     r = records.withColumn("core", business.core()).select("id", business.kind_code(), F.when(F.col("lat").isNull(), LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*linkage.loose_keys()).alias("ks"))
-    return r.select("id", "q", "t", F.explode("ks").alias("k")).where("k is not null").select("k", F.col("id").alias("i"), "q", "t")
+    return r.select("id", "q", "t", F.explode_outer("ks").alias("k")).where("k is not null").select("k", F.col("id").alias("i"), "q", "t")
 
 
 def repeats(pairs: DataFrame, records: DataFrame) -> DataFrame:
@@ -195,7 +197,10 @@ class History:
         before = self._batches()
         batch = f"{len(before):06d}"
         parsed = business.from_leads(leads).join(F.broadcast(order), "run", "left") if self._few(order) else business.from_leads(leads).join(order, "run", "left")
-        once = cut(parsed.withColumn("at", F.coalesce("at", F.lit(2**62))).dropDuplicates(["key"]))
+        one = F.row_number().over(W.partitionBy("key").orderBy("at"))  # limits each task's rows before the shuffle
+        once = parsed.withColumn("at", F.coalesce("at", F.lit(2**62))).withColumn("n_", one).where("n_ = 1").drop("n_")
+        if before or self.lexicon is None:  # else it is read once only
+            once = cut(once)
         if self.lexicon is None:
             self.lexicon = self._kept_lexicon(once)
         new = business.named(once, self.lexicon).withColumn("zone", _zone(F.col("lat"), F.col("lon")))
@@ -208,9 +213,11 @@ class History:
         new = self._read("records", [batch])
         self._write(new.select("key"), "keys", batch)
         near, far = near_entries(new), far_entries(new)
-        self._write(near.where(F.col("t") == LEADS).drop("t"), "near", batch, "zone")
+        self._write(near.where(F.col("at") == 0).drop("at", "t"), "near", batch, "zone")
         self._write(far.withColumn("slot", F.pmod("k", F.lit(SLOTS)).cast("int")), "far", batch, "slot")
-        rows = near.select("k", "i", "q", "t").unionByName(far)
+        # what is in the tables is read from them; only the copies in the other cells that a lead touches are made again
+        rows = self._read("near", [batch]).select("k", "i", "q", F.lit(LEADS).alias("t")).unionByName(near.where(F.col("at") > 0).select("k", "i", "q", "t"))
+        rows = rows.unionByName(self._read("far", [batch]).select("k", "i", "q", "t"))
         if before:
             rows = rows.unionByName(self._old_near(new, before)).unionByName(self._old_far(before))
         pairs = cut(met(rows, business.SAME_KIND))

@@ -96,12 +96,15 @@ def touched_cells(lat: Column, lon: Column, radius_m: float, cell_m: float) -> C
     rows = [F.floor((y + 90 - r) / height), F.floor((y + 90 + r) / height)]
     own = grid(F.floor((y + 90) / height), F.lit(0.0))
     few = F.array_distinct(F.array(own, *(grid(row, s * half) for row in rows for s in (-1, 1))))
+    n = F.greatest(F.lit(1), F.ceil(F.lit(360.0) / _row_width(F.floor((y + 90) / height) - off, height, r)))
+    at = (x + 180) / 360 * n
+    inside = (rows[0] == rows[1]) & (F.floor(at - half * n) == F.floor(at + half * n))  # most points are far from their cell's sides
     top = F.when(y > 0, F.floor((F.lit(180.0) - r) / height)).otherwise(F.lit(0))
     ring = F.flatten(F.transform(
         F.sequence(F.greatest(rows[0] - 1, F.lit(0)), F.greatest(rows[1] + 1, top)),
         lambda row: F.transform(F.sequence(F.lit(0), F.greatest(F.lit(1), F.ceil(F.lit(360.0) / _row_width(row - off, height, r))) - 1), lambda c: F.xxhash64(row.cast("long"), c.cast("long"))),
     ))
-    return F.when(polar, F.array_distinct(F.concat(F.array(own), ring))).otherwise(few)
+    return F.when(polar, F.array_distinct(F.concat(F.array(own), ring))).when(inside, F.array(own)).otherwise(few)
 
 
 def near_pairs(points: DataFrame, key: str, lat: str, lon: str, radius_m: float) -> DataFrame:

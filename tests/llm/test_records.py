@@ -247,6 +247,18 @@ def test_chunks_of_many_texts_are_those_of_each():
     assert set(history.chunks(text)) & set(history.chunks(text.replace(words[2], "zzzzzzzz")))  # a changed line leaves the others' chunks
 
 
+def test_entries_are_made_once(spark, tmp_path, monkeypatch):
+    """Leads are looked up by the entries in the tables that were just written; a plain explode would also make them twice, to filter by their number."""
+    rows = batch(random.Random(3), 20, ["run0"])
+    runs = spark.createDataFrame([("run0", datetime(2026, 1, 1))], "run_id string, created_at timestamp")
+    plans = []
+    monkeypatch.setattr(history, "met", lambda r, also: (plans.append(r._jdf.queryExecution().optimizedPlan().toString()), linkage.met(r, also))[1])
+    past = history.History(spark, str(tmp_path / "h"), business.Lexicon({"bakery": "bakery"}))
+    assert past.add(spark.createDataFrame(rows, LEADS), runs).count() > 0
+    assert not [x for x in plans[0].splitlines() if "Filter " in x and "size(" in x and "chunks" not in x]
+    assert ",slot#" in plans[0]  # the pairs of chunks come from their table
+
+
 def test_a_batch_reads_only_what_it_meets(spark, tmp_path):
     def lead(i, name, lat, run, city="San Bayala"):
         return (f"L-{i}", name, f"{i} Taras St, {city}", city, city.lower(), "taras street", lat, 120.0, None, [], None, [], None, None, None, run)
