@@ -24,6 +24,7 @@ PURE = 0.9  # a common word tells the kind if this share of its labelled records
 STREET_TYPES = "st str street ave av avenue blvd boul boulevard rd road ln lane dr drive calle kalye ext extn extension".split()
 ADMINISTRATIVE = "city of municipality mun bayan lungsod ng brgy barangay bgy sitio poblacion near area proper capital ph philippines c o".split()
 _UNIT = r"^\s*(?:(?:unit|suite|ste|rm|room|stall|space|door|g/f|\d+/f|\d+(?:st|nd|rd|th) floor)\.?\s*#?\d*[a-z]?\s*,\s*|(?:unit|suite|rm|stall|space)\.?\s*\d+[a-z]?\s+)+"
+_NUMBER = r"^\s*(?:no\.?|nr\.?|#)?\s*(\d+[a-z]?)\b[.,]?"
 
 
 # What follows runs for every record: patterns are replaced by one pass each, since split() compiles its pattern and a lambda is interpreted each time.
@@ -42,16 +43,23 @@ def _joined(c: Column) -> Column:
     return _mapped(c, "'’`", "")
 
 
-def _head(c: Column) -> Column:
-    """The text before the first comma, bracket, bar or spaced dash; the whole if nothing is before it."""
-    plain = _mapped(c, "(|–—", ",,--")
+def _plain(folded: Column) -> Column:
+    """A folded name in which commas and hyphens stand for brackets, bars and dashes."""
+    return _mapped(folded, "(|–—", ",,--")
+
+
+def _head(plain: Column) -> Column:
+    """The text before the first comma or spaced hyphen; the whole if nothing is before it."""
     head = F.substring_index(F.substring_index(plain, ",", 1), " - ", 1)
     return F.when(F.trim(head) == "", plain).otherwise(head)
 
 
-def words(name: Column) -> Column:
-    """The folded words of the telling part of a name, joined by spaces."""
-    return F.trim(F.regexp_replace(_joined(_head(fold(F.coalesce(name, F.lit(""))))), "[^a-z0-9]+", " "))
+def _words(head: Column) -> Column:
+    return F.trim(F.regexp_replace(_joined(head), "[^a-z0-9]+", " "))
+
+
+def _folded(c: Column) -> Column:
+    return fold(F.coalesce(c, F.lit("")))
 
 
 @dataclass
@@ -129,18 +137,33 @@ def handle(facebook: Column) -> Column:
     return F.nullif(F.regexp_replace(F.lower(F.trim(facebook)), r"^(?:https?://)?(?:www\.|m\.)?facebook\.com/|^@|/+$", ""), F.lit(""))
 
 
+def _line(folded: Column) -> Column:
+    """A folded street line without its unit."""
+    return F.regexp_replace(folded, _UNIT, "")
+
+
+def _lead(line: Column) -> Column:
+    return F.regexp_extract(line, _NUMBER, 1)
+
+
+def _name(line: Column, lead: Column) -> Column:
+    """The street line after its number, up to a comma."""
+    return F.substring_index(F.regexp_replace(F.when(lead == "", line).otherwise(F.regexp_replace(line, _NUMBER, "")), _UNIT, ""), ",", 1)
+
+
+def _kept(name: Column) -> Column:
+    return F.nullif(F.regexp_replace(_joined(name), _without(STREET_TYPES, "a-z0-9") + "|[^a-z0-9]+", ""), F.lit(""))
+
+
 def street_parts(street: Column) -> tuple[Column, Column]:
     """Number and name of a street line."""
-    s = F.regexp_replace(fold(F.coalesce(street, F.lit(""))), _UNIT, "")
-    number = r"^\s*(?:no\.?|nr\.?|#)?\s*(\d+[a-z]?)\b[.,]?"
-    lead = F.regexp_extract(s, number, 1)
-    name = F.substring_index(F.regexp_replace(F.when(lead == "", s).otherwise(F.regexp_replace(s, number, "")), _UNIT, ""), ",", 1)
-    kept = F.regexp_replace(_joined(name), _without(STREET_TYPES, "a-z0-9") + "|[^a-z0-9]+", "")
-    return F.nullif(lead, F.lit("")), F.nullif(kept, F.lit(""))
+    line = _line(_folded(street))
+    lead = _lead(line)
+    return F.nullif(lead, F.lit("")), _kept(_name(line, lead))
 
 
 def city_text(city: Column) -> Column:
-    kept = F.regexp_replace(fold(F.coalesce(city, F.lit(""))), _without(ADMINISTRATIVE, "a-z"), "")
+    kept = F.regexp_replace(_folded(city), _without(ADMINISTRATIVE, "a-z"), "")
     return F.nullif(F.trim(F.regexp_replace(kept, "[^a-z]+", " ")), F.lit(""))
 
 
@@ -158,35 +181,53 @@ def _finish(df: DataFrame) -> DataFrame:
     return df.withColumn("lat", F.when(ok, F.col("lat"))).withColumn("lon", F.when(ok, F.col("lon")))
 
 
+def _parsed(rows: DataFrame) -> DataFrame:
+    """``words``, ``num`` and ``street`` in place of the texts ``name_``, ``number_`` and ``street_``.
+
+    What a step reads more than once is a column of the step before. Written into one expression it would be copied each time, for a name
+    90 times with all the letters that folding knows: a plan of megabytes, of which the driver holds many.
+    """
+    name, number, street = F.col("name_"), F.col("number_"), F.col("street_")
+    steps = [
+        {"name_": _folded(name), "number_": _line(_folded(number)), "street_": _line(_folded(street))},
+        {"name_": _plain(name), "lead_": _lead(street)},
+        {"name_": _head(name), "street_": _name(street, F.col("lead_"))},
+        {"words": _words(name), "num": F.nullif(_lead(number), F.lit("")), "street": _kept(street)},
+    ]
+    for s in steps:
+        rows = rows.withColumns(s)
+    return rows.drop("name_", "number_", "street_", "lead_")
+
+
 def from_raw(raw: DataFrame) -> DataFrame:
     """Listings; rows without source_ref or name aren't listings. A label is read from the payload's category if there is one."""
-    number, street = street_parts(F.col("street"))
     label = F.get_json_object("payload", "$.category") if "payload" in raw.columns else F.lit(None).cast("string")
     house = F.regexp_extract(F.lower("housenumber"), r"(\d+[a-z]?)", 1)
-    return _finish(
+    x = _parsed(
         raw.where("source_ref is not null and trim(name) <> ''").select(
-            F.col("source_ref").alias("key"), F.coalesce("source", F.lit("")).alias("src"), "record_id", words(F.col("name")).alias("words"), label.alias("label"),
+            F.col("source_ref").alias("key"), F.coalesce("source", F.lit("")).alias("src"), "record_id", F.col("name").alias("name_"), label.alias("label"),
             phones(F.col("phones_raw")).alias("phones"), _hashed(host(F.col("website_raw"))).alias("web"), emails(F.col("emails_raw")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
-            F.coalesce(F.nullif(house, F.lit("")), number).alias("num"), street.alias("street"), city_text(F.col("city")).alias("city"),
+            F.nullif(house, F.lit("")).alias("house"), F.col("street").alias("number_"), F.col("street").alias("street_"), city_text(F.col("city")).alias("city"),
             F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
         )
     )
+    return _finish(x.withColumn("num", F.coalesce("house", "num")).select("key", "src", "record_id", "words", "label", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon"))
 
 
 def from_leads(leads: DataFrame) -> DataFrame:
     """Leads by ``key``, the lead_id; a repeated lead has repeated rows. ``address`` gives the number, ``street_key`` the street."""
-    number, _ = street_parts(F.col("address"))
-    _, street = street_parts(F.col("street_key"))
     label = F.get("categories", F.lit(0)) if "categories" in leads.columns else F.lit(None).cast("string")
     none = F.array().cast("array<string>")
     more = lambda one, rest: F.concat(F.array(F.coalesce(F.col(one), F.lit(""))), F.coalesce(F.col(rest), none))
-    x = leads.where("lead_id is not null").select(
-        F.col("lead_id").alias("key"), words(F.col("business_name")).alias("words"), label.alias("label"), phones(more("phone", "phones_extra")).alias("phones"),
-        _hashed(F.coalesce(F.lower("domain"), host(F.col("website")))).alias("web"), emails(more("email", "emails_extra")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
-        number.alias("num"), street.alias("street"), city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"),
-        F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
+    x = _parsed(
+        leads.where("lead_id is not null").select(
+            F.col("lead_id").alias("key"), F.col("business_name").alias("name_"), label.alias("label"), phones(more("phone", "phones_extra")).alias("phones"),
+            _hashed(F.coalesce(F.lower("domain"), host(F.col("website")))).alias("web"), emails(more("email", "emails_extra")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
+            F.col("address").alias("number_"), F.col("street_key").alias("street_"), city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"),
+            F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
+        )
     )
-    return _finish(x)
+    return _finish(x.select("key", "words", "label", "phones", "web", "mails", "fb", "num", "street", "city", "lat", "lon", "run"))
 
 
 SAME_KIND = "(a.q = b.q or a.q = 0 or b.q = 0)"  # over two rows with kind_code()

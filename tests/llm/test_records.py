@@ -5,6 +5,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from talaan.functions import text
 from talaan.llm import addresses, business, canon, history, linkage
 
 CITIES = "city_id string, city_name string, city_key string, province string, former_name string, postcode string"
@@ -191,6 +192,21 @@ def batch(rng, n, runs):
     return out
 
 
+def test_plans_of_parsed_texts_stay_small(spark, tmp_path):
+    """The driver holds many copies of a plan: what a step reads more than once is made once, and the letters that folding knows are in it once for each text."""
+    listings = [listing(1, "osm", "o1", "Ñalén’s Lihu – Main (Gym)", None, street="Unit 5, No. 12b St. John's Street", num=None), listing(2, "dir", "d1", "(Lihu) Gym", None, street=None, num="7")]
+    leads = [("L-1", "Ñalén’s Lihu – Main (Gym)", "No. 12b Taras St", None, None, "Unit 5, 3 St. John's Street", *[None] * 10), ("L-2", None, *[None] * 14)]
+    spark.createDataFrame(listings, RAW).coalesce(1).write.parquet(f"{tmp_path}/raw")
+    spark.createDataFrame(leads, LEADS).coalesce(1).write.parquet(f"{tmp_path}/leads")
+    raw, parsed = business.from_raw(spark.read.parquet(f"{tmp_path}/raw")), business.from_leads(spark.read.parquet(f"{tmp_path}/leads"))
+    for df in (raw, parsed):
+        plan = df._jdf.queryExecution().optimizedPlan().toString()
+        assert plan.count(text.ACCENTED) <= 4
+        assert len(plan) < 60_000
+    assert {tuple(r) for r in raw.select("key", "words", "num", "street").collect()} == {("o1", "nalens lihu", "12b", "johns"), ("d1", "lihu gym", "7", None)}
+    assert {tuple(r) for r in parsed.select("key", "words", "num", "street").collect()} == {("L-1", "nalens lihu", "12b", "johns"), ("L-2", "", None, None)}
+
+
 def test_batches_equal_the_whole(spark, tmp_path):
     rng, words = random.Random(5), business.Lexicon({"bakery": "bakery"})
     names = [f"run{i}" for i in range(6)]
