@@ -8,6 +8,8 @@ agreement of two hashes is one vote among many.
 
 from __future__ import annotations
 
+import re
+from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -62,6 +64,14 @@ def _folded(c: Column) -> Column:
     return fold(F.coalesce(c, F.lit("")))
 
 
+def _either(tokens: list[str]) -> str:
+    """A pattern for one of ``tokens``, by first letter. Whoever uses it bounds the word, so their order says nothing."""
+    rest = defaultdict(list)
+    for t in tokens:
+        rest[t[:1]].append(re.escape(t[1:]))
+    return "|".join(f"{re.escape(c)}(?:{'|'.join(r)})" for c, r in rest.items())
+
+
 @dataclass
 class Lexicon:
     """Common words, each with the kind of business it tells, or None."""
@@ -72,8 +82,8 @@ class Lexicon:
         """The words that aren't common; all words if none is left."""
         if not self.kinds:
             return joined
-        kept = F.filter(F.split(joined, " "), lambda t: ~t.isin(*sorted(self.kinds)))
-        return F.when(F.size(kept) > 0, F.array_join(kept, " ")).otherwise(joined)
+        kept = F.ltrim(F.regexp_replace(joined, f"(?:^| )(?:{_either(sorted(self.kinds))})(?![^ ])", ""))
+        return F.coalesce(F.nullif(kept, F.lit("")), joined)
 
     def kind(self, joined: Column, label: Column) -> Column:
         """The kind a record is labelled with, else the one that its first telling word tells."""
@@ -81,8 +91,7 @@ class Lexicon:
         if not known:
             return label
         of = F.create_map(*(F.lit(x) for w in sorted(known) for x in (w, known[w])))
-        hit = F.filter(F.split(joined, " "), lambda t: t.isin(*sorted(known)))
-        return F.coalesce(label, F.try_element_at(of, F.get(hit, F.lit(0))))
+        return F.coalesce(label, F.try_element_at(of, F.regexp_extract(joined, f"(?:^| )({_either(sorted(known))})(?![^ ])", 1)))
 
 
 def learn(records: DataFrame) -> Lexicon:
@@ -104,23 +113,43 @@ def learn(records: DataFrame) -> Lexicon:
     return Lexicon({r["w"]: r["top"]["label"] if pure(r) else None for r in rows})
 
 
-def _hashes(joined: Column, each: Column) -> Column:
-    """The distinct hashes of ``each``, none if the ``joined`` text is empty."""
-    return F.when(F.coalesce(joined, F.lit("")) == "", F.array().cast("array<int>")).otherwise(F.array_distinct(F.transform(each, lambda x: F.hash(x))))
+def _hashes(text: Column, parts: Column, one: Column, fits) -> Column:
+    """The distinct hashes of what fits: of ``parts``, between semicolons, if ``text`` has a semicolon; else, as for most, of ``one``, without lambdas."""
+    none = F.array().cast("array<int>")
+    several = F.array_distinct(F.transform(F.filter(F.split(parts, ";"), fits), lambda x: F.hash(x)))
+    return F.when(F.contains(text, F.lit(";")), several).when(fits(one), F.array(F.hash(one))).otherwise(none)
 
 
 def _without(tokens: list[str], letters: str) -> str:
     """A pattern for whole words among ``tokens``; words are of ``letters``."""
-    return f"(?<![{letters}])(?:{'|'.join(tokens)})(?![{letters}])"
+    return f"(?<![{letters}])(?:{_either(tokens)})(?![{letters}])"
 
 
-def phones(values: Column) -> Column:
-    """Hashes of the national digits of all numbers in a list of typed numbers."""
+def _digits(values: Column) -> Column:
+    """Typed numbers without extensions as digits, semicolons between them."""
     joined = F.array_join(values, ";")
     plain = F.when(joined.rlike("[lexLEX]"), F.regexp_replace(joined, r"(?i)(loc|ext|local)\.?\s*\d+", "")).otherwise(joined)
-    digits = F.regexp_replace(F.regexp_replace(plain, "[^0-9;,/|]+", ""), "[,/|]", ";")
-    digits = F.regexp_replace(digits, "(?<![0-9])(?:63)?0*", "")  # country code and trunk 0 at the start of each number
-    return _hashes(joined, F.filter(F.split(digits, ";"), lambda p: F.length(p) >= 8))
+    return _mapped(F.regexp_replace(plain, "[^0-9;,/|]+", ""), ",/|", ";;;")
+
+
+def _phone_hashes(digits: Column) -> Column:
+    """Country code and trunk 0 go at the start of each number."""
+    one = F.ltrim(F.when(F.startswith(digits, F.lit("63")), F.substring(digits, 3, 1 << 30)).otherwise(digits), F.lit("0"))
+    return _hashes(digits, F.regexp_replace(digits, "(?<![0-9])(?:63)?0*", ""), one, lambda p: F.length(p) >= 8)
+
+
+def _addresses(values: Column) -> Column:
+    """Typed e-mails in lower case, semicolons between them."""
+    return F.regexp_replace(F.replace(F.lower(F.array_join(values, ";")), F.lit("mailto:"), F.lit("")), r"[;,|\s]+", ";")
+
+
+def _mail_hashes(addresses: Column) -> Column:
+    return _hashes(addresses, addresses, addresses, lambda e: F.contains(e, F.lit("@")))
+
+
+def phones(values: Column) -> Column:
+    """Hashes of the national digits of all numbers in a list of typed numbers."""
+    return _phone_hashes(_digits(values))
 
 
 def host(website: Column) -> Column:
@@ -128,9 +157,7 @@ def host(website: Column) -> Column:
 
 
 def emails(values: Column) -> Column:
-    joined = F.array_join(values, ";")
-    plain = F.regexp_replace(F.replace(F.lower(joined), F.lit("mailto:"), F.lit("")), r"[;,|\s]+", ";")
-    return _hashes(joined, F.filter(F.split(plain, ";"), lambda e: F.contains(e, F.lit("@"))))
+    return _mail_hashes(_addresses(values))
 
 
 def handle(facebook: Column) -> Column:
@@ -148,7 +175,7 @@ def _lead(line: Column) -> Column:
 
 def _name(line: Column, lead: Column) -> Column:
     """The street line after its number, up to a comma."""
-    return F.substring_index(F.regexp_replace(F.when(lead == "", line).otherwise(F.regexp_replace(line, _NUMBER, "")), _UNIT, ""), ",", 1)
+    return F.substring_index(F.when(lead == "", line).otherwise(F.regexp_replace(F.regexp_replace(line, _NUMBER, ""), _UNIT, "")), ",", 1)
 
 
 def _kept(name: Column) -> Column:
@@ -182,17 +209,18 @@ def _finish(df: DataFrame) -> DataFrame:
 
 
 def _parsed(rows: DataFrame) -> DataFrame:
-    """``words``, ``num`` and ``street`` in place of the texts ``name_``, ``number_`` and ``street_``.
+    """``words``, ``num`` and ``street`` in place of the texts ``name_``, ``number_`` and ``street_``; without ``number_`` the street has the number.
 
     What a step reads more than once is a column of the step before. Written into one expression it would be copied each time, for a name
     90 times with all the letters that folding knows: a plan of megabytes, of which the driver holds many.
     """
     name, number, street = F.col("name_"), F.col("number_"), F.col("street_")
+    own = "number_" in rows.columns
     steps = [
-        {"name_": _folded(name), "number_": _line(_folded(number)), "street_": _line(_folded(street))},
+        {"name_": _folded(name), "street_": _line(_folded(street))} | ({"number_": _line(_folded(number))} if own else {}),
         {"name_": _plain(name), "lead_": _lead(street)},
         {"name_": _head(name), "street_": _name(street, F.col("lead_"))},
-        {"words": _words(name), "num": F.nullif(_lead(number), F.lit("")), "street": _kept(street)},
+        {"words": _words(name), "num": F.nullif(_lead(number) if own else F.col("lead_"), F.lit("")), "street": _kept(street)},
     ]
     for s in steps:
         rows = rows.withColumns(s)
@@ -201,13 +229,16 @@ def _parsed(rows: DataFrame) -> DataFrame:
 
 def from_raw(raw: DataFrame) -> DataFrame:
     """Listings; rows without source_ref or name aren't listings. A label is read from the payload's category if there is one."""
-    label = F.get_json_object("payload", "$.category") if "payload" in raw.columns else F.lit(None).cast("string")
+    label = F.lit(None).cast("string")
+    if "payload" in raw.columns:  # without the word, or an escape that may hide it, there is nothing to parse for
+        may = F.contains("payload", F.lit("category")) | F.contains("payload", F.lit("\\"))
+        label = F.when(may, F.get_json_object("payload", "$.category"))
     house = F.regexp_extract(F.lower("housenumber"), r"(\d+[a-z]?)", 1)
     x = _parsed(
-        raw.where("source_ref is not null and trim(name) <> ''").select(
+        raw.where("source_ref is not null and trim(name) <> ''").withColumns({"phones_": _digits(F.col("phones_raw")), "mails_": _addresses(F.col("emails_raw"))}).select(
             F.col("source_ref").alias("key"), F.coalesce("source", F.lit("")).alias("src"), "record_id", F.col("name").alias("name_"), label.alias("label"),
-            phones(F.col("phones_raw")).alias("phones"), _hashed(host(F.col("website_raw"))).alias("web"), emails(F.col("emails_raw")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
-            F.nullif(house, F.lit("")).alias("house"), F.col("street").alias("number_"), F.col("street").alias("street_"), city_text(F.col("city")).alias("city"),
+            _phone_hashes(F.col("phones_")).alias("phones"), _hashed(host(F.col("website_raw"))).alias("web"), _mail_hashes(F.col("mails_")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
+            F.nullif(house, F.lit("")).alias("house"), F.col("street").alias("street_"), city_text(F.col("city")).alias("city"),
             F.col("lat").cast("double").alias("lat"), F.col("lon").cast("double").alias("lon"),
         )
     )
@@ -220,9 +251,9 @@ def from_leads(leads: DataFrame) -> DataFrame:
     none = F.array().cast("array<string>")
     more = lambda one, rest: F.concat(F.array(F.coalesce(F.col(one), F.lit(""))), F.coalesce(F.col(rest), none))
     x = _parsed(
-        leads.where("lead_id is not null").select(
-            F.col("lead_id").alias("key"), F.col("business_name").alias("name_"), label.alias("label"), phones(more("phone", "phones_extra")).alias("phones"),
-            _hashed(F.coalesce(F.lower("domain"), host(F.col("website")))).alias("web"), emails(more("email", "emails_extra")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
+        leads.where("lead_id is not null").withColumns({"phones_": _digits(more("phone", "phones_extra")), "mails_": _addresses(more("email", "emails_extra"))}).select(
+            F.col("lead_id").alias("key"), F.col("business_name").alias("name_"), label.alias("label"), _phone_hashes(F.col("phones_")).alias("phones"),
+            _hashed(F.coalesce(F.lower("domain"), host(F.col("website")))).alias("web"), _mail_hashes(F.col("mails_")).alias("mails"), _hashed(handle(F.col("facebook"))).alias("fb"),
             F.col("address").alias("number_"), F.col("street_key").alias("street_"), city_text(F.coalesce("city_key", "city")).alias("city"), F.col("lat").cast("double").alias("lat"),
             F.col("lon").cast("double").alias("lon"), F.col("first_seen_run_id").alias("run"),
         )
@@ -255,13 +286,15 @@ def alike(a: Column, b: Column, longest: int = 2) -> Column:
 def same_name(a: str, b: str) -> Column:
     """The names' cores agree: alike, one within the other, or an initial for the first word."""
     ca, cb = core(f"{a}.name"), core(f"{b}.name")
-    ta, tb = F.split(F.col(f"{a}.name"), " "), F.split(F.col(f"{b}.name"), " ")
+    na, nb = F.col(f"{a}.name"), F.col(f"{b}.name")
+    head = lambda c: F.substring_index(c, " ", 1)
+    tail = lambda c: F.substring_index(c, " ", -1)
     inside = (F.least(F.length(ca), F.length(cb)) >= 7) & (F.contains(ca, cb) | F.contains(cb, ca))
-    two = (F.size(ta) == 2) & (F.size(tb) == 2)
-    initial = (F.length(F.get(ta, F.lit(0))) == 1) | (F.length(F.get(tb, F.lit(0))) == 1)
-    short = two & initial & (F.substring(ca, 1, 1) == F.substring(cb, 1, 1)) & alike(F.get(ta, F.lit(1)), F.get(tb, F.lit(1)))
-    swapped = two & (F.concat(F.get(tb, F.lit(1)), F.get(tb, F.lit(0))) == ca)
-    return F.coalesce(alike(ca, cb) | inside | short | swapped, F.lit(False))
+    two = (F.length(na) == F.length(ca) + 1) & (F.length(nb) == F.length(cb) + 1)  # one space
+    initial = (F.substring(na, 2, 1) == " ") | (F.substring(nb, 2, 1) == " ")
+    short = initial & (F.substring(ca, 1, 1) == F.substring(cb, 1, 1)) & alike(tail(na), tail(nb))
+    swapped = F.concat(tail(nb), head(nb)) == ca
+    return F.coalesce(alike(ca, cb) | inside | (two & (short | swapped)), F.lit(False))
 
 
 def near_name(a: str, b: str) -> Column:

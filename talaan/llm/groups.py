@@ -26,9 +26,8 @@ DOUBLINGS = 2
 
 def _hook(edges: DataFrame) -> DataFrame:
     """``c``, ``p``: each component and where its smallest edge leads; a mutual choice keeps the smaller as root."""
-    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("c"), "u", "v"), F.struct(F.col("v").alias("c"), "u", "v"))).alias("e")).select("e.*")
-    best = both.groupBy("c").agg(F.min(F.struct("u", "v")).alias("e"))
-    to = best.select("c", F.when(F.col("e.u") == F.col("c"), F.col("e.v")).otherwise(F.col("e.u")).alias("p"))
+    both = edges.select(F.explode(F.array(F.struct(F.col("u").alias("c"), F.col("v").alias("o")), F.struct(F.col("v").alias("c"), F.col("u").alias("o")))).alias("e")).select("e.*")
+    to = both.groupBy("c").agg(F.min("o").alias("p"))  # the smallest edge leads to the smallest other end: edges to smaller ends come before all others
     back = to.select(F.col("c").alias("bc"), F.col("p").alias("bp"))
     mutual = (F.col("bp") == F.col("c")) & (F.col("c") < F.col("p"))
     return to.join(back, F.col("p") == F.col("bc"), "left").select("c", F.when(mutual, F.col("c")).otherwise(F.col("p")).alias("p"))

@@ -144,7 +144,7 @@ def near_entries(records: DataFrame) -> DataFrame:
 
 def far_entries(records: DataFrame) -> DataFrame:
     """``k``, ``i``, ``t``: pairs of chunks, for look-ups by and of leads without position; those lead."""
-    r = records.withColumn("core", business.core()).select("id", business.kind_code(), F.when(F.col("lat").isNull(), LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*linkage.loose_keys()).alias("ks"))
+    r = linkage.with_ends(records).select("id", business.kind_code(), F.when(F.col("lat").isNull(), LEADS).otherwise(FOLLOWS).alias("t"), F.concat(*linkage.loose_keys()).alias("ks"))
     return r.select("id", "q", "t", F.explode_outer("ks").alias("k")).where("k is not null").select("k", F.col("id").alias("i"), "q", "t")
 
 

@@ -113,42 +113,51 @@ class LabelModel:
 SHORT = 6  # letters of a core within one slip of a core of five
 
 
-def _ends(core: Column) -> list[tuple[str, Column]]:
-    """First and last three letters."""
-    return [("<", F.substring(core, 1, 3)), (">", F.substring(core, -3, 3))]
+def with_ends(records: DataFrame) -> DataFrame:
+    """``records`` with their ``core`` and what keys read of it more than once: ``head`` and ``tail``, its first and last three letters."""
+    return records.withColumn("core", business.core()).withColumns({"head": F.substring("core", 1, 3), "tail": F.substring("core", -3, 3)})
+
+
+ENDS = [("<", "head"), (">", "tail")]
 
 
 def _each(c: str, first: int) -> list[Column]:
     return [F.get(c, F.lit(i)) for i in range(first)]
 
 
-def _with_rest(keys: list[Column], c: str, first: int, make) -> Column:
-    """``keys`` and those of the elements of ``c`` beyond the ``first``."""
+def _rest(c: str, first: int, make) -> Column:
+    """Keys of the elements of ``c`` beyond the ``first``; few have any."""
     more = F.transform(F.slice(c, first + 1, F.greatest(F.size(c) - first, F.lit(1))), make)
-    return F.when(F.size(c) > first, F.concat(F.array(*keys), more)).otherwise(F.array(*keys))
+    return F.when(F.size(c) > first, more).otherwise(F.array().cast("array<bigint>"))
+
+
+def _name_parts() -> dict[str, Column]:
+    """What the keys of a listing in a cell read of its name, beside its ends: once for all cells."""
+    core, name = F.col("core"), F.col("name")
+    n, one, two = F.length(core), F.substring_index("name", " ", 1), F.substring_index("name", " ", -1)
+    return {
+        "n": n, "mid4": F.when(n >= 7, F.substring(core, 4, 3)), "mid5": F.when(n >= 7, F.substring(core, 5, 3)),  # one slip before shifts by one at most
+        "pair": F.when(F.length(name) == n + 1, F.concat(F.least(one, two), F.greatest(one, two))),
+    }
 
 
 def _placed_keys() -> list[Column]:
     """Arrays of keys of a listing in a cell; unused ones are null."""
-    core, words, cell = F.col("core"), F.split("name", " "), F.col("cell")
-    n = F.length(core)
-    keys = [key(t, cell, p) for t, p in _ends(core)]
-    keys += [key("+", cell, F.when(n >= 7, F.substring(core, k, 3))) for k in (4, 5)]  # one slip before shifts by one at most
-    keys += [key("w", cell, F.col("web")), key("f", cell, F.col("fb")), key("=", cell, F.when(F.size(words) == 2, F.array_join(F.array_sort(words), "")))]
-    short = F.when(n.between(1, SHORT), core)
-    less = [F.when(n >= i, F.concat(F.substring(short, 1, i - 1), F.substring(short, i + 1, SHORT))) for i in range(1, SHORT + 1)]
-    keys += [key("-", cell, x) for x in (short, *less)] + [key("t", cell, p) for p in _each("phones", 2)]
-    return [_with_rest(keys, "phones", 2, lambda p: key("t", cell, p)), _with_rest([key("m", cell, e) for e in _each("mails", 1)], "mails", 1, lambda e: key("m", cell, e))]
+    core, cell, n = F.col("core"), F.col("cell"), F.col("n")
+    keys = [key(t, cell, F.col(p), known=F.col(p).isNotNull()) for t, p in (*ENDS, ("+", "mid4"), ("+", "mid5"), ("w", "web"), ("f", "fb"), ("=", "pair"))]
+    keys.append(key("-", cell, core, known=n.between(1, SHORT)))
+    keys += [key("-", cell, F.concat(F.substring(core, 1, i - 1), F.substring(core, i + 1, SHORT)), known=n.between(i, SHORT)) for i in range(1, SHORT + 1)]
+    keys += [key(t, cell, p, known=p.isNotNull()) for t, p in (*(("t", p) for p in _each("phones", 2)), *(("m", e) for e in _each("mails", 1)))]
+    return [F.array(*keys), _rest("phones", 2, lambda p: key("t", cell, p)), _rest("mails", 1, lambda e: key("m", cell, e))]
 
 
 def loose_keys() -> list[Column]:
-    """Arrays of keys of a listing that needn't have a position: composite of a name part and another attribute."""
-    core = F.col("core")
-    keys = [key("t" + t, part, p) for t, part in _ends(core) for p in _each("phones", 2)]
-    keys += [key("s" + t, part, F.col("street")) for t, part in _ends(core)] + [key("s", core, F.substring("street", 1, 4)), key("c", core, F.col("city")), key("wc", F.col("web"), F.col("city"))]
-    more = lambda p: key("t<", F.substring(core, 1, 3), p)
-    tail = lambda p: key("t>", F.substring(core, -3, 3), p)
-    return [_with_rest(keys, "phones", 2, more), _with_rest([F.lit(None).cast("bigint")], "phones", 2, tail), _with_rest([key("m<", F.substring(core, 1, 3), e) for e in _each("mails", 1)], "mails", 1, lambda e: key("m<", F.substring(core, 1, 3), e))]
+    """Arrays of keys of a listing (with_ends()) that needn't have a position: composite of a name part and another attribute."""
+    core, head, tail = F.col("core"), F.col("head"), F.col("tail")
+    keys = [key("t" + t, F.col(part), p) for t, part in ENDS for p in _each("phones", 2)] + [key("s" + t, F.col(part), F.col("street")) for t, part in ENDS]
+    keys += [key("s", core, F.substring("street", 1, 4), known=core.isNotNull() & F.col("street").isNotNull()), key("c", core, F.col("city")), key("wc", F.col("web"), F.col("city"))]
+    keys += [key("m<", head, e) for e in _each("mails", 1)]
+    return [F.array(*keys), _rest("phones", 2, lambda p: key("t<", head, p)), _rest("phones", 2, lambda p: key("t>", tail, p)), _rest("mails", 1, lambda e: key("m<", head, e))]
 
 
 def candidates(listings: DataFrame) -> DataFrame:
@@ -156,11 +165,11 @@ def candidates(listings: DataFrame) -> DataFrame:
 
     A key row leads if the listing is in its own cell, or has no position.
     """
-    slim = listings.select("id", F.xxhash64("src").alias("s"), business.core().alias("core"), "name", "phones", "mails", "web", "fb", "street", "city", "lat", "lon")
+    slim = with_ends(listings.select("id", F.xxhash64("src").alias("s"), "name", "phones", "mails", "web", "fb", "street", "city", "lat", "lon")).withColumns(_name_parts())
     # arrays are made in a projection of their own: inside explode they would be interpreted. A plain explode would make them twice, once to filter by their size
     none = F.array(F.lit(None).cast("bigint"))  # the last "cell" of a listing, for its keys without a cell
     cells = F.when(F.col("lat").isNull(), none).otherwise(F.concat(touched_cells(F.col("lat"), F.col("lon"), business.NEAR_M, CELL_M), none))
-    here = slim.withColumn("cells", cells).select("*", F.posexplode_outer("cells").alias("at", "cell"))
+    here = slim.withColumn("cells", cells).drop("name", "lon").select("*", F.posexplode_outer("cells").alias("at", "cell")).drop("cells")
     leads = F.when(F.col("cell").isNull(), F.col("lat").isNull()).otherwise(F.col("at") == 0)
     keys = F.when(F.col("cell").isNull(), F.concat(*loose_keys())).otherwise(F.concat(*_placed_keys()))
     made = here.select("id", "s", F.when(leads, LEADS).otherwise(FOLLOWS).alias("t"), keys.alias("ks"))
@@ -172,13 +181,19 @@ def voted(listings: DataFrame, pairs: DataFrame) -> DataFrame:
     """The pairs whose names resemble each other, with the votes. Both joins read one exchange of the listings."""
     one = listings.select("id", F.struct(*business.COMPARED).alias("l"))
     x = pairs.join(one.select(F.col("id").alias("id_a"), F.col("l").alias("a")), "id_a").join(one.select(F.col("id").alias("id_b"), F.col("l").alias("b")), "id_b")
-    return business.votes(x, "a", "b", ["id_a", "id_b"]).where("name >= 0").select("id_a", "id_b", *(F.col(c).cast("tinyint").alias(c) for c in VOTES))
+    v = business.votes(x, "a", "b", ["id_a", "id_b"]).where("name >= 0")
+    return v.select("id_a", "id_b", *(F.col(c).cast("tinyint").alias(c) for c in VOTES), _pattern().alias("pattern"))
+
+
+def _pattern() -> Column:
+    """The votes as one number."""
+    return sum(((F.col(c) - LOWEST) * LEVELS**i for i, c in enumerate(VOTES)), F.lit(0)).cast("int")
 
 
 def confident(pairs: DataFrame) -> tuple[DataFrame, LabelModel]:
     """``pairs`` with ``confidence``, and the fitted model."""
-    code = sum(((F.col(c) - LOWEST) * LEVELS**i for i, c in enumerate(VOTES)), F.lit(0)).cast("int")
-    pairs = pairs.withColumn("pattern", code)
+    if "pattern" not in pairs.columns:
+        pairs = pairs.withColumn("pattern", _pattern())
     seen = pairs.groupBy("pattern").count().collect()  # at most the product of the functions' answers
     model = LabelModel(against=AGAINST, wrong=WRONG, relearn=False)
     if not seen:

@@ -23,9 +23,10 @@ def met(rows: DataFrame, also: str = "true") -> DataFrame:
     return pairs.select(F.least("a.i", "b.i").alias("id_a"), F.greatest("a.i", "b.i").alias("id_b")).distinct()
 
 
-def key(tag: str, *parts: Column, bits: int = 48) -> Column:
-    """A hash of ``parts``, null if one of them is. Two keys that share a hash make a candidate more, no link less."""
-    known = parts[0].isNotNull()
-    for p in parts[1:]:
-        known = known & p.isNotNull()
+def key(tag: str, *parts: Column, bits: int = 48, known: Column | None = None) -> Column:
+    """A hash of ``parts``, null if one of them is, or unless ``known``. Two keys that share a hash make a candidate more, no link less."""
+    if known is None:
+        known = parts[0].isNotNull()
+        for p in parts[1:]:
+            known = known & p.isNotNull()
     return F.when(known, F.xxhash64(F.lit(tag), *parts).bitwiseAND(F.lit((1 << bits) - 1)))
