@@ -100,10 +100,14 @@ def chunks(text: str) -> list[int]:
     return batch_chunks([text])[0]
 
 
+def hexes(c: Column) -> Column:
+    """The numbers of an array in hexadecimal; most have one at most, which needs no lambda."""
+    return F.when(F.size(c) > 1, F.array_join(F.transform(c, F.hex), "\n")).otherwise(F.coalesce(F.hex(F.get(c, F.lit(0))), F.lit("")))
+
+
 def telling_lines() -> Column:
     """The lines that look entries up: contacts, the name's core, and its ends."""
     core = F.nullif(business.core(), F.lit(""))
-    hexes = lambda c: F.array_join(F.transform(c, F.hex), "\n")
     ends = [F.concat(F.lit("<"), F.substring(core, 1, 3)), F.concat(F.lit(">"), F.substring(core, -3, 3))]
     return F.concat_ws("\n", hexes("phones"), hexes("mails"), F.hex("web"), F.concat(F.hex("fb"), F.lit("@")), core, *ends)
 

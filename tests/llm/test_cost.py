@@ -5,7 +5,7 @@ import re
 
 from pyspark.sql import functions as F
 
-from talaan.llm import business, groups, linkage
+from talaan.llm import business, groups, history, linkage
 
 LEXICON = business.Lexicon({"cafe": "cafe", "shop": None, "st": None, "s": "spa"})
 
@@ -30,11 +30,12 @@ def test_a_single_contact_is_read_like_one_of_several(spark):
     mails = ["MAILTO:A@b.ph", "a@b.ph; c@d.ph", "none", "", ";", "a@b.ph,a@b.ph"]
     rows = [([a], [b]) for a in numbers for b in mails] + [([], []), (["0917 123 4567", "8123-4567"], ["a@b.ph", "A@B.ph"])]
     df = spark.createDataFrame(rows, "p array<string>, m array<string>")
-    got = df.select(business.phones(F.col("p")).alias("p"), business.emails(F.col("m")).alias("m")).collect()
+    got = df.select(business.phones(F.col("p")).alias("p"), business.emails(F.col("m")).alias("m"), history.hexes(F.col("p")).alias("x")).collect()
     texts = sorted({d for p, m in rows for d in (*_phones(p), *_mails(m))})
     hashes = dict(spark.createDataFrame([(t,) for t in texts], "t string").select("t", F.hash("t")).collect())
     for (p, m), r in zip(rows, got):
         assert (r.p, r.m) == ([hashes[x] for x in _phones(p)], [hashes[x] for x in _mails(m)])
+        assert r.x == "\n".join(x.encode().hex().upper() for x in p)
 
 
 def _phones(values):
